@@ -17,7 +17,7 @@ def parse_human_count(c: Column | str) -> Column:
     digits = F.regexp_replace(text, "[kmb]$", "")
     factor = F.when(text.endswith("k"), 1e3).when(text.endswith("m"), 1e6).when(text.endswith("b"), 1e9).otherwise(1.0)
     value = number(digits) * factor
-    return F.greatest(value, F.lit(0.0)).try_cast("long")
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))).try_cast("long")
 
 
 def _power(unit: Column, binary: Column) -> Column:

@@ -108,3 +108,15 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` that does not need a whole group in one task."""
     return running(df, keys, order, {name: Running("sum", F.lit(1).cast("long"))}, block)
+
+
+def explode_range(df: DataFrame, n: Column, name: str, step: int = 1024) -> DataFrame:
+    """``n`` copies of every row, numbered from 0.
+
+    Rows are multiplied in two steps, so that a large ``n`` never becomes one large array.
+    """
+    coarse = df.withColumn("_n", n.cast("long")).where(F.col("_n") > 0)
+    coarse = coarse.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step))))
+    top = F.least(F.lit(step - 1).cast("long"), F.col("_n") - 1 - F.col("_hi") * step)
+    fine = coarse.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), top)))
+    return fine.withColumn(name, F.col("_hi") * step + F.col("_lo")).drop("_n", "_hi", "_lo")

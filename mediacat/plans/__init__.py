@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("formats",)
+_MODULES = ("formats", "functions", "media")
 
 
 def load():

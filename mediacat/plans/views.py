@@ -245,11 +245,16 @@ def _needed(name: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """Prefix a DuckDB query with the views it names as ``{view}``."""
-    names = list(dict.fromkeys(n for v in dict.fromkeys(_ORDER.findall(sql)) for n in _needed(v)))
-    plain = _ORDER.sub(r"\1", sql).strip()
+    named = [n for n in dict.fromkeys(_ORDER.findall(sql)) if n in VIEWS or n in TABLES]
+    names = list(dict.fromkeys(n for v in named for n in _needed(v)))
+
+    def bare(text: str) -> str:
+        return _ORDER.sub(lambda m: m.group(1) if m.group(1) in VIEWS or m.group(1) in TABLES else m.group(0), text)
+
+    plain = bare(sql).strip()
     if not names:
         return plain
-    ctes = ",\n".join(f"{n} as ({_ORDER.sub(chr(92) + '1', _render(VIEWS[n], 'duckdb'))})" for n in names)
+    ctes = ",\n".join(f"{n} as ({bare(_render(VIEWS[n], 'duckdb'))})" for n in names)
     for start in ("with recursive", "with"):
         if plain.lower().startswith(start):
             return f"{start} {ctes},\n{plain[len(start):].lstrip()}"

@@ -111,13 +111,22 @@ PROGRESS_SCHEMA = _struct(
     transfer_id=_L, ts=T.TimestampType(), cumulative_bytes=_L, frac=_D
 )
 
+FAILED_EPISODE = _struct(position=_L, title=_S, last_error=_S)
+
+# Both kinds of session (single video, playlist) in one table; ``state_type`` tells them apart.
 SESSION_SCHEMA = _struct(
+    state_type=_S,
     version=_I,
-    kind=_S,
     source_url=_S,
-    media_url=_S,
-    output_path=_S,
-    total_bytes=_L,
-    completed_segments=T.ArrayType(_I),
-    saved_at=T.TimestampType(),
+    title=_S,
+    format_id=_S,
+    audio_format_id=_S,
+    subtitle_langs=T.ArrayType(_S),
+    playlist_title=_S,
+    selected_audio=_S,
+    selected_sub_langs=T.ArrayType(_S),
+    strict_subs=_B,
+    failed_episodes=T.ArrayType(FAILED_EPISODE),
+    created_at=T.TimestampType(),
+    updated_at=T.TimestampType(),
 )
