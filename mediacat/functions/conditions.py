@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value named once.
+
+    A Column that is used in several places is copied into each of them; where such Columns are nested, the plan
+    grows exponentially. Bound to a lambda variable, the value is planned and computed once.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, NULL where there is none or where it is empty."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

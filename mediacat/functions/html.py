@@ -7,7 +7,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col
+from mediacat.functions.conditions import as_col, let
 
 
 def _named() -> Column:
@@ -57,7 +57,10 @@ def _entity(token: Column) -> Column:
 
 def decode_html_entities(c: Column | str) -> Column:
     """Named and numeric references that end in a semicolon, decoded once."""
-    c = as_col(c)
+    return let(as_col(c), _decoded)
+
+
+def _decoded(c: Column) -> Column:
     tokens = F.split(c, "(?=&)|(?<=;)")
     decoded = F.array_join(F.transform(tokens, _entity), "")
     return F.when(c.contains("&") & c.contains(";"), decoded).otherwise(c)

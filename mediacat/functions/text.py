@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col
+from mediacat.functions.conditions import as_col, let
 
 # Bidirectional controls, characters no file name may have, names Windows reserves, the length cap.
 BIDI = "‪-‮⁦-⁩"
@@ -47,10 +47,13 @@ def sanitize_filename(c: Column | str, markers: tuple[str, ...] = MARKERS) -> Co
     for marker in markers:
         text = F.regexp_replace(text, rf"(?i)\.(?=\Q{marker[1:]}\E)", "_")
     text = F.regexp_replace(text, r"^[. ]+|[. ]+$", "")
-    base = F.regexp_replace(text, r"\.[^.]*$", "")
-    text = F.when(F.upper(base).isin(*_RESERVED), F.concat(F.lit("_"), text)).otherwise(text)
-    text = F.when(text == "", F.lit("unnamed")).otherwise(text)
-    return F.when(F.octet_length(text) > MAX_FILENAME, _shorten(text)).otherwise(text)
+    return let(let(text, _not_reserved), lambda t: F.when(F.octet_length(t) > MAX_FILENAME, _shorten(t)).otherwise(t))
+
+
+def _not_reserved(text: Column) -> Column:
+    base = F.upper(F.regexp_replace(text, r"\.[^.]*$", ""))
+    prefixed = F.concat(F.lit("_"), text)
+    return F.when(text == "", F.lit("unnamed")).when(base.isin(*_RESERVED), prefixed).otherwise(text)
 
 
 def _shorten(text: Column) -> Column:

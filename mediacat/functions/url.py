@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col, extract
+from mediacat.functions.conditions import as_col, extract, let
 from mediacat.functions.html import trim_space
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -79,6 +79,7 @@ def _encode_set(c: Column, escaped: str) -> Column:
 
 
 def _remove_dots(p: Column) -> Column:
+    """Resolve ``.`` and ``..`` in a path."""
     parts = F.split(p, "/")
     folded = F.aggregate(
         parts,
@@ -94,12 +95,12 @@ def _remove_dots(p: Column) -> Column:
 
 
 def _compose(prefix: Column, p: Column, q: Column, fragment: Column) -> Column:
-    p = F.when(p == "", F.lit("/")).otherwise(p)
+    full = let(F.when(p == "", F.lit("/")).otherwise(p), _remove_dots)
     return F.concat(
         prefix,
-        _encode_set(_remove_dots(p), r'"<>`{}^'),
-        _encode_set(F.coalesce(q, F.lit("")), r"""'"<>"""),
-        _encode_set(F.coalesce(fragment, F.lit("")), r'"<>`'),
+        let(full, lambda c: _encode_set(c, r'"<>`{}^')),
+        let(F.coalesce(q, F.lit("")), lambda c: _encode_set(c, r"""'"<>""")),
+        let(F.coalesce(fragment, F.lit("")), lambda c: _encode_set(c, r'"<>`')),
     )
 
 
@@ -108,7 +109,11 @@ def url_join(base: Column | str, reference: Column | str) -> Column:
 
     NULL for blank references, ``data:`` and ``javascript:``; ``//host`` becomes https.
     """
-    base, ref = as_col(base), trim_space(reference)
+    both = F.struct(as_col(base).alias("base"), trim_space(reference).alias("ref"))
+    return let(both, lambda s: _join(s["base"], s["ref"]))
+
+
+def _join(base: Column, ref: Column) -> Column:
     prefix = F.concat(scheme(base), F.lit("://"), F.coalesce(authority(base), F.lit("")))
     base_path, base_query = path(base), extract(base, _URL, 4)
     parts = r"^([^?#]*)(\?[^#]*)?(#.*)?$"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col
+from mediacat.functions.conditions import as_col, let
 from mediacat.functions.numbers import parse_frame_rate, parse_sampling_rate
 from mediacat.functions.time import parse_iso_duration
 from mediacat.functions.url import url_join
@@ -63,7 +63,7 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     a, r = F.col("_a"), F.col("_r")
     base = F.col("mpd_url")
     for level in (F.col("_mpd_base"), F.get("_a.BaseURL", F.lit(0)), F.get("_r.BaseURL", F.lit(0))):
-        base = F.coalesce(url_join(base, level), base)
+        base = _resolved(base, level)
     template = F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"])
     listed = F.coalesce(r["SegmentList"], a["SegmentList"])
     return rows.select(
@@ -87,6 +87,10 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     )
 
 
+def _resolved(base: Column, level: Column) -> Column:
+    return let(base, lambda b: F.coalesce(url_join(b, level), b))
+
+
 def mime_class(mime: Column | str = "mime", codecs: Column | str = "codecs") -> Column:
     m = as_col(mime)
     text = m.startswith("text/") | ((m == "application/mp4") & F.coalesce(as_col(codecs).isin(*TEXT_CODECS), F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.functions.codecs import codec_kind, codec_name, infer_muxed_audio, named_codecs, segment_container
+from mediacat.functions.conditions import let
 from mediacat.functions.numbers import estimate_size
 from mediacat.functions.url import url_join
 from mediacat.operators.catalog import codec
@@ -175,7 +176,10 @@ def label_hls_variants(variants: DataFrame, parents: DataFrame, by: str = "playl
 
 def _segments(text: Column) -> Column:
     """Segments of a media playlist with the tags that stand between the former segment and their URI."""
-    pieces = F.split(text, r"(?m)^#EXTINF:")
+    return let(F.split(text, r"(?m)^#EXTINF:"), _segments_of)
+
+
+def _segments_of(pieces: Column) -> Column:
     uri_line = r"\n[^#\s][^\n]*"
 
     def head(piece: Column) -> Column:
@@ -184,23 +188,23 @@ def _segments(text: Column) -> Column:
     def tail(piece: Column, i: Column) -> Column:
         return F.when(i == 0, piece).otherwise(F.regexp_extract(piece, rf"(?s)^.*?{uri_line}(.*)$", 1))
 
-    tails = F.transform(pieces, lambda p, i: tail(p, i))
-    tagged = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            i.alias("i"), p.alias("piece"), F.concat(F.get(tails, i - 1), F.lit("\n"), head(p)).alias("tags")
-        ),
-    )
+    # Every segment stands beside what was left over of the piece before it.
+    tails = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p, i: tail(p, i))
+    pairs = F.arrays_zip(F.slice(pieces, F.lit(2), F.size(pieces)).alias("piece"), tails.alias("left"))
     found = F.transform(
-        F.slice(tagged, F.lit(2), F.size(pieces)),
-        lambda t: F.struct(
-            F.regexp_extract(t["piece"], r"^\s*([0-9.]+)", 1).try_cast("float").cast("double").alias("duration"),
-            _next_uri(t["piece"]).alias("uri"),
-            _last_tag(t["tags"], "#EXT-X-MAP:").alias("map"),
-            _last_tag(t["tags"], "#EXT-X-BYTERANGE:").alias("byte_range"),
+        F.when(F.size(pieces) > 1, pairs),
+        lambda t: let(
+            F.concat(t["left"], F.lit("\n"), head(t["piece"])),
+            lambda tags: F.struct(
+                F.regexp_extract(t["piece"], r"^\s*([0-9.]+)", 1).try_cast("float").cast("double").alias("duration"),
+                _next_uri(t["piece"]).alias("uri"),
+                _last_tag(tags, "#EXT-X-MAP:").alias("map"),
+                _last_tag(tags, "#EXT-X-BYTERANGE:").alias("byte_range"),
+            ),
         ),
     )
-    return F.filter(found, lambda s: s["uri"] != "")
+    none = F.array().cast("array<struct<duration:double,uri:string,map:string,byte_range:string>>")
+    return F.coalesce(F.filter(found, lambda s: s["uri"] != ""), none)
 
 
 def _last_tag(tags: Column, name: str) -> Column:

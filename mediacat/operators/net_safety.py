@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col
+from mediacat.functions.conditions import as_col, let
 from mediacat.functions.url import host, is_url, scheme
 
 # The IPv4 special-purpose registry (block, reachable from outside), and multicast.
@@ -95,9 +95,13 @@ def _part(text: Column) -> Column:
 def ipv4_number(host_name: Column | str) -> Column:
     """The address a host names in any IPv4 spelling (``10.0.0.1``, ``0x7f.1``, ``2130706433``); else NULL."""
     h = F.regexp_replace(as_col(host_name), r"\.$", "")
-    parts = F.split(h, r"\.")
-    n = F.size(parts)
-    at = [_part(F.get(parts, F.lit(i))) for i in range(4)]
+    numbers = F.transform(F.split(h, r"\."), _part)
+    return F.when(h.rlike(r"^[0-9a-fA-FxX.]+$"), let(numbers, _address))
+
+
+def _address(numbers: Column) -> Column:
+    n = F.size(numbers)
+    at = [F.get(numbers, F.lit(i)) for i in range(4)]
     value = None
     for count in range(1, 5):
         lead = F.lit(0).cast("long")
@@ -107,18 +111,26 @@ def ipv4_number(host_name: Column | str) -> Column:
             valid = valid & (at[i] < 256)
         whole = F.when(valid, lead + at[count - 1])
         value = F.when(n == count, whole) if value is None else value.when(n == count, whole)
-    return F.when(h.rlike(r"^[0-9a-fA-FxX.]+$"), value)
+    return value
 
 
 def ipv6_hex(host_name: Column | str) -> Column:
     """The 32 hex digits of an IPv6 address, in brackets or not; else NULL."""
     h = F.lower(F.regexp_replace(as_col(host_name), r"^\[|\]$", ""))
+    return F.when(h.contains(":"), let(let(h, _hex_groups), _expanded))
+
+
+def _hex_groups(h: Column) -> Column:
+    """An IPv4 address at the end in two hexadecimal groups."""
     tail = F.regexp_extract(h, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
-    v4 = ipv4_number(tail)
-    as_groups = F.concat(
-        F.lower(F.hex(F.floor(v4 / 65536))), F.lit(":"), F.lower(F.hex(v4 % 65536))
+    groups = let(
+        ipv4_number(tail),
+        lambda v: F.concat(F.lower(F.hex(F.floor(v / 65536))), F.lit(":"), F.lower(F.hex(v % 65536))),
     )
-    plain = F.when(tail == "", h).otherwise(F.concat(F.substring(h, F.lit(1), F.length(h) - F.length(tail)), as_groups))
+    return F.when(tail == "", h).otherwise(F.concat(F.substring(h, F.lit(1), F.length(h) - F.length(tail)), groups))
+
+
+def _expanded(plain: Column) -> Column:
     halves = F.split(plain, "::")
 
     def groups(i: int) -> Column:
@@ -140,7 +152,10 @@ def _v4_at(digits: Column, start: int) -> Column:
 
 def blocked_ipv6(digits: Column | str) -> Column:
     """Loopback, unspecified, multicast, unique local, link local, or one that carries a blocked IPv4 address."""
-    d = as_col(digits)
+    return let(as_col(digits), _blocked_digits)
+
+
+def _blocked_digits(d: Column) -> Column:
     zeros = "0" * 24
     local = (
         (d == "0" * 31 + "1")
@@ -152,32 +167,37 @@ def blocked_ipv6(digits: Column | str) -> Column:
     teredo = d.startswith("20010000")
     # Compatible and mapped, NAT64, 6to4, Teredo server, Teredo client (all bits inverted).
     mapped = d.startswith(zeros) | d.startswith("0" * 20 + "ffff")
+    client = F.lit(0xFFFFFFFF).cast("long") - _v4_at(d, 24)
     embedded = (
-        (mapped & blocked_ipv4(_v4_at(d, 24)))
-        | (d.startswith("0064ff9b" + "0" * 16) & blocked_ipv4(_v4_at(d, 24)))
-        | (d.startswith("2002") & blocked_ipv4(_v4_at(d, 4)))
-        | (teredo & blocked_ipv4(_v4_at(d, 8)))
-        | (teredo & blocked_ipv4(F.lit(0xFFFFFFFF).cast("long") - _v4_at(d, 24)))
+        ((mapped | d.startswith("0064ff9b" + "0" * 16)) & let(_v4_at(d, 24), blocked_ipv4))
+        | (d.startswith("2002") & let(_v4_at(d, 4), blocked_ipv4))
+        | (teredo & (let(_v4_at(d, 8), blocked_ipv4) | let(client, blocked_ipv4)))
     )
     return local | embedded
 
 
 def classify_ipv6(df: DataFrame, address: str = "address") -> DataFrame:
-    digits = ipv6_hex(address)
-    return df.select(*df.columns, digits.alias("digits"), blocked_ipv6(digits).alias("blocked"))
+    staged = df.withColumn("digits", ipv6_hex(address))
+    return staged.withColumn("blocked", blocked_ipv6("digits"))
 
 
 def private_host(host_name: Column | str) -> Column:
     h = F.regexp_replace(F.lower(as_col(host_name)), r"\.+$", "")
-    bare = F.regexp_replace(h, r"^\[|\]$", "")
+    return let(F.regexp_replace(h, r"^\[|\]$", ""), _private)
+
+
+def _private(bare: Column) -> Column:
     named = bare.isin(*LOCAL_NAMES) | bare.startswith("localhost.") | bare.rlike(r"\.(local|internal)$")
-    v4, v6 = ipv4_number(bare), ipv6_hex(bare)
-    return named | F.coalesce(blocked_ipv4(v4), F.lit(False)) | F.coalesce(blocked_ipv6(v6), F.lit(False))
+    v4, v6 = let(ipv4_number(bare), blocked_ipv4), let(ipv6_hex(bare), blocked_ipv6)
+    return named | F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
 
 def url_safety(url: Column | str) -> Column:
     """Why a URL must not be fetched: ``too_long``, ``invalid``, ``scheme``, ``private_host``; NULL if it may."""
-    u = as_col(url)
+    return let(as_col(url), _unsafe_reason)
+
+
+def _unsafe_reason(u: Column) -> Column:
     h = host(u)
     return (
         F.when(F.octet_length(u) > MAX_URL_BYTES, "too_long")

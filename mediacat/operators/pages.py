@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col
+from mediacat.functions.conditions import as_col, let
 from mediacat.functions.html import decode_html_entities, trim_space
 from mediacat.functions.time import parse_duration, parse_iso_date
 from mediacat.functions.url import ext_from_mime, is_media_content_type, media_ext_from_url, url_join
@@ -44,8 +44,11 @@ def tags(source: Column, name: str) -> Column:
 def attr(tag: Column, name: str) -> Column:
     """An attribute's value, entities decoded; NULL if the tag does not have it."""
     pattern = rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), decode_html_entities(value))
+    def value(t: Column) -> Column:
+        found = F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)])
+        return F.when(t.rlike(pattern), decode_html_entities(found))
+
+    return let(tag, value)
 
 
 def _first_meta(metas: Column, key: str, name: str) -> Column:
@@ -271,9 +274,11 @@ _SOURCE_TYPES = {
 
 
 def _detect_json_ld(p) -> Column:
-    url = url_join(p["base"], _text(p["video"], "contentUrl"))
-    ext = F.coalesce(media_ext_from_url(url), ext_from_mime(_text(p["video"], "encodingFormat")))
-    return F.when(url.isNotNull(), F.array(_row(url, HIGH, "json-ld:contentUrl", ext)))
+    def row(url: Column) -> Column:
+        ext = F.coalesce(media_ext_from_url(url), ext_from_mime(_text(p["video"], "encodingFormat")))
+        return F.when(url.isNotNull(), F.array(_row(url, HIGH, "json-ld:contentUrl", ext)))
+
+    return F.when(p["video"].isNotNull(), let(url_join(p["base"], _text(p["video"], "contentUrl")), row))
 
 
 def bind_og(metas: Column) -> Column:
@@ -295,46 +300,44 @@ def bind_og(metas: Column) -> Column:
             t["content"].alias("content"),
         ),
     )
+    return let(og, lambda tags_: let(_og_roots(tags_), lambda roots: _og_bound(tags_, roots)))
 
-    def earlier_root(t: Column) -> Column:
-        return F.exists(og, lambda r: (r["kind"] == t["kind"]) & (r["role"] == "") & (r["i"] < t["i"]))
 
-    def earlier_secure(t: Column) -> Column:
-        return F.exists(og, lambda r: (r["kind"] == t["kind"]) & (r["role"] == "secure_url") & (r["i"] < t["i"]))
+def _og_roots(og: Column) -> Column:
+    def opens(t: Column) -> Column:
+        former = F.exists(
+            og, lambda r: (r["kind"] == t["kind"]) & r["role"].isin("", "secure_url") & (r["i"] < t["i"])
+        )
+        return (t["role"] == "") | ((t["role"] == "secure_url") & ~former)
 
-    roots = F.filter(
-        og, lambda t: (t["role"] == "") | ((t["role"] == "secure_url") & ~earlier_root(t) & ~earlier_secure(t))
-    )
+    return F.filter(og, opens)
 
-    def bound(r: Column, role: str) -> Column:
-        later = F.filter(roots, lambda x: (x["kind"] == r["kind"]) & (x["i"] > r["i"]))
-        end = F.coalesce(F.get(later, F.lit(0))["i"], F.lit(1 << 30))
-        own = F.filter(
-            og,
-            lambda t: (t["kind"] == r["kind"])
-            & (t["role"] == role)
-            & (t["i"] > r["i"])
-            & (t["i"] < end)
-            & (F.btrim(t["content"]) != "" if role == "type" else F.lit(True)),
-        )
-        return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(own, lambda t: t["content"])), -1)
 
-    def orphan(r: Column) -> Column:
-        first = F.get(F.filter(roots, lambda x: x["kind"] == r["kind"]), F.lit(0))["i"]
-        before = F.filter(
-            og, lambda t: (t["kind"] == r["kind"]) & (t["role"] == "type") & (t["i"] < first) & (F.btrim(t["content"]) != "")
-        )
-        return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(before, lambda t: t["content"])), -1)
+def _last_content(tags_: Column) -> Column:
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(tags_, lambda t: t["content"])), -1)
 
-    return F.transform(
-        roots,
-        lambda r: F.struct(
+
+def _og_bound(og: Column, roots: Column) -> Column:
+    def of_kind(r: Column, role: str, low: Column, high: Column) -> Column:
+        said = F.filter(
+            og, lambda t: (t["kind"] == r["kind"]) & (t["role"] == role) & (t["i"] > low) & (t["i"] < high)
+        )
+        # An empty type says nothing.
+        return F.filter(said, lambda t: F.btrim(t["content"]) != "") if role == "type" else said
+
+    def bound(r: Column) -> Column:
+        same = F.filter(roots, lambda x: x["kind"] == r["kind"])
+        end = F.coalesce(F.array_min(F.transform(F.filter(same, lambda x: x["i"] > r["i"]), lambda x: x["i"])), F.lit(1 << 30))
+        first = F.array_min(F.transform(same, lambda x: x["i"]))
+        own = _last_content(of_kind(r, "type", r["i"], end))
+        return F.struct(
             r["kind"].alias("kind"),
             r["content"].alias("root"),
-            bound(r, "secure_url").alias("secure_url"),
-            F.coalesce(bound(r, "type"), orphan(r)).alias("type"),
-        ),
-    )
+            _last_content(of_kind(r, "secure_url", r["i"], end)).alias("secure_url"),
+            F.coalesce(own, _last_content(of_kind(r, "type", F.lit(-1), first))).alias("type"),
+        )
+
+    return F.transform(roots, bound)
 
 
 def _detect_open_graph(p) -> Column:
@@ -376,10 +379,26 @@ def _detect_jw(p) -> Column:
         else:
             here = p["html"].rlike("JWPlayerOptions|jwConfig|playerInstance")
         found.append(F.when(here, rows).otherwise(_none()))
-    return F.concat(*found)
+    return _first_per_url(F.concat(*found))
+
+
+def _first_per_url(rows: Column) -> Column:
+    """Of rows with the same URL the first."""
+    return let(
+        rows,
+        lambda all_: let(
+            F.transform(all_, lambda r: r["url"]),
+            lambda urls: F.filter(all_, lambda r, i: F.array_position(urls, r["url"]) == i + 1),
+        ),
+    )
+
+
+# The variables that hold URLs; each may have one with "_text" after its name.
+_KVS_URLS = ("video_url", "video_alt_url", "video_alt_url2", "video_alt_url3", "video_alt_url4", "video_alt_url5")
 
 
 def _detect_kvs(p) -> Column:
+    loaded = p["html"].rlike(r"""<script[^>]+src=["'][^"']*kt_player\.js""")
     block = F.regexp_extract(p["html"], r"(?:var\s+)?flashvars\s*=\s*\{([^}]*)\}", 1)
     pairs = F.regexp_extract_all(block, F.lit(r"\w+\s*:\s*'[^']*'"), F.lit(0))
     entries = F.transform(
@@ -388,26 +407,31 @@ def _detect_kvs(p) -> Column:
             F.regexp_extract(t, r"^(\w+)", 1).alias("key"), F.regexp_extract(t, "'([^']*)'", 1).alias("value")
         ),
     )
+    names = F.array(*[F.lit(k) for k in _KVS_URLS])
 
-    def value(key: str) -> Column:
-        same = F.filter(entries, lambda e: e["key"] == key)
-        return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(same, lambda e: e["value"])), -1)
+    def rows(variables: Column) -> Column:
+        def value(key: Column) -> Column:
+            same = F.filter(variables, lambda e: e["key"] == key)
+            return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(same, lambda e: e["value"])), -1)
 
-    rows = []
-    for key in ("video_url", "video_alt_url", *[f"video_alt_url{i}" for i in range(2, 6)]):
-        url = url_join(p["base"], F.nullif(value(key), F.lit("")))
-        source = "kvs.video_url" if key == "video_url" else "kvs.video_alt_url"
-        rows.append(F.when(url.isNotNull(), _row(url, MEDIUM, source, quality=value(f"{key}_text"))))
-    loaded = p["html"].rlike(r"""<script[^>]+src=["'][^"']*kt_player\.js""")
-    return F.when(p["html"].contains("kt_player.js") & loaded, F.array_compact(F.array(*rows)))
+        def row(key: Column) -> Column:
+            source = F.when(key == _KVS_URLS[0], "kvs.video_url").otherwise("kvs.video_alt_url")
+            return let(
+                url_join(p["base"], F.nullif(value(key), F.lit(""))),
+                lambda u: F.when(
+                    u.isNotNull(), _row(u, MEDIUM, source, quality=value(F.concat(key, F.lit("_text"))))
+                ),
+            )
+
+        return F.array_compact(F.transform(names, row))
+
+    return F.when(p["html"].contains("kt_player.js") & loaded, let(entries, rows))
 
 
 def _detect_videojs(p) -> Column:
     setup = _resolved(p["base"], _steps(p["html"], *_VIDEOJS), MEDIUM, "videojs")
     data = _resolved(p["base"], _steps(p["html"], *_DATA_SETUP), MEDIUM, "videojs.data-setup")
-    seen = F.transform(setup, lambda r: r["url"])
-    more = F.filter(data, lambda r: ~F.array_contains(seen, r["url"]))
-    return F.when(p["html"].contains("videojs") | p["html"].contains("data-setup"), F.concat(setup, more))
+    return F.when(p["html"].contains("videojs") | p["html"].contains("data-setup"), _first_per_url(F.concat(setup, data)))
 
 
 def _detect_js_parameters(p) -> Column:
@@ -434,8 +458,10 @@ def _detect_html5(p) -> Column:
         )
 
     def of_block(b: Column) -> Column:
-        own = url_join(p["base"], attr(F.get(tags(b, "video"), F.lit(0)), "src"))
-        direct = F.when(own.isNotNull(), F.array(_row(own, MEDIUM, "video[src]"))).otherwise(_none())
+        direct = let(
+            url_join(p["base"], attr(F.get(tags(b, "video"), F.lit(0)), "src")),
+            lambda own: F.when(own.isNotNull(), F.array(_row(own, MEDIUM, "video[src]"))).otherwise(_none()),
+        )
         return F.concat(direct, source_rows(tags(b, "source"), MEDIUM, "video>source", True))
 
     inside = F.flatten(F.transform(blocks, of_block))
