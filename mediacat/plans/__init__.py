@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("formats", "functions", "media", "network", "transfers")
+_MODULES = ("formats", "functions", "media", "network", "transfers", "corpora")
 
 
 def load():

@@ -21,10 +21,9 @@ _DIALECTS = {
     "spark": {
         "ymd": "date_format({0}, 'yyyyMMdd')",
         "days": "datediff({0}, date'1970-01-01')",
-        "micros": "unix_micros({0})",
+        "micros": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {0})",
         "str": "cast({0} as string)",
         "micros_ts": "timestamp_micros({0})",
-        "nl": "'\\n'",
     },
     "duckdb": {
         "ymd": "strftime({0}, '%Y%m%d')",
@@ -32,7 +31,6 @@ _DIALECTS = {
         "micros": "epoch_us({0})",
         "str": "cast({0} as varchar)",
         "micros_ts": "make_timestamp({0})",
-        "nl": "chr(10)",
     },
 }
 
@@ -202,6 +200,143 @@ select o_orderkey as url_id,
     else 'http://2130706433/decimal-' || @str[o_orderkey] end as url
 from {orders}"""
 
+_N = "@str[page_id]"
+# What is spliced into a page's head, by page_id % 10, so that every strategy finds something.
+_SNIPPETS = {
+    0: """<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebPage","name":"x"},"""
+    """{"@type":["Thing","VideoObject"],"name":"Video #N#","description":"About #N#","duration":"PT1M5S","""
+    """"uploadDate":"2024-01-15T10:00:00Z","contentUrl":"/media/#N#.mp4","embedUrl":"https://player.example.org/#N#","""
+    """"interactionStatistic":[{"@type":"InteractionCounter","interactionType":"https://schema.org/WatchAction","""
+    """"userInteractionCount":#N#},{"interactionType":{"@type":"LikeAction"},"userInteractionCount":"7"}],"""
+    """"keywords":"a, b,,c","genre":"Docs","thumbnailUrl":["t#N#.jpg",""]}]}</script>""",
+    1: """<meta property="og:video" content="https://cdn.example.org/og/video/#N#.mp4"><meta property="og:video:type" """
+    """content="video/mp4"><meta property="og:video" content="https://cdn.example.org/embed/#N#"><meta """
+    """property="og:video:type" content="text/html"><meta property="og:audio" content="/a/#N#"><meta """
+    """property="og:audio:type" content="audio/mpeg"><meta property="og:title" content="OG &amp; #N#"><meta """
+    """property="og:description" content="About #N#"><meta property="og:image" content="/img/#N#.jpg">""",
+    2: """<meta name="twitter:player:stream" content="https://cdn.example.org/twitter/#N#.mp4"><meta """
+    """name="twitter:title" content="TW #N#"><meta name="twitter:image" content="https://i.example.org/#N#.png">"""
+    """<b> 18 U.S.C. 2257</b>""",
+    3: """<script>jwplayer("player").setup({ file: "https://cdn.example.org/jw/#N#/index.m3u8", width: 1 }); """
+    """var jwConfig = { x: 1, "file": \'\'https://cdn.example.org/jwconfig/#N#.mp4\'\' };</script>""",
+    4: """<script src="/player/kt_player.js"></script><script>var flashvars = { video_url: """
+    """\'\'https://cdn.example.org/kvs/long/#N#.mp4\'\', video_url_text: \'\'480p\'\', video_alt_url: \'\'/kvs/#N#_720.mp4\'\', """
+    """video_alt_url_text: \'\'720p\'\' };</script>""",
+    5: """<script>videojs(\'\'p\'\', { controls: 1, sources: [ { src: "https://cdn.example.org/vjs/long/#N#.webm" } ] });</script>"""
+    """<div data-setup=\'\'{"src": "/vjs/#N#_b.mp4"}\'\'></div>""",
+    6: """<script>var videoUrl = "https://cdn.example.org/js/#N#.flv";</script>""",
+    7: """<video src="/v/#N#.mp4"><source src="https://cdn.example.org/v/long/#N#_hd.webm" type="video/webm" label="HD">"""
+    """</video><source src="/loose/#N#.ogg"><!-- <video src="/hidden.mp4"></video> -->""",
+    8: """<iframe src="https://www.youtube.com/embed/#N#"></iframe><iframe src="https://ads.example.org/#N#"></iframe>"""
+    """<meta name="rating" content="RTA-5042-1996-1400-1577-RTA">""",
+    9: """<a href="https://files.example.org/download/#N#/movie.mp4">x</a><a href="https://files.example.org/preview/#N#.mp4">"""
+    """y</a><p>you acknowledge you are at least 21 years old</p>""",
+}
+
+
+def _snippet(text: str) -> str:
+    quoted = text.replace("\\'\\'", "''").replace("#N#", f"' || {_N} || '")
+    return f"'{quoted}'"
+
+
+VIEWS["rich_pages"] = (
+    "select page_id, url, replace(html, '</head>', case page_id % 10 "
+    + " ".join(f"when {i} then {_snippet(s)}" for i, s in _SNIPPETS.items())
+    + " end || '</head>') as html from {pages}"
+)
+
+# --- manifests ------------------------------------------------------------------------------------------------
+
+_K = "@str[o_orderkey]"
+
+
+def _lines(*parts: str) -> str:
+    """SQL of the parts, each of which is an expression of whole lines."""
+    return " || ".join(parts)
+
+
+def _line(text: str) -> str:
+    return f"{text} || chr(10)"
+
+
+def _if(condition: str, text: str) -> str:
+    return f"case when {condition} then {_line(text)} else '' end"
+
+
+def _hls_segment(i: int) -> str:
+    length = f"case when o_orderkey % 17 = 0 and {i} = 2 then '0' else @str[o_custkey + {100 * i}] end"
+    offset = {1: "'@1000'", 4: "'@50000'"}.get(i, "''")
+    inside = _lines(
+        *([_if("o_orderkey % 3 = 0", f"'#EXT-X-MAP:URI=\"init{i}.mp4\",BYTERANGE=\"100@' || {_K} || '\"'")] if i in (1, 4) else []),
+        _line(f"'#EXTINF:' || @str[o_custkey % 9 + {i}] || '.5,'"),
+        _if("o_orderkey % 2 = 0", f"'#EXT-X-BYTERANGE:' || {length} || {offset}"),
+        _line(f"'seg-' || {_K} || '-{i}.m4s?x=1'"),
+    )
+    return f"case when o_orderkey % 7 >= {i} then {inside} else '' end"
+
+
+VIEWS["hls_text"] = f"""
+select o_orderkey as playlist_id, 'https://cdn.example.net/hls/' || {_K} || '/media.m3u8' as url,
+  {_lines(
+      _line("'#EXTM3U'"),
+      _line("'#EXT-X-VERSION:7'"),
+      _if("o_orderkey % 29 = 0", "'#EXT-X-PLAYLIST-TYPE:EVENT'"),
+      _if("o_orderkey % 11 = 0", "'#EXT-X-KEY:METHOD=AES-128,URI=' || chr(34) || 'k.bin' || chr(34)"),
+      _if("o_orderkey % 11 = 1", "'#EXT-X-KEY:METHOD=NONE'"),
+      *[_hls_segment(i) for i in range(1, 7)],
+      _if("o_orderkey % 13 <> 0", "'#EXT-X-ENDLIST'"),
+  )} as text
+from {{orders}}"""
+
+VIEWS["hls_masters"] = f"""
+select o_orderkey as playlist_id, 'https://cdn.example.net/hls/' || {_K} || '/master.m3u8' as url,
+  {_lines(
+      _line("'#EXTM3U'"),
+      _line("'#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID=\"aud\",NAME=\"English (5.1)\",LANGUAGE=\"en\",URI=\"audio/en.m3u8\"'"),
+      _if("o_orderkey % 2 = 0", "'#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID=\"other\",NAME=\"Svenska\",URI=\"audio/sv.m3u8\"'"),
+      _line("'#EXT-X-MEDIA:TYPE=SUBTITLES,GROUP-ID=\"subs\",NAME=\"en\",URI=\"subs/en.m3u8\"'"),
+      _line("'#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID=\"aud\",NAME=\"in band\"'"),
+      _line(
+          "'#EXT-X-STREAM-INF:BANDWIDTH=' || @str[o_custkey * 1000 + 500000] || ',AVERAGE-BANDWIDTH=' || @str[o_custkey * 900 + 1] || "
+          "',RESOLUTION=1280x720,CODECS=\"avc1.640028,mp4a.40.2\",FRAME-RATE=29.97,AUDIO=\"aud\"'"
+      ),
+      _line("'v720/index.m3u8'"),
+      _line("'#EXT-X-STREAM-INF:BANDWIDTH=' || @str[o_custkey * 100 + 64000] || ',CODECS=\"hvc1.1.6.L93.B0\"'"),
+      _line("'# a note'"),
+      _line("'/low/' || " + _K + " || '.m3u8'"),
+      _line("'#EXT-X-I-FRAME-STREAM-INF:BANDWIDTH=1,URI=\"iframes.m3u8\"'"),
+  )} as text
+from {{orders}}"""
+
+
+def _mpd(kind: int) -> str:
+    video = {
+        0: "<SegmentTemplate timescale=\"1000\" duration=\"4000\" startNumber=\"' || @str[o_custkey % 5] || '\" "
+        "initialization=\"init-$RepresentationID$.mp4\" media=\"seg-$Number%03d$.m4s\"/>",
+        1: "<SegmentTemplate timescale=\"1000\" media=\"t-$Time$.m4s\"><SegmentTimeline><S t=\"0\" d=\"4000\" r=\"2\"/>"
+        "<S d=\"' || @str[o_custkey + 1] || '\"/><S t=\"90000\" d=\"10\" r=\"-1\"/></SegmentTimeline></SegmentTemplate>",
+        2: "<SegmentList><Initialization sourceURL=\"head.mp4\"/><SegmentURL media=\"a' || @str[o_orderkey] || '.m4s\"/>"
+        "<SegmentURL media=\"b.m4s\"/></SegmentList>",
+    }[kind]
+    return (
+        "'<?xml version=\"1.0\"?><MPD xmlns=\"urn:mpeg:dash:schema:mpd:2011\" type=\"' || case when o_orderkey % 10 = 9 then 'dynamic' "
+        "else 'static' end || '\"><BaseURL>media/</BaseURL><Period duration=\"PT' || @str[o_custkey % 50 + 10] || 'S\"><AdaptationSet "
+        "mimeType=\"video/mp4\">' || case when o_orderkey % 8 = 7 then '<ContentProtection schemeIdUri=\"urn:x\"/>' else '' end || "
+        "'<Representation id=\"v1\" bandwidth=\"' || @str[o_custkey * 1000] || '\" codecs=\"avc1.640028\" width=\"1920\" height=\"1080\" "
+        "frameRate=\"30000/1001\"><BaseURL>' || case when o_orderkey % 6 = 5 then 'http://10.0.0.1/' else 'v/' end || '</BaseURL>"
+        + video
+        + "</Representation></AdaptationSet><AdaptationSet mimeType=\"audio/mp4\" lang=\"en\" codecs=\"mp4a.40.2\"><Representation "
+        "bandwidth=\"128000\" audioSamplingRate=\"48000 44100\"><SegmentList><SegmentURL media=\"a.m4s\"/></SegmentList></Representation>"
+        "</AdaptationSet><AdaptationSet mimeType=\"text/vtt\" lang=\"sv\"><Representation id=\"s\"><BaseURL>subs.vtt</BaseURL></Representation>"
+        "</AdaptationSet></Period></MPD>'"
+    )
+
+
+VIEWS["mpd_text"] = f"""
+select o_orderkey as mpd_id, 'https://cdn.example.net/dash/' || {_K} || '/manifest.mpd' as url,
+  case o_orderkey % 3 when 0 then {_mpd(0)} when 1 then {_mpd(1)} else {_mpd(2)} end as text
+from {{orders}}"""
+
 _ORDER = re.compile(r"\{(\w+)\}")
 _CALL = re.compile(r"@(\w+)\[")
 
@@ -223,6 +358,10 @@ def _render(text: str, dialect: str) -> str:
         text = text[: m.start()] + names[m.group(1)].replace("{0}", arg) + text[i:]
 
 
+def _inputs(text: str) -> list[str]:
+    return [n for n in dict.fromkeys(_ORDER.findall(text)) if n in VIEWS or n in TABLES]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -232,21 +371,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     text = VIEWS[name]
-    inputs = {n: view(spark, sf_dir, n) for n in dict.fromkeys(_ORDER.findall(text))}
-    return spark.sql(_render(text, "spark"), **inputs)
+    names = _inputs(text)
+    inputs = {n: view(spark, sf_dir, n) for n in names}
+    # All braces but those around names are text.
+    escaped = re.sub(r"[{}]", lambda m: m.group(0) * 2, _render(text, "spark"))
+    for n in names:
+        escaped = escaped.replace("{{" + n + "}}", "{" + n + "}")
+    return spark.sql(escaped, **inputs)
 
 
 def _needed(name: str) -> list[str]:
     if name in TABLES:
         return []
-    below = [_needed(n) for n in dict.fromkeys(_ORDER.findall(VIEWS[name]))]
+    below = [_needed(n) for n in _inputs(VIEWS[name])]
     return list(dict.fromkeys(reduce(list.__add__, below, []) + [name]))
 
 
 def with_views(sql: str) -> str:
     """Prefix a DuckDB query with the views it names as ``{view}``."""
-    named = [n for n in dict.fromkeys(_ORDER.findall(sql)) if n in VIEWS or n in TABLES]
-    names = list(dict.fromkeys(n for v in named for n in _needed(v)))
+    names = list(dict.fromkeys(n for v in _inputs(sql) for n in _needed(v)))
 
     def bare(text: str) -> str:
         return _ORDER.sub(lambda m: m.group(1) if m.group(1) in VIEWS or m.group(1) in TABLES else m.group(0), text)
