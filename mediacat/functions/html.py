@@ -10,20 +10,16 @@ from pyspark.sql import functions as F
 from mediacat.functions.conditions import as_col, let
 
 
-def _named() -> Column:
-    """Entity name to text, for every reference that ends in a semicolon (from the standard library's table)."""
-    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(_json(names)), "map<string,string>")
+# References of the standard library's table that end in a semicolon, as one text: name and value between marks.
+_MARK, _IS = "\x01", "\x02"
+_TABLE = _MARK + _MARK.join(f"{k[:-1]}{_IS}{v}" for k, v in html5.items() if k.endswith(";")) + _MARK
+# Looked up first: what a serializer escapes.
+_COMMON = ("amp", "lt", "gt", "quot", "nbsp")
 
 
-def _json(names: dict[str, str]) -> str:
-    import json
-
-    return json.dumps(names)
-
-
-# The references pages use most; a token outside goes to the full table.
-_COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "eacute")
+def _named(name: Column) -> Column:
+    after = F.split_part(F.lit(_TABLE), F.concat(F.lit(_MARK), name, F.lit(_IS)), F.lit(2))
+    return F.nullif(F.split_part(after, F.lit(_MARK), F.lit(1)), F.lit(""))
 
 
 def _code_point(code: Column, token: Column) -> Column:
@@ -41,16 +37,14 @@ def _entity(token: Column) -> Column:
     decimal = F.regexp_extract(token, r"^&#(\d{1,7});$", 1)
     hexa = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
     name = F.regexp_extract(token, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
-    common = None
+    text = F.coalesce(_named(name), token)
     for n in _COMMON:
-        text = F.lit(html5[f"{n};"])
-        common = F.when(name == n, text) if common is None else common.when(name == n, text)
+        text = F.when(name == n, F.lit(html5[f"{n};"])).otherwise(text)
     return (
         F.when(~token.startswith("&"), token)
         .when(decimal != "", _code_point(decimal.try_cast("int"), token))
         .when(hexa != "", _code_point(F.conv(hexa, 16, 10).cast("int"), token))
-        .when(name.isin(*_COMMON), common.otherwise(token))
-        .when(name != "", F.coalesce(F.try_element_at(_named(), name), token))
+        .when(name != "", text)
         .otherwise(token)
     )
 

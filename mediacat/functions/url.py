@@ -68,12 +68,12 @@ def normalize_url(c: Column | str) -> Column:
     return F.when(authority(c).isNotNull(), whole).otherwise(F.get(F.split(c, r"\?", 2), F.lit(0)))
 
 
-def _encode_set(c: Column, escaped: str) -> Column:
-    """Percent-encode runs of the characters of a class and of everything outside printable ASCII."""
-    unsafe = rf"[^!-~]|[{escaped}]"
-    runs = F.regexp_extract_all(c, F.lit(rf"(?:{unsafe})+|(?:(?!{unsafe}).)+"), F.lit(0))
+def _encode(c: Column) -> Column:
+    """Percent-encode what no part of a URL may hold: white space, quotes, angle brackets, non-ASCII characters."""
+    unsafe = r"""[^!-~]|["<>`]"""
+    runs = F.regexp_extract_all(c, F.lit(r"""(?:[^!-~]|["<>`])+|[!#-;=?-_a-~]+"""), F.lit(0))
     coded = F.transform(
-        runs, lambda r: F.when(r.rlike(unsafe), F.regexp_replace(F.url_encode(r), r"\+", "%20")).otherwise(r)
+        runs, lambda r: F.when(r.rlike(unsafe), F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))).otherwise(r)
     )
     return F.when(c.rlike(unsafe), F.array_join(coded, "")).otherwise(c)
 
@@ -91,17 +91,7 @@ def _remove_dots(p: Column) -> Column:
     last = F.element_at(parts, -1)
     tail = F.when(last.isin(".", "..") , F.lit("/")).otherwise(F.lit(""))
     joined = F.concat(F.array_join(folded, "/"), tail)
-    return F.when(p.rlike(r"/\.\.?(/|$)"), F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))).otherwise(p)
-
-
-def _compose(prefix: Column, p: Column, q: Column, fragment: Column) -> Column:
-    full = let(F.when(p == "", F.lit("/")).otherwise(p), _remove_dots)
-    return F.concat(
-        prefix,
-        let(full, lambda c: _encode_set(c, r'"<>`{}^')),
-        let(F.coalesce(q, F.lit("")), lambda c: _encode_set(c, r"""'"<>""")),
-        let(F.coalesce(fragment, F.lit("")), lambda c: _encode_set(c, r'"<>`')),
-    )
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def url_join(base: Column | str, reference: Column | str) -> Column:
@@ -114,30 +104,37 @@ def url_join(base: Column | str, reference: Column | str) -> Column:
 
 
 def _join(base: Column, ref: Column) -> Column:
-    prefix = F.concat(scheme(base), F.lit("://"), F.coalesce(authority(base), F.lit("")))
-    base_path, base_query = path(base), extract(base, _URL, 4)
-    parts = r"^([^?#]*)(\?[^#]*)?(#.*)?$"
+    absolute = is_url(ref)
+    # The parts of the result: those of the reference, or of the base where the reference leaves them out.
+    whole = F.when(absolute, ref).otherwise(base)
+    parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
     p, q, fragment = (F.regexp_extract(ref, parts, i) for i in (1, 2, 3))
-    directory = F.regexp_replace(base_path, "[^/]*$", "")
-    merged = F.when(p.startswith("/"), p).otherwise(F.concat(directory, p))
-    relative = F.when(p == "", _compose(prefix, base_path, F.when(q != "", q).otherwise(base_query), fragment)).otherwise(
-        _compose(prefix, merged, q, fragment)
+    base_path = F.regexp_extract(base, _URL, 3)
+    merged = F.when(absolute | p.startswith("/"), p).when(p == "", base_path).otherwise(
+        F.concat(F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), "[^/]*$", ""), p)
     )
-    absolute = _compose(
-        F.concat(scheme(ref), F.lit("://"), F.coalesce(F.lower(authority(ref)), F.lit(""))),
-        path(ref),
-        extract(ref, _URL, 4),
-        extract(ref, _URL, 5),
+    own_query = F.when((p == "") & (q == "") & ~absolute, F.regexp_extract(base, _URL, 4)).otherwise(q)
+    site = F.coalesce(authority(whole), F.lit(""))
+    joined = F.concat(
+        scheme(whole),
+        F.lit("://"),
+        F.when(absolute, F.lower(site)).otherwise(site),
+        F.replace(F.replace(F.replace(let(merged, _clean_path), F.lit("{"), F.lit("%7B")), F.lit("}"), F.lit("%7D")), F.lit("^"), F.lit("%5E")),
+        F.replace(own_query, F.lit("'"), F.lit("%27")),
+        fragment,
     )
     return (
         F.when((ref == "") | ref.startswith("data:") | ref.startswith("javascript:"), None)
         .when(ref.startswith("//"), F.concat(F.lit("https:"), ref))
-        .when(is_url(ref), absolute)
-        .when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .otherwise(relative)
+        .when(~absolute & ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .otherwise(let(joined, _encode))
     )
 
 
+def _clean_path(p: Column) -> Column:
+    return F.when(p == "", F.lit("/")).when(p.rlike(r"/\.\.?(/|$)"), _remove_dots(p)).otherwise(p)
+
+
 def _extension(c: Column | str) -> Column:
     return F.lower(extract(path(c), r"\.([^./]*)$"))
 

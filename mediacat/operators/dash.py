@@ -88,7 +88,7 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
 
 
 def _resolved(base: Column, level: Column) -> Column:
-    return let(base, lambda b: F.coalesce(url_join(b, level), b))
+    return F.when(level.isNull(), base).otherwise(let(base, lambda b: F.coalesce(url_join(b, level), b)))
 
 
 def mime_class(mime: Column | str = "mime", codecs: Column | str = "codecs") -> Column:
@@ -138,14 +138,18 @@ def _has_segments() -> Column:
 
 
 def _safe_segments() -> Column:
-    """The URLs the segments resolve to may be fetched; templates only differ in file names."""
-    base = F.col("base_url")
+    """The URLs the segments resolve to may be fetched.
 
-    def safe(u: Column) -> Column:
-        return u.isNull() | url_safety(F.coalesce(url_join(base, u), base)).isNull()
-
-    patterns = F.when(F.col("addressing") == "list", F.forall("urls", safe)).otherwise(safe(F.col("media")))
-    return patterns & safe(F.col("init"))
+    Relative names stay on the host of the base URL, which has been checked; templates only differ in file names.
+    """
+    names = F.array_compact(
+        F.concat(
+            F.array("init"), F.when(F.col("addressing") == "list", F.col("urls")).otherwise(F.array("media"))
+        )
+    )
+    elsewhere = F.filter(names, lambda u: u.rlike("^(?://|[A-Za-z][A-Za-z0-9+.-]*:)"))
+    absolute = F.transform(elsewhere, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))
+    return (F.size(elsewhere) == 0) | F.forall(absolute, lambda u: url_safety(u).isNull())
 
 
 def _usable(manifests: DataFrame, by: str) -> DataFrame:
@@ -259,14 +263,25 @@ def dash_segments_template(manifests: DataFrame, by: str = "mpd_id") -> DataFram
 
 
 def timeline_starts(
-    entries: DataFrame, keys: Sequence[str], order: str = "entry", block: int = 100_000
+    entries: DataFrame, keys: Sequence[str], order: str = "entry", block: int | None = 100_000
 ) -> DataFrame:
     """Start time and number of the first segment of each timeline entry ``(t, d, r)``.
 
     An entry stands for ``r + 1`` segments of length ``d`` and starts at ``t``, or where the former one ended.
+    Without ``block`` a group's entries are scanned in one window, which is right where they come from one row.
     """
     repeats = F.greatest(F.coalesce(F.col("r"), F.lit(0)), F.lit(0)) + 1
     counted = entries.withColumn("repeats", repeats)
+    if block is None:
+        ordered = Window.partitionBy(*keys).orderBy(order)
+        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        ticks = F.coalesce(F.sum(F.col("d") * F.col("repeats")).over(before), F.lit(0))
+        index = F.coalesce(F.sum("repeats").over(before), F.lit(0))
+        summed = counted.withColumns({"_ticks": ticks, "index": index})
+        shifted = summed.withColumn("_shift", F.col("t") - F.col("_ticks"))
+        upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last("_shift", ignorenulls=True).over(upto)
+        return shifted.withColumn("start", F.coalesce(last, F.lit(0)) + F.col("_ticks")).drop("_ticks", "_shift")
     summed = running(
         counted,
         keys,
@@ -290,7 +305,7 @@ def dash_segments_timeline(manifests: DataFrame, by: str = "mpd_id") -> DataFram
     entries = rows.select(
         *keys, "base_url", "media", "init", "bandwidth", "timescale", F.posexplode("timeline").alias("entry", "_s")
     ).select("*", F.col("_s._t").alias("t"), F.col("_s._d").alias("d"), F.col("_s._r").alias("r")).drop("_s")
-    starts = timeline_starts(entries, keys)
+    starts = timeline_starts(entries, keys, block=None)
     room = F.lit(MAX_SEGMENTS) - _shift() - F.col("index")
     expanded = explode_range(starts, F.least(F.col("repeats"), room), "_k")
     segments = _filled(

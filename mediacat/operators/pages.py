@@ -185,27 +185,45 @@ def json_ld_videos(pages: DataFrame, html: str = "html") -> DataFrame:
 # --- detection ------------------------------------------------------------------------------------------------
 
 
-def _row(url: Column, confidence: int, source: Column | str, ext: Column | None = None, quality: Column | None = None) -> Column:
+def _row(
+    raw: Column,
+    confidence: int,
+    source: Column | str,
+    declared: Column | None = None,
+    mime: Column | None = None,
+    quality: Column | None = None,
+    once: bool = False,
+) -> Column:
+    """A reference as a page spells it. ``declared`` is an extension that goes before the URL's own, ``mime`` one that
+    goes after it; ``once`` drops the row if the strategy has found the URL before."""
+    none = F.lit(None).cast("string")
     return F.struct(
-        url.alias("url"),
-        (media_ext_from_url(url) if ext is None else ext).alias("ext"),
-        (F.lit(None).cast("string") if quality is None else quality).alias("quality"),
+        raw.alias("raw"),
+        (none if declared is None else declared).alias("declared"),
+        (none if mime is None else mime).alias("mime"),
+        (none if quality is None else quality).alias("quality"),
         F.lit(confidence).alias("confidence"),
         (F.lit(source) if isinstance(source, str) else source).alias("source"),
+        F.lit(once).alias("once"),
     )
 
 
-_ROWS = "array<struct<url:string,ext:string,quality:string,confidence:int,source:string>>"
+_ROWS = (
+    "array<struct<raw:string,declared:string,mime:string,quality:string,confidence:int,source:string,once:boolean>>"
+)
 
 
 def _none() -> Column:
     return F.array().cast(_ROWS)
 
 
-def _resolved(base: Column, urls: Column, confidence: int, source: str) -> Column:
-    """Rows of the URLs that resolve, each once."""
-    links = F.array_distinct(F.array_compact(F.transform(urls, lambda u: url_join(base, u))))
-    return F.transform(links, lambda u: _row(u, confidence, source))
+def _each(urls: Column, confidence: int, source: str) -> Column:
+    return F.transform(urls, lambda u: _row(u, confidence, source, once=True))
+
+
+def _resolvable(raw: Column) -> Column:
+    text = trim_space(raw)
+    return F.coalesce((text != "") & ~text.startswith("data:") & ~text.startswith("javascript:"), F.lit(False))
 
 
 def _steps(html: Column, *patterns: str) -> Column:
@@ -240,6 +258,11 @@ _JW = {
         r"""["']?file["']?\s*[=:]\s*["']([^"']+)["']""",
     ),
 }
+_JW_MARKERS = {
+    "jwplayer.setup": "jwplayer",
+    "jwplayer.options": "JWPlayerOptions|jwConfig|playerInstance",
+    "jwplayer.flashvars": "flashvars",
+}
 _VIDEOJS = (
     r"""videojs\s*\(\s*["']?\w+["']?""",
     r"sources\s*:\s*\[\s*\{",
@@ -274,11 +297,11 @@ _SOURCE_TYPES = {
 
 
 def _detect_json_ld(p) -> Column:
-    def row(url: Column) -> Column:
-        ext = F.coalesce(media_ext_from_url(url), ext_from_mime(_text(p["video"], "encodingFormat")))
-        return F.when(url.isNotNull(), F.array(_row(url, HIGH, "json-ld:contentUrl", ext)))
-
-    return F.when(p["video"].isNotNull(), let(url_join(p["base"], _text(p["video"], "contentUrl")), row))
+    # Only the bytes themselves count; a player's page (embedUrl) is no media.
+    row = _row(
+        _text(p["video"], "contentUrl"), HIGH, "json-ld:contentUrl", mime=ext_from_mime(_text(p["video"], "encodingFormat"))
+    )
+    return F.when(p["video"].isNotNull(), F.array(row))
 
 
 def bind_og(metas: Column) -> Column:
@@ -342,21 +365,13 @@ def _og_bound(og: Column, roots: Column) -> Column:
 
 def _detect_open_graph(p) -> Column:
     media = F.filter(bind_og(p["metas"]), lambda e: e["type"].isNull() | is_media_content_type(e["type"]))
-    resolved = F.transform(
-        media,
-        lambda e: F.struct(
-            F.coalesce(url_join(p["base"], e["secure_url"]), url_join(p["base"], e["root"])).alias("url"),
-            e["type"].alias("type"),
-            e["kind"].alias("kind"),
-        ),
-    )
     rows = F.transform(
-        F.filter(resolved, lambda e: e["url"].isNotNull()),
+        media,
         lambda e: _row(
-            e["url"],
+            F.when(_resolvable(e["secure_url"]), e["secure_url"]).otherwise(e["root"]),
             HIGH,
             F.concat(F.lit("og:"), e["kind"]),
-            F.coalesce(media_ext_from_url(e["url"]), ext_from_mime(e["type"])),
+            mime=ext_from_mime(e["type"]),
         ),
     )
     return F.when(p["html"].contains("og:"), rows)
@@ -365,32 +380,15 @@ def _detect_open_graph(p) -> Column:
 def _detect_twitter(p) -> Column:
     name = "twitter:player:stream"
     own = F.filter(p["metas"], lambda t: (attr(t, "name") == name) | (attr(t, "property") == name))
-    urls = F.array_compact(F.transform(own, lambda t: url_join(p["base"], attr(t, "content"))))
-    return F.when(p["html"].contains(name), F.transform(urls, lambda u: _row(u, MEDIUM, name)))
+    return F.when(p["html"].contains(name), F.transform(own, lambda t: _row(attr(t, "content"), MEDIUM, name)))
 
 
 def _detect_jw(p) -> Column:
     found = []
     for source, steps in _JW.items():
-        marker = "jwplayer" if source == "jwplayer.setup" else "flashvars" if "flashvars" in source else ""
-        rows = _resolved(p["base"], _steps(p["html"], *steps), MEDIUM, source)
-        if marker:
-            here = p["html"].contains(marker)
-        else:
-            here = p["html"].rlike("JWPlayerOptions|jwConfig|playerInstance")
-        found.append(F.when(here, rows).otherwise(_none()))
-    return _first_per_url(F.concat(*found))
-
-
-def _first_per_url(rows: Column) -> Column:
-    """Of rows with the same URL the first."""
-    return let(
-        rows,
-        lambda all_: let(
-            F.transform(all_, lambda r: r["url"]),
-            lambda urls: F.filter(all_, lambda r, i: F.array_position(urls, r["url"]) == i + 1),
-        ),
-    )
+        here = p["html"].rlike(_JW_MARKERS[source])
+        found.append(F.when(here, _each(_steps(p["html"], *steps), MEDIUM, source)).otherwise(_none()))
+    return F.concat(*found)
 
 
 # The variables that hold URLs; each may have one with "_text" after its name.
@@ -416,63 +414,41 @@ def _detect_kvs(p) -> Column:
 
         def row(key: Column) -> Column:
             source = F.when(key == _KVS_URLS[0], "kvs.video_url").otherwise("kvs.video_alt_url")
-            return let(
-                url_join(p["base"], F.nullif(value(key), F.lit(""))),
-                lambda u: F.when(
-                    u.isNotNull(), _row(u, MEDIUM, source, quality=value(F.concat(key, F.lit("_text"))))
-                ),
-            )
+            return _row(value(key), MEDIUM, source, quality=value(F.concat(key, F.lit("_text"))))
 
-        return F.array_compact(F.transform(names, row))
+        return F.transform(names, row)
 
     return F.when(p["html"].contains("kt_player.js") & loaded, let(entries, rows))
 
 
 def _detect_videojs(p) -> Column:
-    setup = _resolved(p["base"], _steps(p["html"], *_VIDEOJS), MEDIUM, "videojs")
-    data = _resolved(p["base"], _steps(p["html"], *_DATA_SETUP), MEDIUM, "videojs.data-setup")
-    return F.when(p["html"].contains("videojs") | p["html"].contains("data-setup"), _first_per_url(F.concat(setup, data)))
+    setup = _each(_steps(p["html"], *_VIDEOJS), MEDIUM, "videojs")
+    data = _each(_steps(p["html"], *_DATA_SETUP), MEDIUM, "videojs.data-setup")
+    return F.when(p["html"].contains("videojs") | p["html"].contains("data-setup"), F.concat(setup, data))
 
 
 def _detect_js_parameters(p) -> Column:
-    urls = F.regexp_extract_all(p["html"], F.lit(_JS_PARAMETER), F.lit(1))
-    return _resolved(p["base"], urls, LOW, "js.param")
+    return _each(F.regexp_extract_all(p["html"], F.lit(_JS_PARAMETER), F.lit(1)), LOW, "js.param")
 
 
 def _detect_html5(p) -> Column:
     blocks = F.regexp_extract_all(p["markup"], F.lit(r"(?is)<video\b[^>]*>(?:.*?)(?:</video\s*>|\z)"), F.lit(0))
 
-    def source_rows(sources: Column, confidence: int, name: str, quality: bool) -> Column:
-        resolved = F.transform(
-            sources, lambda t: F.struct(url_join(p["base"], attr(t, "src")).alias("url"), t.alias("tag"))
-        )
-        return F.transform(
-            F.filter(resolved, lambda r: r["url"].isNotNull()),
-            lambda r: _row(
-                r["url"],
-                confidence,
-                name,
-                F.coalesce(_by_type(attr(r["tag"], "type")), media_ext_from_url(r["url"])),
-                F.coalesce(attr(r["tag"], "label"), attr(r["tag"], "data-quality")) if quality else None,
-            ),
-        )
+    def of_source(tag: Column) -> Column:
+        quality = F.coalesce(attr(tag, "label"), attr(tag, "data-quality"))
+        return _row(attr(tag, "src"), MEDIUM, "video>source", _by_type(attr(tag, "type")), quality=quality)
 
     def of_block(b: Column) -> Column:
-        direct = let(
-            url_join(p["base"], attr(F.get(tags(b, "video"), F.lit(0)), "src")),
-            lambda own: F.when(own.isNotNull(), F.array(_row(own, MEDIUM, "video[src]"))).otherwise(_none()),
-        )
-        return F.concat(direct, source_rows(tags(b, "source"), MEDIUM, "video>source", True))
-
-    inside = F.flatten(F.transform(blocks, of_block))
-    loose = source_rows(tags(p["markup"], "source"), LOW, "source", False)
-    # Only those no <video> has; each once.
-    first = F.aggregate(
-        loose,
-        inside,
-        lambda acc, r: F.when(F.exists(acc, lambda x: x["url"] == r["url"]), acc).otherwise(F.concat(acc, F.array(r))),
+        own = _row(attr(F.get(tags(b, "video"), F.lit(0)), "src"), MEDIUM, "video[src]")
+        return F.concat(F.array(own), F.transform(tags(b, "source"), of_source))
+
+    # Sources outside of any <video> count where none inside has their URL.
+    loose = F.transform(
+        tags(p["markup"], "source"),
+        lambda tag: _row(attr(tag, "src"), LOW, "source", _by_type(attr(tag, "type")), once=True),
     )
-    return F.when(p["markup"].rlike("(?i)<(?:video|source)\\b"), first)
+    rows = F.concat(F.flatten(F.transform(blocks, of_block)), loose)
+    return F.when(p["markup"].rlike("(?i)<(?:video|source)\\b"), rows)
 
 
 def _by_type(mime: Column) -> Column:
@@ -481,9 +457,9 @@ def _by_type(mime: Column) -> Column:
 
 
 def _detect_direct_links(p) -> Column:
-    urls = F.array_distinct(F.regexp_extract_all(p["html"], F.lit(_DIRECT_LINK), F.lit(1)))
+    urls = F.regexp_extract_all(p["html"], F.lit(_DIRECT_LINK), F.lit(1))
     likely = F.filter(urls, lambda u: ~F.lower(u).rlike(_NOT_MEDIA) & (F.octet_length(u) > MIN_LINK))
-    return F.transform(likely, lambda u: _row(u, LOW, "link_scan"))
+    return _each(likely, LOW, "link_scan")
 
 
 # The strategies in their order; the place in it breaks ties of confidence. 8 is the advisory scan for players.
@@ -534,8 +510,9 @@ def detections(pages: DataFrame, only: Sequence[str] | None = None) -> DataFrame
     for name in names:
         number, detect = STRATEGIES[name]
         found.append(_numbered(F.coalesce(detect(p), _none()), number))
-    exploded = staged.select("page_id", F.explode(F.concat(*found)).alias("_r"))
-    out = exploded.select("page_id", "_r.row.*", "_r.strategy", "_r.seq")
+    rows = let(F.concat(*found), lambda all_: let(_resolved_rows(F.col("_base"), all_), _without_repeats))
+    exploded = staged.select("page_id", F.explode(rows).alias("_r"))
+    out = exploded.select("page_id", *[F.col(f"_r.{c}").alias(c) for c in _RESULT])
     for i, (name, detect) in enumerate(_registered.items()):
         if only is not None and name not in only:
             continue
@@ -546,6 +523,9 @@ def detections(pages: DataFrame, only: Sequence[str] | None = None) -> DataFrame
     return out
 
 
+_RESULT = ("url", "ext", "quality", "confidence", "source", "strategy", "seq")
+
+
 def _numbered(rows: Column, strategy: int) -> Column:
     return F.transform(
         rows,
@@ -553,6 +533,38 @@ def _numbered(rows: Column, strategy: int) -> Column:
     )
 
 
+def _resolved_rows(base: Column, found: Column) -> Column:
+    """All references resolved against the page, those that cannot be left out."""
+
+    def resolved(f: Column) -> Column:
+        r = f["row"]
+        return let(
+            url_join(base, r["raw"]),
+            lambda url: F.struct(
+                url.alias("url"),
+                F.coalesce(r["declared"], media_ext_from_url(url), r["mime"]).alias("ext"),
+                r["quality"].alias("quality"),
+                r["confidence"].alias("confidence"),
+                r["source"].alias("source"),
+                f["strategy"].alias("strategy"),
+                f["seq"].alias("seq"),
+                r["once"].alias("once"),
+            ),
+        )
+
+    return F.filter(F.transform(found, resolved), lambda r: r["url"].isNotNull())
+
+
+def _without_repeats(rows: Column) -> Column:
+    """Rows marked ``once`` only where their strategy has no earlier row of the URL."""
+    keys = F.transform(rows, lambda r: F.concat_ws(" ", r["strategy"].cast("string"), r["url"]))
+
+    def kept(known: Column) -> Column:
+        return F.filter(rows, lambda r, i: ~r["once"] | (F.array_position(known, F.get(known, i)) == i + 1))
+
+    return let(keys, kept)
+
+
 def dedup_by_confidence(rows: DataFrame) -> DataFrame:
     """Per page and URL the most confident row, of these the one of the earliest strategy."""
     keys = ["page_id", "url"]
