@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +64,16 @@ def blocked_ipv4(ip: Column | str) -> Column:
     return _within(ip, MULTICAST) | ~public.otherwise(F.lit(True))
 
 
-def classify_ip(df: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
+REGISTRY_LENGTHS = tuple(sorted({_block(cidr)[1] for cidr, _ in IPV4_BLOCKS}))
+
+
+def classify_ip(df: DataFrame, blocks: DataFrame, ip: str = "ip", lengths: Sequence[int] = range(33)) -> DataFrame:
     """Longest-prefix match of addresses (as numbers) against a table of blocks of any size.
 
-    Every distinct address is joined on equality with each of the prefix lengths; there is no range join.
+    Every distinct address is joined on equality with each of the prefix lengths the table has (``lengths``); there is
+    no range join.
     """
-    lengths = F.sequence(F.lit(0), F.lit(32))
+    lengths = F.array(*[F.lit(n) for n in lengths])
     candidates = (
         df.where(F.col(ip).isNotNull())
         .select(ip)

@@ -117,10 +117,9 @@ def number_key(value: Column, field: SortField) -> Column:
 def codec_tier(name: Column, tiers: Sequence[str]) -> Column:
     """How many tiers from the end the first matching pattern stands; 0 for an unknown codec."""
     score = None
-    lowered = F.lower(name)
     for i, pattern in enumerate(tiers):
-        value = F.lit(len(tiers) - i)
-        score = F.when(lowered.rlike(pattern), value) if score is None else score.when(lowered.rlike(pattern), value)
+        value, hit = F.lit(len(tiers) - i), name.rlike(f"(?i)(?:{pattern})")
+        score = F.when(hit, value) if score is None else score.when(hit, value)
     return F.when(name.isNotNull(), score.otherwise(0))
 
 
@@ -143,12 +142,19 @@ def protocol_score(protocol: Column) -> Column:
 
 
 def string_rank(text: Column) -> Column:
-    """The first eight UTF-8 bytes as a signed 64-bit number, as a double."""
+    """The first eight UTF-8 bytes as a signed 64-bit number, as a double.
+
+    Text of ASCII characters, which most is, is added up character by character; other text goes through hexadecimal.
+    """
+    ascii_sum = F.lit(0).cast("long")
+    for i in range(8):
+        ascii_sum = ascii_sum + F.ascii(F.substring(text, i + 1, 1)) * F.lit(1 << (8 * (7 - i))).cast("long")
     padded = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 8)), 16, "0")
     high = F.conv(F.substring(padded, 1, 8), 16, 10).cast("long")
     low = F.conv(F.substring(padded, 9, 8), 16, 10).cast("long")
     signed = F.when(high >= (1 << 31), high - F.lit(1 << 32)).otherwise(high)
-    return (signed * F.lit(1 << 32) + low).cast("double")
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, ascii_sum).otherwise(signed * F.lit(1 << 32) + low).cast("double")
 
 
 def sort_key(field: SortField, get: Get = F.col) -> Column:

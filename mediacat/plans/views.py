@@ -137,7 +137,7 @@ VIEWS["progress"] = """
 select user_id as transfer_id, event_id,
   @micros_ts[1704067200000000 + cast(floor((@micros[ts] - 1704067200000000) / 25000) as bigint)] as ts,
   cast(floor((@micros[ts] - 1704067200000000) / 1000000.0) as bigint) * (1000 + user_id % 7 * 100) as cumulative_bytes,
-  (@micros[ts] - 1704067200000000) / 2600000000000.0 as frac
+  cast(@micros[ts] - 1704067200000000 as double) / 2.6e12 as frac
 from {events}"""
 
 VIEWS["attempts"] = """
@@ -366,10 +366,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tables that a few large row groups can hold, and the key their rows belong together by.
+_SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores where a table is one small file: with fewer splits than cores the rows are shuffled by key.
+
+    A table of many files has more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        rows = table(spark, sf_dir, name)
+        return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
     text = VIEWS[name]
     names = _inputs(text)
     inputs = {n: view(spark, sf_dir, n) for n in names}
