@@ -8,7 +8,7 @@ from mediacat.operators import telemetry
 from mediacat.plans.registry import query
 
 _HISTORY = "list(throughput) over (partition by transfer_id order by seq rows between {0} preceding and {1})"
-_FOLD = "round(list_reduce(list_transform({0}, lambda x: x::double), lambda a, x: x * 0.3::double + a * 0.7::double), 3)"
+_FOLD = "round(list_reduce(list_transform({0}, lambda x: x::double), lambda a, x: x * 0.3::double + a * 0.7::double), 9)"
 
 
 @query(
@@ -17,7 +17,7 @@ _FOLD = "round(list_reduce(list_transform({0}, lambda x: x::double), lambda a, x
 )
 def _(t):
     rows = telemetry.ewma_last_8(t.samples)
-    return rows.select("transfer_id", "seq", F.round("ewma", 3).alias("ewma"))
+    return rows.select("transfer_id", "seq", F.round("ewma", 9).alias("ewma"))
 
 
 @query(
@@ -49,10 +49,10 @@ def _(t):
     "J11_plan_chunks",
     """select o_orderkey, i as chunk_id, i * c as start, least((i + 1) * c, size) as "end" from (
          select o_orderkey, size, least(greatest(pow(2, ceil(log2(greatest(least(size // 1024, 8388608), 65536))))::bigint, 65536), 8388608) as c
-         from (select o_orderkey, floor(o_totalprice)::bigint * 20 as size from orders)), range(0, 4000) r(i) where i * c < size""",
+         from (select o_orderkey, floor(o_totalprice)::bigint * 4 as size from orders)), range(0, 4000) r(i) where i * c < size""",
 )
 def _(t):
-    sized = t.orders.select("o_orderkey", (F.floor("o_totalprice") * 20).alias("size"))
+    sized = t.orders.select("o_orderkey", (F.floor("o_totalprice") * 4).alias("size"))
     return telemetry.plan_chunks(sized).select("o_orderkey", "chunk_id", "start", "end")
 
 
