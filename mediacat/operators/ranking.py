@@ -1,7 +1,8 @@
 """Sort keys over formats and the picks made with them.
 
-A key is a struct ``(tier, primary, tiebreak)``; more is better. Missing values have tier -10. ``best`` takes the
-last of equal formats and ``worst`` the first, whereas the N-th best or worst counts equal formats from the first.
+All keys of a row form one flat struct; more is better. A missing value is NULL, which compares below every value.
+``best`` takes the last of equal formats and ``worst`` the first, whereas the N-th best or worst counts equal formats
+from the first.
 """
 
 from __future__ import annotations
@@ -82,36 +83,18 @@ DEFAULT_ORDER = tuple(
 )
 
 
-def _key(tier: Column | int, primary: Column, tiebreak: Column | int) -> Column:
-    as_int = [c if isinstance(c, Column) else F.lit(c) for c in (tier, tiebreak)]
-    return F.struct(
-        as_int[0].cast("int").alias("tier"),
-        primary.cast("double").alias("primary"),
-        as_int[1].cast("int").alias("tiebreak"),
-    )
-
-
-def _missing() -> Column:
-    return _key(-10, F.lit(0.0), 0)
-
-
-def number_key(value: Column, field: SortField) -> Column:
+def number_keys(value: Column, field: SortField) -> list[Column]:
     v = value.cast("double")
+    sign = -1.0 if field.ascending else 1.0
     if field.nearest:
         limit = F.lit(float(field.limit or 0.0))
         preferred = (v <= limit) if field.ascending else (v >= limit)
-        key = _key(0, -F.abs(v - limit), F.when(preferred, 1).otherwise(-1))
-    elif field.limit is not None:
-        sign = -1 if field.ascending else 1
+        return [-F.abs(v - limit), F.when(preferred, 1).otherwise(-1)]
+    if field.limit is not None:
         within = v <= F.lit(float(field.limit))
-        key = _key(
-            F.when(within, 0).otherwise(-1),
-            F.when(within, v * sign).otherwise(-v * sign),
-            F.when(within, sign).otherwise(-sign),
-        )
-    else:
-        key = _key(0, -v if field.ascending else v, 1)
-    return F.when(v.isNull(), _missing()).otherwise(key)
+        # 1 at or below the limit, 0 above it, NULL for a missing value.
+        return [F.when(within, 1).when(~within, 0), F.when(within, v * sign).otherwise(v * -sign)]
+    return [v * sign]
 
 
 def codec_tier(name: Column, tiers: Sequence[str]) -> Column:
@@ -157,34 +140,32 @@ def string_rank(text: Column) -> Column:
     return F.when(plain, ascii_sum).otherwise(signed * F.lit(1 << 32) + low).cast("double")
 
 
-def sort_key(field: SortField, get: Get = F.col) -> Column:
+def sort_keys(field: SortField, get: Get = F.col) -> list[Column]:
+    """The columns a field sorts by, most of them one."""
     sign = -1.0 if field.ascending else 1.0
     name = field.name
     if name in ("hasvid", "hasaud"):
-        flag = has_video(get("vcodec")) if name == "hasvid" else has_audio(get("acodec"))
-        return F.when(flag, _key(0, F.lit(1.0), 1)).otherwise(_missing())
+        return [F.when(has_video(get("vcodec")) if name == "hasvid" else has_audio(get("acodec")), 1)]
     if name in _NUMERIC:
-        return number_key(get(_NUMERIC[name]), field)
+        return number_keys(get(_NUMERIC[name]), field)
     if name in ("size", "filesize"):
-        return number_key(F.coalesce(get("filesize"), get("filesize_approx")), field)
+        return number_keys(F.coalesce(get("filesize"), get("filesize_approx")), field)
     if name == "hdr":
-        return number_key(hdr_score(get("dynamic_range")), field)
+        return number_keys(hdr_score(get("dynamic_range")), field)
     if name in ("vcodec", "acodec"):
-        c = codec(get(name))
-        tier = codec_tier(c, VIDEO_TIERS if name == "vcodec" else AUDIO_TIERS)
-        return F.when(c.isNull(), _missing()).otherwise(_key(0, tier * sign, int(sign)))
+        return [codec_tier(codec(get(name)), VIDEO_TIERS if name == "vcodec" else AUDIO_TIERS) * int(sign)]
     if name in ("proto", "protocol"):
-        return _key(0, protocol_score(get("protocol")) * sign, 0)
+        return [protocol_score(get("protocol")) * int(sign)]
     if name in _TEXT:
-        c = get(_TEXT[name])
-        return F.when(c.isNull(), _missing()).otherwise(_key(1, string_rank(c) * sign, 0))
-    return _missing()
+        return [string_rank(get(_TEXT[name])) * sign]
+    # Channels and unknown fields are missing in every format.
+    return []
 
 
 def rank_key(order: Sequence[SortField] = DEFAULT_ORDER, get: Get = F.col) -> Column:
-    """All sort fields as one comparable struct; fields that are always missing are left out."""
-    keys = [sort_key(f, get).alias(f"k{i}") for i, f in enumerate(order) if f.name != "channels"]
-    return F.struct(*keys)
+    """All sort fields as one comparable struct."""
+    keys = [k for f in dict.fromkeys(order) for k in sort_keys(f, get)]
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys or [F.lit(0)])])
 
 
 def row_struct(df: DataFrame, columns: Sequence[str] | None = None, without: Sequence[str] = ()) -> Column:
