@@ -48,15 +48,16 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     ``manifests`` has ``by, url, text``.
     """
     parsed = manifests.select(by, "url", F.from_xml("text", MPD_SCHEMA).alias("_m"))
-    static = parsed.where(F.coalesce(F.col("_m._type") != "dynamic", F.lit(True)))
+    # The conditions stand inside of outer explodes: as filters they would be moved down and parse the text again.
+    static = F.coalesce(F.col("_m._type") != "dynamic", F.lit(True))
     period = F.get("_m.Period", F.lit(0))
-    sets = static.select(
+    sets = parsed.select(
         by,
         F.col("url").alias("mpd_url"),
         F.get("_m.BaseURL", F.lit(0)).alias("_mpd_base"),
         F.coalesce(parse_iso_duration(period["_duration"]), F.lit(0.0)).alias("period_seconds"),
-        F.posexplode(period["AdaptationSet"]).alias("adapt", "_a"),
-    ).where(F.coalesce(F.size("_a.ContentProtection"), F.lit(0)) <= 0)
+        F.posexplode_outer(F.when(static, period["AdaptationSet"])).alias("adapt", "_a"),
+    ).where(F.col("adapt").isNotNull()).where(F.coalesce(F.size("_a.ContentProtection"), F.lit(0)) <= 0)
     rows = sets.select("*", F.posexplode("_a.Representation").alias("repr", "_r")).where(
         F.coalesce(F.size("_r.ContentProtection"), F.lit(0)) <= 0
     )

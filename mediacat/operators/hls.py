@@ -100,7 +100,9 @@ def hls_variants(playlists: DataFrame, by: str = "playlist_id") -> DataFrame:
     rows = F.filter(
         F.concat("_variants", F.transform("_audio", rendition)), lambda v: v["url"].isNotNull()
     )
-    return staged.select(by, F.posexplode(rows).alias("pos", "_v")).select(by, "pos", "_v.*").drop("declared_audio")
+    # Outer, so that the rows are not computed once more for the filter of an inner explode.
+    exploded = staged.select(by, F.posexplode_outer(rows).alias("pos", "_v")).where(F.col("pos").isNotNull())
+    return exploded.select(by, "pos", "_v.*").drop("declared_audio")
 
 
 def attach_audio_codec(renditions: DataFrame, variants: DataFrame, by: str = "playlist_id") -> DataFrame:
@@ -299,10 +301,14 @@ def chain_byte_ranges(
 
 def hls_status(playlists: DataFrame, by: str = "playlist_id") -> DataFrame:
     """Whether the segments of a media playlist can be listed, as far as one row tells: ``status`` and ``detail``."""
+    return _with_status(playlists).drop("_segments")
+
+
+def _with_status(playlists: DataFrame) -> DataFrame:
     text = _clean(F.col("text"))
     methods = F.filter(_keys(text), lambda m: m != "NONE")
-    n = F.size(_segments(text))
-    staged = playlists.withColumns({"_text": text, "_method": F.get(methods, F.lit(0)), "_n": n})
+    staged = playlists.withColumns({"_text": text, "_method": F.get(methods, F.lit(0)), "_segments": _segments(text)})
+    staged = staged.withColumn("_n", F.size("_segments"))
     event = F.col("_text").rlike(r"(?m)^#EXT-X-PLAYLIST-TYPE:\s*EVENT")
     status = (
         F.when(F.col("_method").isNotNull(), "encrypted")
@@ -319,8 +325,9 @@ def hls_segments(playlists: DataFrame, by: str = "playlist_id") -> DataFrame:
 
     A playlist has at most ``MAX_SEGMENTS`` of them here, so the windows over one playlist are short.
     """
-    usable = hls_status(playlists, by).where(F.col("status") == "ok")
-    rows = usable.select(by, "url", F.posexplode(_segments(_clean(F.col("text")))).alias("pos", "_s"))
+    usable = F.when(F.col("status") == "ok", F.col("_segments"))
+    rows = _with_status(playlists).select(by, "url", F.posexplode_outer(usable).alias("pos", "_s"))
+    rows = rows.where(F.col("pos").isNotNull())
     flat = rows.select(by, "url", "pos", "_s.duration", "_s.uri", "_s.map", "_s.byte_range")
     length, offset = _range(F.col("byte_range"))
     ranged = flat.withColumns({"length": length, "offset": offset})

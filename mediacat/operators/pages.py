@@ -511,7 +511,8 @@ def detections(pages: DataFrame, only: Sequence[str] | None = None) -> DataFrame
         number, detect = STRATEGIES[name]
         found.append(_numbered(F.coalesce(detect(p), _none()), number))
     rows = let(F.concat(*found), lambda all_: let(_resolved_rows(F.col("_base"), all_), _without_repeats))
-    exploded = staged.select("page_id", F.explode(rows).alias("_r"))
+    # An outer explode with a filter on its result: the filter an inner one implies would compute the rows twice.
+    exploded = staged.select("page_id", F.explode_outer(rows).alias("_r")).where(F.col("_r").isNotNull())
     out = exploded.select("page_id", *[F.col(f"_r.{c}").alias(c) for c in _RESULT])
     for i, (name, detect) in enumerate(_registered.items()):
         if only is not None and name not in only:
