@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,21 +11,24 @@ from pyspark.sql import functions as F
 MAP_WORDS, RUN = 4096, 64
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda's argument is, an expression used twice need not be."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def running_totals(x: Column) -> Column:
     """Running totals of an array of integers, by runs: about the length times RUN steps."""
-    runs = F.floor((F.size(x) + RUN - 1) / RUN).cast("int")
-    totals = F.transform(F.sequence(F.lit(1), runs), lambda r: _sum(F.slice(x, (r - 1) * RUN + 1, RUN)))
 
-    def of_run(r: Column) -> Column:
-        before, own = _sum(F.slice(totals, 1, r - 1)), F.slice(x, (r - 1) * RUN + 1, RUN)
-        return F.transform(own, lambda _, i: before + _sum(F.slice(own, 1, i + 1)))
+    def of_runs(x: Column) -> Column:
+        runs = F.floor((F.size(x) + RUN - 1) / RUN).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), runs), lambda r: F.slice(x, (r - 1) * RUN + 1, RUN))
+        return bound(cut, lambda cut: bound(F.transform(cut, _sum), lambda totals: F.flatten(F.transform(cut, lambda own, i: bound(_sum(F.slice(totals, F.lit(1), i)), lambda before: F.transform(own, lambda _, k: before + _sum(F.slice(own, F.lit(1), k + 1))))))))
 
-    filled = F.flatten(F.transform(F.sequence(F.lit(1), runs), of_run))
-    return F.when(F.size(x) > 0, filled).otherwise(F.array().cast("array<long>"))
+    return bound(x, lambda x: F.when(F.size(x) > 0, of_runs(x)).otherwise(F.array().cast("array<long>")))
 
 
 def numbers(values: list, kind: str) -> Column:

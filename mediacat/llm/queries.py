@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediacat.llm import decontaminate, fingerprints, near_dedup, packing, token_files
+from mediacat.llm import decontaminate, fingerprints, near_dedup, packing, secret_scan, token_files
 from mediacat.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_corpus(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
