@@ -118,15 +118,15 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(documents: DataFrame, model: list[float], evidence: Evidence = Evidence()) -> DataFrame:
-    """The rows with ``base`` and ``spans``: arrays of (start, end, rank, token), ``spans`` with the added ones."""
-    docs = documents.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    docs = base_spans(docs, "_text").withColumn("_tokens", _spans(F.col("_text"), TOKEN, "markov"))
+    """The rows as ``row``, with ``base`` and ``spans``: arrays of (start, end, rank, token), ``spans`` with the added ones."""
+    docs = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("scanned"))
+    docs = base_spans(docs, "scanned").withColumn("tokens", _spans(F.col("scanned"), TOKEN, "markov"))
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     score = lambda x: log_ratio(x["token"], model)
     random = lambda x: bound(score(x), lambda s: (s >= evidence.total) & (s >= evidence.mean * F.char_length(x["token"])))
     mixed = lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]")
-    added = F.filter(F.filter("_tokens", lambda x: mixed(x) & apart(x)), random)
-    return docs.withColumn("spans", F.array_sort(F.concat("base", added))).drop("_text", "_tokens")
+    added = F.filter(F.filter("tokens", lambda x: mixed(x) & apart(x)), random)
+    return docs.withColumn("spans", F.array_sort(F.concat("base", added))).select("row", "scanned", "base", "spans")
 
 
 def scan_corpus(documents: DataFrame, evidence: Evidence = Evidence()) -> DataFrame:
@@ -156,3 +156,11 @@ def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
+def mask_secrets(documents: DataFrame, model: list[float], evidence: Evidence = Evidence()) -> DataFrame:
+    """The rows with every span replaced in ``text``, and ``n_chars``, if there is one, counted anew where one was."""
+    found = scan(documents, model, evidence).withColumn("masked", mask(F.col("scanned"), F.col("spans")))
+    hit = F.size("spans") > 0
+    new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast(dict(documents.dtypes).get("n_chars", "long"))}
+    return found.select(*(F.when(hit, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in documents.columns))

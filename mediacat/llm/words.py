@@ -73,22 +73,31 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray, to: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and for each document the place of its first word, with the end behind."""
-    b = to[raw]
-    inside = b != 0
+def find_words(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside``, cut at documents, and the place of each document's first word, with the end behind."""
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
-    cuts = offsets[(offsets > 0) & (offsets < len(raw))]
+    cuts = offsets[(offsets > 0) & (offsets < len(inside))]
     opens[cuts] = inside[cuts]
     closes[cuts - 1] = inside[cuts - 1]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_values()[b] * power[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] if len(starts) else np.zeros(0, np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
+
+
+def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of these stretches of bytes."""
+    power, inverse = _powers(1 << max(20, int(len(b)).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_byte_values()[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] if len(starts) else np.zeros(0, np.uint64))
+
+
+def hash_words(raw: np.ndarray, offsets: np.ndarray, to: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and for each document the place of its first word, with the end behind."""
+    b = to[raw]
+    starts, ends, bounds = find_words(b != 0, offsets)
+    return hash_spans(b, starts, ends), bounds
 
 
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
