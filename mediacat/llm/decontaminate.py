@@ -17,7 +17,7 @@ and start.
 
 Rows: a null or empty text has no words. Rows are told apart by ``doc_id`` and text; rows equal in both have equal
 results, one each. A null ``doc_id`` comes back as null. Items without words match nothing; items with the same id are
-one. With an empty benchmark nothing is hit. Other columns are ignored.
+one; an item without an id hits words but is not named. With an empty benchmark nothing is hit. Other columns are ignored.
 """
 
 from __future__ import annotations
