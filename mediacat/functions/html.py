@@ -65,7 +65,7 @@ def repair_url_entities(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), "&(?:amp;|AMP;|#0*38;|#[xX]0*26;)", "&")
 
 
-def clean_html_tags(c: Column | str, max_length: int | None = 200) -> Column:
+def clean_html_tags(c: Column | str, max_length: int | None = None) -> Column:
     text = F.btrim(F.regexp_replace(trim_space(as_col(c)), "<[^>]+>", ""))
     text = trim_space(text)
     return text if max_length is None else F.substring(text, 1, max_length)

@@ -145,10 +145,10 @@ def media_ext_from_url(c: Column | str) -> Column:
     return F.when(ext.isin(*MEDIA_EXTENSIONS), ext)
 
 
-def ext_from_url(c: Column | str) -> Column:
-    """Any extension of up to ten characters."""
+def ext_from_url(c: Column | str, max_bytes: int | None = None) -> Column:
+    """Any extension, or with ``max_bytes`` one that is not longer."""
     ext = _extension(c)
-    return F.when(F.octet_length(ext) <= 10, ext)
+    return ext if max_bytes is None else F.when(F.octet_length(ext) <= max_bytes, ext)
 
 
 def protocol_for_url(c: Column | str) -> Column:

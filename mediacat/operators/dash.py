@@ -14,9 +14,7 @@ from mediacat.functions.url import url_join
 from mediacat.operators.net_safety import url_safety
 from mediacat.operators.ordered import Running, explode_range, running
 
-# Caps per representation and per manifest, codecs of subtitle tracks.
-MAX_SEGMENTS = 1_000_000
-MAX_RENDITIONS = 50
+# Codecs of subtitle tracks.
 TEXT_CODECS = ("stpp", "wvtt", "ttml", "dfxp")
 
 _TEMPLATE = (
@@ -164,13 +162,15 @@ def _av(manifests: DataFrame, by: str) -> DataFrame:
     return _usable(manifests, by).where(F.col("class").isin("video", "audio") & _has_segments() & _safe_segments())
 
 
-def cap_renditions(formats: DataFrame, by: str = "mpd_id", cap: int = MAX_RENDITIONS) -> DataFrame:
-    """The ``cap`` formats of the highest bitrate per manifest; equal ones in order (cut before the shuffle too)."""
+def cap_renditions(formats: DataFrame, by: str = "mpd_id", cap: int | None = None) -> DataFrame:
+    """With a ``cap``, so many formats of the highest bitrate per manifest; equal ones in order (cut before the shuffle too)."""
+    if cap is None:
+        return formats
     window = Window.partitionBy(by).orderBy(F.desc_nulls_last("tbr"), "adapt", "repr")
     return formats.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= cap).drop("_rn")
 
 
-def dash_formats(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
+def dash_formats(manifests: DataFrame, by: str = "mpd_id", cap: int | None = None) -> DataFrame:
     """Video and audio formats of static manifests."""
     rows = _av(manifests, by)
     video = F.col("class") == "video"
@@ -195,8 +195,7 @@ def dash_formats(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
         "language",
         F.col("base_url").alias("fragment_base_url"),
     )
-    return cap_renditions(formats, by)
-
+    return cap_renditions(formats, by, cap)
 
 def dash_subtitles(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Text tracks that are one file."""
@@ -255,7 +254,7 @@ def dash_segments_template(manifests: DataFrame, by: str = "mpd_id") -> DataFram
     """Segments numbered from the start number; an init segment comes first."""
     rows = _av(manifests, by).where(F.col("addressing") == "template")
     seconds = F.col("segment_ticks") / F.col("timescale")
-    count = F.least(F.ceil(F.col("period_seconds") / seconds), F.lit(MAX_SEGMENTS))
+    count = F.ceil(F.col("period_seconds") / seconds)
     numbered = explode_range(rows, count, "_i")
     segments = _filled(
         numbered, by, "media", F.col("_i") + _shift(), seconds, number=F.col("start_number") + F.col("_i")
@@ -307,8 +306,7 @@ def dash_segments_timeline(manifests: DataFrame, by: str = "mpd_id") -> DataFram
         *keys, "base_url", "media", "init", "bandwidth", "timescale", F.posexplode("timeline").alias("entry", "_s")
     ).select("*", F.col("_s._t").alias("t"), F.col("_s._d").alias("d"), F.col("_s._r").alias("r")).drop("_s")
     starts = timeline_starts(entries, keys, block=None)
-    room = F.lit(MAX_SEGMENTS) - _shift() - F.col("index")
-    expanded = explode_range(starts, F.least(F.col("repeats"), room), "_k")
+    expanded = explode_range(starts, F.col("repeats"), "_k")
     segments = _filled(
         expanded,
         by,
@@ -323,9 +321,7 @@ def dash_segments_timeline(manifests: DataFrame, by: str = "mpd_id") -> DataFram
 def dash_segments_list(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Segments that are listed by name; these are no templates."""
     rows = _av(manifests, by).where(F.col("addressing") == "list")
-    names = F.slice(
-        F.when(F.col("init").isNotNull(), F.concat(F.array("init"), "urls")).otherwise(F.col("urls")), 1, MAX_SEGMENTS
-    )
+    names = F.when(F.col("init").isNotNull(), F.concat(F.array("init"), "urls")).otherwise(F.col("urls"))
     listed = rows.select(by, *_KEYS, "base_url", F.posexplode(names).alias("pos", "_u"))
     return listed.select(
         by, *_KEYS, F.col("pos").cast("long").alias("pos"), url_join("base_url", "_u").alias("url"), F.lit(None).cast("double").alias("duration")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.functions.conditions import as_col
-from mediacat.functions.text import MAX_FILENAME, sanitize_filename
+from mediacat.functions.text import sanitize_filename
 from mediacat.functions.url import url_path
 
 # The size below which a file is not taken for a finished one, endings of unfinished transport
@@ -38,7 +38,7 @@ def find_completed(media: DataFrame, files: DataFrame, title: str = "title") ->
     unfinished = ext.contains("part") | F.lower(ext).isin(*UNFINISHED)
     state = F.when(unfinished, F.lit("partial")).when(F.col("size") > MIN_BYTES, F.lit("complete"))
     whole = files.select(_stem("name").alias("_stem"), state.alias("state"))
-    lengths = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(MAX_FILENAME)))
+    lengths = F.sequence(F.lit(1), F.length("name"))
     parts = files.where(F.col("name").contains(".part")).select(
         F.explode(F.transform(lengths, lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("_stem"),
         F.lit("partial").alias("state"),

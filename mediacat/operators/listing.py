@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediacat.operators.playlist import MAX_ENTRIES, cut_listing, page_totals
+from mediacat.operators.playlist import cut_listing, page_totals
 
 
 def listing_cutoff(
     results: DataFrame,
     pages: DataFrame,
-    max_results: int = MAX_ENTRIES,
+    max_results: int | None = None,
     by: str = "query_id",
     url: str = "video_url",
 ) -> DataFrame:
-    """The results a search reads: up to an empty page, a page that only repeats earlier URLs, the last page, or the cap.
+    """The results a search reads: up to an empty page, a page that only repeats earlier URLs, the last page, or ``max_results``.
 
     URLs repeated on accepted pages are kept.
     """
@@ -24,7 +24,8 @@ def listing_cutoff(
     totals = page_totals(results, pages, by).join(fresh, [by, "page"], "left")
     repeats = F.col("_fresh").isNull()
     reached = F.col("before") + F.col("n")
-    after = ~F.coalesce(F.col("has_more"), F.lit(False)) | (reached >= max_results)
+    after = ~F.coalesce(F.col("has_more"), F.lit(False))
+    after = after if max_results is None else after | (reached >= max_results)
     return cut_listing(results, totals, by, (F.col("n") == 0) | repeats, after, max_results)
 
 

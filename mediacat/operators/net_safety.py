@@ -30,7 +30,6 @@ IPV4_BLOCKS = (
     ("240.0.0.0/4", False),
 )
 MULTICAST = "224.0.0.0/4"
-MAX_URL_BYTES = 8192
 LOCAL_NAMES = ("localhost", "ip6-localhost", "ip6-loopback")
 
 
@@ -198,15 +197,15 @@ def _private(bare: Column) -> Column:
     return named | F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
 
-def url_safety(url: Column | str) -> Column:
-    """Why a URL must not be fetched: ``too_long``, ``invalid``, ``scheme``, ``private_host``; NULL if it may."""
-    return let(as_col(url), _unsafe_reason)
+def url_safety(url: Column | str, max_bytes: int | None = None) -> Column:
+    """Why a URL must not be fetched: ``too_long`` (with ``max_bytes``), ``invalid``, ``scheme``, ``private_host``; NULL if it may."""
+    return let(as_col(url), lambda u: _unsafe_reason(u, max_bytes))
 
 
-def _unsafe_reason(u: Column) -> Column:
+def _unsafe_reason(u: Column, max_bytes: int | None) -> Column:
     h = host(u)
     return (
-        F.when(F.octet_length(u) > MAX_URL_BYTES, "too_long")
+        F.when(F.lit(False) if max_bytes is None else F.octet_length(u) > max_bytes, "too_long")
         .when(~is_url(u), "invalid")
         .when(~scheme(u).isin("http", "https"), "scheme")
         .when(h.isNull(), "invalid")

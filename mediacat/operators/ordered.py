@@ -38,12 +38,6 @@ def _windowed(spec: Running, window) -> Column:
     return _AGG[spec.kind](spec.value).over(window)
 
 
-def _total(spec: Running, order: Column) -> Column:
-    if spec.kind == "last":
-        return F.max_by(spec.value, F.when(spec.value.isNotNull(), order))
-    return _AGG[spec.kind](spec.value)
-
-
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind == "sum":
         return F.when(carried.isNull(), local).when(local.isNull(), carried).otherwise(carried + local)
@@ -72,17 +66,17 @@ def running(
     ordered = Window.partitionBy(*local_keys).orderBy(order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    # The totals are the inclusive values of the blocks' last rows, so that both sides start from one exchange.
     local = with_block.select(
         "*",
         *[_windowed(s, before if s.exclusive else upto).alias(f"_l_{n}") for n, s in values.items()],
-    )
-    totals = with_block.groupBy(*local_keys).agg(
-        *[_total(s, F.col(order)).alias(f"_t_{n}") for n, s in values.items()]
+        *[_windowed(s, upto).alias(f"_t_{n}") for n, s in values.items()],
+        F.lead(F.lit(True)).over(ordered).isNull().alias("_ends"),
     )
     earlier = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = totals.select(
+    carried = local.where("_ends").select(
         *local_keys,
         *[
             _windowed(Running(s.kind, F.col(f"_t_{n}")), earlier).alias(f"_c_{n}")

@@ -18,9 +18,7 @@ from mediacat.functions.time import parse_duration, parse_iso_date
 from mediacat.functions.url import ext_from_mime, is_media_content_type, media_ext_from_url, url_join
 from mediacat.operators.dispatch import same_origin
 
-# Length caps, the age of the adult label, hosts of embedded players.
-MAX_TITLE = 500
-MAX_DESCRIPTION = 10_000
+# The age of the adult label, hosts of embedded players.
 ADULT_AGE = 18
 PLAYER_HOSTS = (
     "youtube.com youtu.be player.vimeo.com dailymotion.com twitch.tv facebook.com streamable.com vidyard.com "
@@ -78,8 +76,8 @@ def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     thumbnail = F.coalesce(_first_meta(t, "property", "og:image"), _first_meta(t, "name", "twitter:image"))
     return staged.select(
         *[c for c in pages.columns if c != html],
-        F.substring(title, 1, MAX_TITLE).alias("title"),
-        F.substring(description, 1, MAX_DESCRIPTION).alias("description"),
+        title.alias("title"),
+        description.alias("description"),
         thumbnail.alias("thumbnail"),
     )
 

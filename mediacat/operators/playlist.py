@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from mediacat.functions.conditions import as_col
 from mediacat.operators.ordered import Running, running
 
-# Fixed value: no playlist or search is listed further.
-MAX_ENTRIES = 1000
-
 
 @dataclass(frozen=True)
 class PlaylistSelection:
@@ -50,34 +47,29 @@ def playlist_range(df: DataFrame, selection: PlaylistSelection, position: str =
 
 
 def page_totals(rows: DataFrame, pages: DataFrame, by: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per listed page with the number of its rows, and of the rows before it."""
+    """One row per listed page with the number of its rows, and of the rows and pages before it."""
     counts = rows.groupBy(by, "page").agg(F.count(F.lit(1)).alias("n"), *extra)
     totals = pages.join(counts, [by, "page"], "left").fillna(0, ["n"])
     # Pages of one list are scanned in blocks, so a long list does not end up in one task.
-    return running(totals, [by], "page", {"before": Running("sum", F.col("n"), exclusive=True)}, 10_000).fillna(
-        0, ["before"]
-    )
+    counted = {"before": Running("sum", F.col("n"), exclusive=True), "_seen": Running("sum", F.lit(1).cast("long"))}
+    return running(totals, [by], "page", counted, 10_000).fillna(0, ["before"])
 
 
-def cut_listing(rows: DataFrame, totals: DataFrame, by: str, stop: Column, stop_after: Column, cap: int) -> DataFrame:
-    """Rows of the pages before a list's first stop, and of these the first ``cap`` by position.
+def cut_listing(rows: DataFrame, totals: DataFrame, by: str, stop: Column, stop_after: Column, cap: int | None) -> DataFrame:
+    """Rows of the pages before a list's first stop, and of these, with a ``cap``, the first ones by position.
 
-    ``pos`` counts the rows of a page from 1. A page that is missing stops the list as well.
+    ``pos`` counts the rows of a page from 1. A page that is missing stops the list as well: the first page after a
+    gap is the first whose number, less the pages up to it, is not that of the list's first page.
     """
-    first = totals.groupBy(by).agg(F.min("page").alias("_first"))
-    with_gap = running(
-        totals, [by], "page", {"_seen": Running("sum", F.lit(1).cast("long"))}, 10_000
-    ).join(first, by)
-    gap = F.col("page") - F.col("_first") + 1 > F.col("_seen")
-    bound = with_gap.groupBy(by).agg(
-        F.least(
-            F.min(F.when(stop | gap, F.col("page"))), F.min(F.when(stop_after, F.col("page") + 1))
-        ).alias("_bound")
+    ahead = F.col("page") - F.col("_seen")
+    bounds = totals.groupBy(by).agg(
+        F.least(F.min(F.when(stop, F.col("page"))), F.min(F.when(stop_after, F.col("page") + 1))).alias("_stop"),
+        F.min(ahead).alias("_ahead"),
     )
-    kept = totals.join(bound, by).where(F.col("_bound").isNull() | (F.col("page") < F.col("_bound")))
-    placed = rows.join(kept.select(by, "page", "before"), [by, "page"])
-    position = F.col("before") + F.col("pos")
-    return placed.withColumn("position", position).where(F.col("position") <= cap).drop("before")
+    # ``ahead`` never falls, so pages of the lowest value come before any gap.
+    kept = totals.join(bounds, by).where((ahead == F.col("_ahead")) & (F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))))
+    placed = rows.join(kept.select(by, "page", "before"), [by, "page"]).withColumn("position", F.col("before") + F.col("pos"))
+    return (placed if cap is None else placed.where(F.col("position") <= cap)).drop("before")
 
 
 def playlist_cutoff(
@@ -85,17 +77,17 @@ def playlist_cutoff(
     pages: DataFrame,
     last_needed: int | None = None,
     by: str = "playlist_id",
-    cap: int = MAX_ENTRIES,
+    cap: int | None = None,
 ) -> DataFrame:
-    """The entries a listing reads: up to an empty page, the site's last page, the last needed entry, or the cap.
+    """The entries a listing reads: up to an empty page, the site's last page, the last needed entry, or a cap.
 
     Adds ``position``, counted from 1 over the pages.
     """
     totals = page_totals(entries, pages, by)
     reached = F.col("before") + F.col("n")
-    after = ~F.coalesce(F.col("has_more"), F.lit(False)) | (reached >= cap)
-    if last_needed is not None:
-        after = after | (reached >= last_needed)
+    after = ~F.coalesce(F.col("has_more"), F.lit(False))
+    for enough in (cap, last_needed):
+        after = after if enough is None else after | (reached >= enough)
     return cut_listing(entries, totals, by, F.col("n") == 0, after, cap)
 
 

@@ -201,9 +201,8 @@ def nth(df, n: int, worst=False, order=DEFAULT_ORDER, by="media_id", ordinal="or
 
 
 def sort_formats(df: DataFrame, order: Sequence[SortField] = DEFAULT_ORDER, by="media_id", ordinal="ordinal") -> DataFrame:
-    """All rows, best first within a media item (a distributed range sort, not one task per item)."""
-    key = rank_key(order)
-    return df.withColumn("_k", key).orderBy(F.col(by), F.col("_k").desc(), F.col(ordinal)).drop("_k")
+    """All rows with ``place``, counted from 1 for the best of a media item."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank_key(order).desc(), ordinal)).cast("long"))
 
 
 def default_order(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
@@ -211,14 +210,14 @@ def default_order(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
 
 
 def select_all_formats(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
-    """Every format without DRM, best first."""
+    """Every format without DRM with its ``place``, best first."""
     return sort_formats(df.where(not_drm()), DEFAULT_ORDER, by, ordinal)
 
 
 def select_mergeable(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
-    """Every format without DRM that has video or audio, worst first."""
+    """Every format without DRM that has video or audio with its ``place``, worst first."""
     usable = df.where(not_drm() & (has_video() | has_audio()))
-    return usable.withColumn("_k", rank_key()).orderBy(by, "_k", ordinal).drop("_k")
+    return usable.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank_key(), ordinal)).cast("long"))
 
 
 # --- picks of a whole media record, without a sorter ----------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -317,10 +317,6 @@ _HEURISTIC = {
     "any": (("quality", "height"), ("tbr", "fps"), ()),
 }
 
-# Groups of up to this many rows are folded as one array; longer ones are folded from a sorted stream.
-FOLD_LIMIT = 4096
-
-
 def heuristic_best(
     df: DataFrame,
     stream: str = "any",
@@ -328,85 +324,49 @@ def heuristic_best(
     by: str = "media_id",
     ordinal: str = "ordinal",
     columns: Sequence[str] | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """The pick that treats a missing bitrate as equal to any, so that it depends on the order of the formats.
 
-    Only formats that are best in the leading, totally ordered columns can win; an aggregation finds these. The
-    rest is a fold in order. It runs over an array per media item while that is short; the rows of longer items
-    are sorted and folded batch by batch, holding one row at a time.
+    Only formats that are best in the leading, totally ordered columns can win; an aggregation finds these. The rest is
+    a fold in order that does not compose, so each item's rows are one sorted stream, of any length, with one row of
+    state. The stream holds the compared columns alone; the winner's others are joined to it.
     """
     strict, loose, last = _HEURISTIC[stream]
     columns = [c for c in (columns or df.columns) if c != by]
-    kept = list(dict.fromkeys([*columns, *loose, *last, ordinal]))
     lead = F.struct(F.lit(0), *[F.col(c) for c in strict])
-    keyed = df.select(by, lead.alias("_lead"), row_struct(df, kept).alias("_row"))
-    top = keyed.groupBy(by).agg(
-        (F.min if worst else F.max)("_lead").alias("_top"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    final = keyed.join(top, by).where(F.col("_lead").eqNullSafe(F.col("_top"))).select(by, "_row", "_n")
-
-    def better(a: Column, b: Column) -> Column:
-        """-1, 0 or 1 as a is worse than, equal to or better than b."""
-        result = F.lit(0)
-        for c in reversed(last):
-            x, y = a[c], b[c]
-            order = (
-                F.when(x.eqNullSafe(y), 0).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1)
-            )
-            result = F.when(order != 0, order).otherwise(result)
-        for c in reversed(loose):
-            x, y = a[c], b[c]
-            result = F.when(x < y, -1).when(x > y, 1).otherwise(result)
-        return result
+    keyed = df.select(by, ordinal, lead.alias("_lead"), *dict.fromkeys([*loose, *last]))
+    top = keyed.groupBy(by).agg((F.min if worst else F.max)("_lead").alias("_top"))
+    final = keyed.join(top, by).where(F.col("_lead").eqNullSafe(F.col("_top"))).drop("_lead", "_top")
+    ordered = final.repartition(by).sortWithinPartitions(by, ordinal)
 
-    def step(best: Column, row: Column) -> Column:
-        replace = (better(best, row) > 0) if worst else (better(best, row) <= 0)
-        return F.when(best.isNull() | replace, row).otherwise(best)
+    def place(x):
+        return (x != x, x)  # NaN is above every number
 
-    short = final.where(F.col("_n") <= fold_limit).groupBy(by).agg(
-        F.collect_list(F.struct(F.col(f"_row.{ordinal}").alias("_o"), F.col("_row"))).alias("_rows")
-    )
-    ordered = F.transform(F.array_sort("_rows"), lambda r: r["_row"])
-    first = F.get(ordered, F.lit(0))
-    folded = short.select(by, F.aggregate(F.slice(ordered, 2, F.size(ordered)), first, step).alias("_row"))
-    short_rows = folded.select(by, *[F.col(f"_row.{c}").alias(c) for c in columns])
-
-    flat = final.where(F.col("_n") > fold_limit).select(by, *[F.col(f"_row.{c}").alias(c) for c in kept])
-    streamed = flat.repartition(by).sortWithinPartitions(by, ordinal)
-    names = flat.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False):
-                if best is None or row[0] != best[0]:
-                    if best is not None:
-                        done.append(best)
-                    best = row
+    def better(a: dict, b: dict) -> bool:
+        """Whether b takes the place of a."""
+        for c in (*loose, *last):
+            x, y = a[c], b[c]
+            if x is None or y is None:
+                if c in loose or x is y:
                     continue
-                cmp = _compare(best, row)
-                if cmp > 0 if worst else cmp <= 0:
+                return (x is None) != worst
+            if place(x) != place(y):
+                return (place(x) < place(y)) != worst
+        return not worst
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kinds = None, None
+        for batch in batches:
+            done, kinds = [], batch.schema
+            for row in batch.to_pylist():
+                if best is None or row[by] != best[by]:
+                    done += [best] if best is not None else []
+                    best = row
+                elif better(best, row):
                     best = row
-            if done:
-                yield pd.DataFrame(done, columns=names)
+            yield pa.RecordBatch.from_pylist(done, kinds).select([by, ordinal])
         if best is not None:
-            yield pd.DataFrame([best], columns=names)
-
-    def _compare(a, b) -> int:
-        for c in loose:
-            x, y = getattr(a, c), getattr(b, c)
-            if not (pd.isna(x) or pd.isna(y)) and x != y:
-                return -1 if x < y else 1
-        for c in last:
-            x, y = getattr(a, c), getattr(b, c)
-            if pd.isna(x) != pd.isna(y):
-                return -1 if pd.isna(x) else 1
-            if not pd.isna(x) and x != y:
-                return -1 if x < y else 1
-        return 0
-
-    long_rows = streamed.mapInPandas(fold, flat.schema).select(by, *columns)
-    return short_rows.unionByName(long_rows)
+            yield pa.RecordBatch.from_pylist([best], kinds).select([by, ordinal])
+
+    winners = ordered.mapInArrow(fold, final.select(by, ordinal).schema)
+    return df.join(winners, [by, ordinal]).select(by, *columns)

@@ -88,7 +88,7 @@ def select_subtitles(
     With ``all``, automatic tracks only fill in languages without a manual one.
     """
     if not languages:
-        return tracks.limit(0)
+        return tracks.where(F.lit(False))
     lang = F.lower("language")
     kept = tracks if include_auto else tracks.where(~F.col("is_auto"))
     if not any(x.lower() == "all" for x in languages):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,30 +26,14 @@ HOLD_SHARE = 0.10
 RETRY_SHARE = 10
 
 
-class SpeedState:
-    """The meter of one transfer: a window of accepted samples and the smoothed rate."""
-
-    __slots__ = ("window", "smoothed", "last")
-
-    def __init__(self, window=(), smoothed: float | None = None, last: int | None = None):
-        self.window, self.smoothed, self.last = deque(window), smoothed, last
-
-    def update(self, micros: int, cumulative: int) -> float | None:
-        if self.last is not None and micros - self.last < GATE_SECONDS * 1e6:
-            return self.smoothed
-        self.last = micros
-        self.window.append((micros, cumulative))
-        while micros - self.window[0][0] > WINDOW_SECONDS * 1e6:
-            self.window.popleft()
-        if len(self.window) < 2:
-            self.smoothed = None
-            return None
-        elapsed = (micros - self.window[0][0]) / 1e6
-        if elapsed > 0:
-            raw = max(cumulative - self.window[0][1], 0) / elapsed
-            old = self.smoothed
-            self.smoothed = raw if old is None else NEW_WEIGHT * raw + (1 - NEW_WEIGHT) * old
-        return self.smoothed
+def let_through(micros: np.ndarray, last: int | None) -> np.ndarray:
+    """Places of the accepted ones of sorted samples: each a gate's width or more after the one accepted before it."""
+    gate, places = int(GATE_SECONDS * 1e6), []
+    at = 0 if last is None else int(np.searchsorted(micros, last + gate))
+    while at < len(micros):
+        places.append(at)
+        at = int(np.searchsorted(micros, micros[at] + gate))
+    return np.array(places, np.int64)
 
 
 def _islands(df: DataFrame, by: str, order: str) -> DataFrame:
@@ -67,31 +51,47 @@ def _islands(df: DataFrame, by: str, order: str) -> DataFrame:
 def speed_meter(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id") -> DataFrame:
     """The smoothed rate after every sample (bytes per second).
 
-    The gate looks back to the last accepted sample, so this is a fold in order. Each stretch between pauses is
-    folded on its own, from a sorted stream that never holds more than one rate window.
+    Which samples the gate accepts depends on the last accepted one; this alone is scanned in order, from a sorted
+    stream with one number of state for each stretch between pauses. Rates are window frames over the accepted samples,
+    averages are composed of blocks (``linear_average``), and the other samples take the last one's rate.
     """
     keyed = progress.withColumn("_order", F.struct(F.col("ts"), F.col(tie)))
-    islands = _islands(keyed, by, "_order").drop("_order")
-    flat = islands.select(by, "_island", tie, F.unix_micros("ts").alias("_us"), "cumulative_bytes")
-    spread = flat.repartition(by, "_island").sortWithinPartitions(by, "_island", "_us", tie)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, SpeedState()
-        for pdf in batches:
-            speeds = []
-            for key, island, us, total in zip(pdf.iloc[:, 0], pdf["_island"], pdf["_us"], pdf["cumulative_bytes"]):
-                if (key, island) != current:
-                    current, state = (key, island), SpeedState()
-                speeds.append(state.update(int(us), int(total)))
-            out = pdf.iloc[:, [0, 2]].copy()
-            out["speed"] = pd.array(speeds, dtype="Float64")
-            yield out
-
-    schema = f"{by} {flat.schema[by].dataType.simpleString()}, {tie} {flat.schema[tie].dataType.simpleString()}, speed double"
-    return spread.mapInPandas(fold, schema)
-
-
-def eta(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id", block_rows: int = 50_000) -> DataFrame:
+    flat = _islands(keyed, by, "_order").select(by, "_island", tie, F.unix_micros("ts").alias("_us"), "cumulative_bytes")
+    stretch = [by, "_island"]
+    spread = flat.repartition(*stretch).sortWithinPartitions(*stretch, "_us", tie)
+
+    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            micros, accepted = batch.column("_us").to_numpy(), np.zeros(batch.num_rows, bool)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                current, last = keys[a], last if keys[a] == current else None
+                places = let_through(micros[a:b], last)
+                accepted[a + places] = True
+                last = int(micros[a + places[-1]]) if len(places) else last
+            yield batch.append_column("_ok", pa.array(accepted))
+
+    gated = spread.mapInArrow(gate, T.StructType([*flat.schema.fields, T.StructField("_ok", T.BooleanType())]))
+    recent = Window.partitionBy(*stretch).orderBy("_us").rangeBetween(-int(WINDOW_SECONDS * 1e6), 0)
+    upto = Window.partitionBy(*stretch).orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    accepted = gated.where("_ok")
+    first = F.first(F.struct(F.col("_us").alias("us"), F.col("cumulative_bytes").alias("total"))).over(recent)
+    rated = accepted.withColumns({"_first": first, "_n": F.count(F.lit(1)).over(recent)})
+    rate = F.greatest(F.col("cumulative_bytes") - F.col("_first.total"), F.lit(0)) / ((F.col("_us") - F.col("_first.us")) / 1e6)
+    rated = rated.withColumn("_rate", F.when(F.col("_n") > 1, rate))
+    rated = rated.withColumn("_run", F.count_if(F.col("_rate").isNull()).over(upto)).where(F.col("_rate").isNotNull())
+    in_run = Window.partitionBy(*stretch, "_run").orderBy("_us")
+    placed = rated.select(*stretch, "_run", tie, "_rate", F.row_number().over(in_run).cast("long").alias("_pos"))
+    smooth = linear_average(placed, [*stretch, "_run"], "_pos", "_rate", "_speed").select(*stretch, tie, "_speed")
+    known = gated.join(smooth, [*stretch, tie], "left")
+    latest = Window.partitionBy(*stretch).orderBy("_us", tie).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("_ok"), F.struct(F.col("_speed").alias("speed"))), ignorenulls=True).over(latest)
+    return known.select(by, tie, held["speed"].alias("speed"))
+
+
+def eta(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id") -> DataFrame:
     """The smoothed remaining seconds after every sample; NULL in the warm-up and once all is done."""
     first = progress.groupBy(by).agg(F.min("ts").alias("_start"))
     joined = progress.join(first, by)
@@ -105,37 +105,33 @@ def eta(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id", blo
         ordered, [by], "_order", {"_n": Running("sum", F.when(F.col("_raw").isNotNull(), 1).otherwise(0).cast("long"))}, day
     )
     usable_rows = numbered.where(F.col("_raw").isNotNull()).select(by, tie, "_n", "_raw")
-    known = linear_average(usable_rows, [by], "_n", "_raw", "eta", block_rows).select(by, tie, "eta")
+    known = linear_average(usable_rows, [by], "_n", "_raw", "eta").select(by, tie, "eta")
     return progress.select(by, tie).join(known, [by, tie], "left")
 
 
 def linear_average(
-    df: DataFrame, keys: list[str], position: str, value: str, name: str, block_rows: int = 50_000, weight: float = NEW_WEIGHT
+    df: DataFrame, keys: list[str], position: str, value: str, name: str, weight: float = NEW_WEIGHT, block_rows: int = 512
 ) -> DataFrame:
     """Exponential average over all former rows; ``position`` numbers the rows of a group from 1.
 
-    The share of a row decays below double precision within 256 rows, so a block needs only the last rows of the
-    one before it: these are copied into it. Each block is one sorted stream with one number of state.
+    A block of rows turns the average ``a`` before it into ``c * a + d``: ``d`` comes from the block alone, as a running
+    sum of values scaled by the weight's powers, and ``c`` is the rest's weight to the power of the rows so far. Blocks
+    compose; after two whole ones ``c`` is below 1e-150, so a block takes up the two before it.
     """
-    reach = 256
-    block = F.floor((F.col(position) - 1) / block_rows)
-    last = F.col(position) - block * block_rows > block_rows - reach
-    copies = F.when(last, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = df.withColumn("_b", F.explode(copies)).withColumn("_own", F.col("_b") == block)
-    ordered = spread.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", position)
-    schema = T.StructType([*ordered.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, average = None, 0.0
-        for pdf in batches:
-            out = []
-            for *key, x in zip(*[pdf[k] for k in (*keys, "_b", value)]):
-                average = weight * x + (1 - weight) * average if key == current else x
-                current = key
-                out.append(average)
-            yield pdf.assign(**{name: out})
-
-    return ordered.mapInPandas(fold, schema).where("_own").drop("_b", "_own")
+    rest = 1.0 - weight
+    number = F.floor((F.col(position) - 1) / block_rows)
+    place = F.col(position) - 1 - number * block_rows
+    scaled = F.when(F.col(position) == 1, F.lit(1.0)).otherwise(F.lit(weight)) * F.col(value) * F.pow(F.lit(rest), -place)
+    own = Window.partitionBy(*keys, "_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumns({"_b": number, "_place": place, "_scaled": scaled})
+    local = local.withColumn("_own", F.pow(F.lit(rest), F.col("_place")) * F.sum("_scaled").over(own))
+    ends = local.groupBy(*keys, "_b").agg(F.max_by("_own", position).alias("_end"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    former = F.lag("_end", 1).over(order) + F.coalesce(F.lag("_end", 2).over(order), F.lit(0.0)) * rest**block_rows
+    carried = ends.select(*keys, "_b", F.coalesce(former, F.lit(0.0)).alias("_carried"))
+    joined = local.join(carried, [*keys, "_b"])
+    average = F.col("_own") + F.pow(F.lit(rest), F.col("_place") + 1) * F.col("_carried")
+    return joined.withColumn(name, average).drop("_b", "_place", "_scaled", "_own", "_carried")
 
 
 def trailing(

@@ -16,7 +16,7 @@ _N = "page_id"
 
 @query(
     "J1_page_metadata",
-    """select page_id, url, case page_id % 10 when 1 then 'OG & ' || page_id when 2 then 'TW ' || page_id else left(nullif(trim(t), ''), 500) end as title,
+    """select page_id, url, case page_id % 10 when 1 then 'OG & ' || page_id when 2 then 'TW ' || page_id else nullif(trim(t), '') end as title,
          case when page_id % 10 = 1 then 'About ' || page_id end as description,
          case page_id % 10 when 1 then '/img/' || page_id || '.jpg' when 2 then 'https://i.example.org/' || page_id || '.png' end as thumbnail
        from (select *, replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as t from {rich_pages})""",
@@ -460,4 +460,4 @@ def _(t):
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("repr"),
         F.when(F.col("l_tax") > 0, F.col("l_extendedprice")).alias("tbr"),
     )
-    return dash.cap_renditions(rows).select("mpd_id", "adapt", "repr")
+    return dash.cap_renditions(rows, cap=50).select("mpd_id", "adapt", "repr")

@@ -206,13 +206,13 @@ def _(t):
        from (select media_id, title, duration, uploader from {media}) m full join
          (select l_orderkey as media_id, case when min(l_linenumber) > 2 then 'renamed ' || l_orderkey end as title,
             case when max(l_tax) > 0.05 then max(l_quantity) end as duration, min(l_returnflag) as note
-          from lineitem where l_discount > 0.03 group by 1) a using (media_id)""",
+          from lineitem group by 1) a using (media_id)""",
 )
 def _(t):
     left = t.media.select("media_id", "title", "duration", "uploader")
     key = F.col("l_orderkey")
     right = (
-        t.lineitem.where(F.col("l_discount") > 0.03)
+        t.lineitem
         .groupBy(key.alias("media_id"))
         .agg(
             F.when(F.min("l_linenumber") > 2, F.concat(F.lit("renamed "), F.first(key).cast("string"))).alias("title"),
@@ -397,27 +397,22 @@ def _(t):
 _NUMBERED = f"row_number() over (partition by media_id order by {_DESC}, ordinal)"
 
 
-def _ranked(df):
-    """The rank of each row, as the sort left it; row order itself cannot be compared."""
-    return df
-
-
 @query(
     "H1_default_order",
-    f"select media_id, ordinal, format_id from {{formats}} order by media_id, {_DESC}, ordinal",
+    f"select media_id, ordinal, format_id, {_NUMBERED} as place from {{formats}}",
 )
 def _(t):
-    return ranking.default_order(t.formats).select("media_id", "ordinal", "format_id")
+    return ranking.default_order(t.formats).select("media_id", "ordinal", "format_id", "place")
 
 
 @query(
     "H2_sort_formats",
-    """select media_id, ordinal, format_id from {formats}
-       order by media_id, coalesce(height::double, 1e9), coalesce(tbr, -1) desc, ordinal""",
+    """select media_id, ordinal, format_id, row_number() over (partition by media_id order by coalesce(height::double, 1e9), coalesce(tbr, -1) desc, ordinal) as place
+       from {formats}""",
 )
 def _(t):
     order = (SortField("res", ascending=True), SortField("br"))
-    return ranking.sort_formats(t.formats, order).select("media_id", "ordinal", "format_id")
+    return ranking.sort_formats(t.formats, order).select("media_id", "ordinal", "format_id", "place")
 
 
 @query(
@@ -493,18 +488,19 @@ def _(t):
 
 @query(
     "H9_select_all_formats",
-    f"select media_id, ordinal from {{formats}} where {_NOT_DRM} order by media_id, {_DESC}, ordinal",
+    f"select media_id, ordinal, {_NUMBERED} as place from {{formats}} where {_NOT_DRM}",
 )
 def _(t):
-    return ranking.select_all_formats(t.formats).select("media_id", "ordinal")
+    return ranking.select_all_formats(t.formats).select("media_id", "ordinal", "place")
 
 
 @query(
     "H10_select_mergeable",
-    f"select media_id, ordinal from {{formats}} where {_NOT_DRM} and ({_HV} or {_HA}) order by media_id, {_ASC}, ordinal",
+    f"""select media_id, ordinal, row_number() over (partition by media_id order by {_ASC}, ordinal) as place
+        from {{formats}} where {_NOT_DRM} and ({_HV} or {_HA})""",
 )
 def _(t):
-    return ranking.select_mergeable(t.formats).select("media_id", "ordinal")
+    return ranking.select_mergeable(t.formats).select("media_id", "ordinal", "place")
 
 
 # --- H13: the pick without a sorter; the check walks the formats of an item one by one ------------------------

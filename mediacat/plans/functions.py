@@ -258,16 +258,13 @@ def _cases_sql(key: str, values) -> str:
 
 @query(
     "I13_decode_html_entities",
-    f"select doc_id, left(text, 0) || {_cases_sql('doc_id % 12', _DECODED)} || replace(replace(text, '&amp;', '&'), '&lt;', '<') as decoded "
-    "from documents where not regexp_matches(text, '&[#A-Za-z0-9]+;') "
-    f"union all select doc_id, {_cases_sql('doc_id % 12', _DECODED)} || text from documents where regexp_matches(text, '&[#A-Za-z0-9]+;') and false",
+    f"select doc_id, left(text, 0) || {_cases_sql('doc_id % 12', _DECODED)} || replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as decoded from documents",
 )
 def _(t):
     prefix = None
     for i, e in enumerate(_ENTITIES):
         prefix = F.when(F.col("doc_id") % 12 == i, S(e)) if prefix is None else prefix.when(F.col("doc_id") % 12 == i, S(e))
-    plain = t.documents.where(~F.col("text").rlike("&[#A-Za-z0-9]+;"))
-    return plain.select("doc_id", html.decode_html_entities(F.concat(prefix, "text")).alias("decoded"))
+    return t.documents.select("doc_id", html.decode_html_entities(F.concat(prefix, "text")).alias("decoded"))
 
 
 @query(
@@ -288,8 +285,8 @@ def _(t):
 def _(t):
     return t.pages.select(
         "page_id",
-        html.clean_html_tags("html").alias("short"),
-        F.length(html.clean_html_tags("html", None)).cast("long").alias("length"),
+        html.clean_html_tags("html", 200).alias("short"),
+        F.length(html.clean_html_tags("html")).cast("long").alias("length"),
     )
 
 
@@ -310,14 +307,13 @@ def _(t):
 
 @query(
     "I28_controls",
-    """select doc_id, replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), chr(8238), '') || 'x' as stripped,
-         regexp_replace(text, '[\\x00-\\x1f\\x7f]', '_', 'g') || '_' || chr(8238) || 'x' as line
-       from documents where not regexp_matches(text, '[\\x{80}-\\x{9f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]')""",
+    """select doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g') || 'x' as stripped,
+         regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '_', 'g') || '_' || chr(8238) || 'x' as line
+       from documents""",
 )
 def _(t):
-    plain = t.documents.where(~F.col("text").rlike("[\\u0080-\\u009f\\u202a-\\u202e\\u2066-\\u2069]"))
     shown = F.concat("text", S("\x1b\u202ex"))
-    return plain.select("doc_id", text.strip_controls(shown).alias("stripped"), text.sanitize_line(shown).alias("line"))
+    return t.documents.select("doc_id", text.strip_controls(shown).alias("stripped"), text.sanitize_line(shown).alias("line"))
 
 
 _NAMES = ("CON", "a/b:c", "  .dots. ", "nul.txt", "", "x.mediacat-part", "clip " + "y" * 210 + ".webm")
@@ -332,7 +328,7 @@ _SAFE = ("_CON", "a_b_c", "dots", "_nul.txt", "unnamed", "x_mediacat-part", "cli
 def _(t):
     k = F.col("o_orderkey") % 8
     names = F.array(*[S(n) for n in _NAMES], F.concat("o_orderpriority", S(" ?"), _s("o_custkey"), S("|.")))
-    return t.orders.select("o_orderkey", text.sanitize_filename(F.get(names, k)).alias("name"))
+    return t.orders.select("o_orderkey", text.sanitize_filename(F.get(names, k), max_bytes=200).alias("name"))
 
 
 @query(

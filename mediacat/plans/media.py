@@ -87,11 +87,15 @@ def _(t):
     return files.parse_cookies(t.customer.select(F.when(k % 5 < 4, line).otherwise(bad).alias("value")))
 
 
-@query("A6_cut_pages", "select page_id, html, strlen(html) as bytes from pages")
+# The longest start of whole characters of at most 1 001 bytes.
+@query(
+    "A6_cut_pages",
+    """with cut as (select page_id, html, (select max(n) from range(0, 1002) r(n) where n <= length(html) and strlen(left(html, n)) <= 1001) as n from pages)
+       select page_id, left(html, n) as html, strlen(left(html, n))::bigint as bytes from cut""",
+)
 def _(t):
-    # At the size the extractors accept, no page of the tables is cut; the tests cut smaller.
-    cut = files.cut_pages(t.pages)
-    return cut.select("page_id", "html", F.octet_length("html").alias("bytes"))
+    cut = files.cut_pages(t.pages, 1001)
+    return cut.select("page_id", "html", F.octet_length("html").cast("long").alias("bytes"))
 
 
 @query(
@@ -194,7 +198,7 @@ _PLAYLIST = """totals as (select playlist_id, page, has_more, count(e.pos) as n
       from totals),
     stops as (select playlist_id, min(case when n = 0 then page when not has_more or before + n >= NEEDED then page + 1 end) as stop from summed group by 1),
     listed as (select e.*, before + pos as position from {playlist_entries} e join summed using (playlist_id, page) join stops using (playlist_id)
-      where (stop is null or page < stop) and before + pos <= 1000)"""
+      where (stop is null or page < stop))"""
 
 
 @query("F6_playlist_cutoff", f"with {_PLAYLIST.replace('NEEDED', '15')} select playlist_id, position, id from listed")
@@ -205,7 +209,7 @@ def _(t):
 
 @query(
     "F3_stamp_playlist",
-    f"""with {_PLAYLIST.replace('NEEDED', '1000')}
+    f"""with {_PLAYLIST.replace('NEEDED', '1e18')}
        select l.playlist_id, l.id, l.position as playlist_index, greatest(count(*) over (partition by l.playlist_id), p.total_estimate) as playlist_count,
          p.playlist_title as playlist from listed l join {{playlist_pages}} p on p.playlist_id = l.playlist_id and p.page = 1""",
 )
@@ -277,11 +281,11 @@ def _(t):
 
 @query(
     "D7_match_by_path",
-    r"""with p as (select url_id, url, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) as path from {urls} where contains(url, 'master.m3u8'))
+    r"""with p as (select url_id, url, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) as path from {urls})
        select a.url_id, b.o_orderkey as other from p a join orders b on a.path = '/videos/' || b.o_orderkey || '/master.m3u8'""",
 )
 def _(t):
-    left = t.urls.where(F.col("url").contains("master.m3u8"))
+    left = t.urls
     key = F.col("o_orderkey")
     right = t.orders.select(
         key.alias("other"),

@@ -92,19 +92,19 @@ select value from (
     || ' ' || @str[o_orderkey] as value from {orders} where o_orderkey % 5 = 0
   union all select '  Alpha ' || @str[o_orderkey] || ' ' as value from {orders} where o_orderkey % 5 = 1
   union all select case when o_orderkey % 2 = 0 then '# note ' || @str[o_orderkey] else '   ' end as value
-    from {orders} where o_orderkey % 50 = 7
+    from {orders} where o_orderkey % 5 > 2
   union all select 'Beta' || chr(9) || @str[o_orderkey] as value from {orders} where o_orderkey % 5 = 2
 ) lines"""
 
 VIEWS["playlist_entries"] = """
 select cast(floor(o_orderkey / 40) as bigint) as playlist_id,
-  cast(floor((o_orderkey % 40) / 10) as bigint) + 1 as page,
+  cast(floor((o_orderkey % 40) / 10) as bigint) + 1
+    + case when cast(floor(o_orderkey / 40) as bigint) % 5 = 2 and o_orderkey % 40 >= 30 then 2 else 0 end as page,
   o_orderkey % 10 + 1 as pos,
   'https://host.example.org/e/' || @str[o_orderkey] as url,
   case when o_orderkey % 3 <> 0 then 'Entry ' || @str[o_orderkey] end as title,
   @str[o_orderkey] as id
-from {orders}
-where not (cast(floor(o_orderkey / 40) as bigint) % 5 = 2 and o_orderkey % 40 >= 30)"""
+from {orders}"""
 
 VIEWS["playlist_pages"] = """
 select distinct cast(floor(o_orderkey / 40) as bigint) as playlist_id,
@@ -118,13 +118,13 @@ from {orders}"""
 
 VIEWS["listings"] = """
 select cast(floor(o_orderkey / 500) as bigint) as query_id,
-  cast(floor((o_orderkey % 500) / 20) as bigint) + 1 as page,
+  cast(floor((o_orderkey % 500) / 20) as bigint) + 1
+    + case when cast(floor(o_orderkey / 500) as bigint) % 9 = 4 and cast(floor((o_orderkey % 500) / 20) as bigint) = 6 then 100 else 0 end as page,
   o_orderkey % 20 + 1 as pos,
   'https://host.example.org/v/' || @str[o_custkey % (15 + 60 * (cast(floor(o_orderkey / 500) as bigint) % 6)) ]
     as video_url,
   o_orderpriority as title
-from {orders}
-where not (cast(floor(o_orderkey / 500) as bigint) % 9 = 4 and cast(floor((o_orderkey % 500) / 20) as bigint) = 6)"""
+from {orders}"""
 
 VIEWS["listing_pages"] = """
 select distinct cast(floor(o_orderkey / 500) as bigint) as query_id,
@@ -160,11 +160,10 @@ from {events}"""
 
 VIEWS["chunks"] = """
 select cast(floor(event_id / 8) as bigint) as download_id,
-  event_id % 8 as chunk_id,
+  event_id % 8 + case when cast(floor(value) as bigint) % 13 = 5 and event_id % 8 > 1 then 100 else 0 end as chunk_id,
   cast(65536 as bigint) as recorded_len,
   cast(case when floor(value) % 17 = 3 then 60000 else 65536 end as bigint) as on_disk_len
-from {events}
-where not (cast(floor(value) as bigint) % 13 = 5 and event_id % 8 > 1)"""
+from {events}"""
 
 VIEWS["subtitle_tracks"] = """
 select conv_id as media_id, turn as ordinal,
@@ -366,24 +365,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Tables that a few large row groups can hold, and the key their rows belong together by.
-_SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "pages": "page_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores where a table is one small file: with fewer splits than cores the rows are shuffled by key.
-
-    A table of many files has more splits than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+#: Tables that local runs read from one file of one row group, and the key their rows belong together by.
+_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "pages": "page_id"}
+#: Set by the session of local runs; on a cluster the splits of the files decide.
+SCAN_PARTITIONS = "spark.mediacat.scanPartitions"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame."""
     if name in TABLES:
-        rows = table(spark, sf_dir, name)
-        return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
+        rows, parts = table(spark, sf_dir, name), spark.conf.get(SCAN_PARTITIONS, None)
+        return rows.repartition(int(parts), _KEYS[name]) if parts and name in _KEYS else rows
     text = VIEWS[name]
     names = _inputs(text)
     inputs = {n: view(spark, sf_dir, n) for n in names}

@@ -13,6 +13,7 @@ def local_session(cores: str | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("mediacat")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.mediacat.scanPartitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

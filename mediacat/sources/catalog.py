@@ -12,7 +12,6 @@ from mediacat.schema import MEDIA_SCHEMA, PROGRESS_SCHEMA, SESSION_SCHEMA
 
 # The supported version of a session file, and the most of a page that is looked at.
 SESSION_VERSION = 1
-MAX_PAGE = 2 * 1024 * 1024
 
 
 def parse_catalog(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -95,7 +94,7 @@ def read_cookie_file(spark: SparkSession, path: str) -> DataFrame:
     return parse_cookies(spark.read.text(path))
 
 
-def cut_pages(pages: DataFrame, limit: int = MAX_PAGE) -> DataFrame:
+def cut_pages(pages: DataFrame, limit: int) -> DataFrame:
     """Pages cut at a size in bytes, at the end of a character; pages below it stay as they are."""
     data = F.substring(F.encode("html", "UTF-8"), 1, limit)
     # A character is cut off where bytes of its kind are missing at the end.
@@ -105,8 +104,10 @@ def cut_pages(pages: DataFrame, limit: int = MAX_PAGE) -> DataFrame:
     return pages.withColumn("html", F.when(F.octet_length("html") > limit, cut).otherwise(F.col("html")))
 
 
-def read_pages(spark: SparkSession, path: str, limit: int = MAX_PAGE) -> DataFrame:
-    return cut_pages(spark.read.parquet(path).select("page_id", "url", "html"), limit)
+def read_pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Whole pages, or with ``limit`` pages cut at so many bytes."""
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    return pages if limit is None else cut_pages(pages, limit)
 
 
 def parse_sessions(lines: DataFrame, column: str = "value", version: int = SESSION_VERSION) -> DataFrame:

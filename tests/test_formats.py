@@ -123,6 +123,17 @@ def test_heuristic_paths_agree(spark):
     for stream in ("any", "video", "audio"):
         for worst in (False, True):
             expected = {m: fold([r for r in rows if r["media_id"] == m], stream, worst) for m in range(20)}
-            for limit in (4096, 0):
-                got = selection.heuristic_best(df, stream, worst, columns=["format_id"], fold_limit=limit)
-                assert {r.media_id: r.format_id for r in got.collect()} == expected, (stream, worst, limit)
+            got = selection.heuristic_best(df, stream, worst, columns=["format_id"])
+            assert {r.media_id: r.format_id for r in got.collect()} == expected, (stream, worst)
+
+
+def test_heuristic_pick_does_not_depend_on_group_size(spark):
+    """NaN is a value, numbers above 2**53 stay exact, and 10 000 losers change nothing."""
+    nan, big = float("nan"), 9007199254740995
+    few = [("a", 1, 720, nan, 30.0, big), ("a", 2, 720, 5.0, 30.0, 1), ("a", 3, 720, None, 30.0, 2)]
+    many = [("b", *r[1:]) for r in few] + [("b", 10 + i, 480, 9.0, 60.0, 3) for i in range(10_000)]
+    df = spark.createDataFrame(few + many, "media_id string, ordinal long, height int, vbr double, fps double, filesize long")
+    got = {r.media_id: (r.ordinal, r.filesize) for r in selection.heuristic_best(df, "video", columns=["ordinal", "filesize"]).collect()}
+    assert got["a"] == got["b"]
+    one = df.where("ordinal = 1")
+    assert {r.filesize for r in selection.heuristic_best(one, "video").collect()} == {big}

@@ -12,7 +12,7 @@ from mediacat.functions import numbers, text, time, url
 from mediacat.operators import archive, dash, hls, net_safety, pages, telemetry
 from mediacat.operators.media_filter import Compare, Has, match_any
 from mediacat.operators.ordered import Running, explode_range, number_rows, running
-from mediacat.operators.playlist import PlaylistSelection
+from mediacat.operators.playlist import PlaylistSelection, playlist_cutoff
 from mediacat.sources import catalog as files
 
 
@@ -83,7 +83,8 @@ def test_private_hosts(spark):
     public = ["example.com", "8.8.8.8", "192.0.0.9", "[2606:4700::1]", "localhost2.com"]
     assert values(spark, net_safety.private_host, *private) == [True] * len(private)
     assert values(spark, net_safety.private_host, *public) == [False] * len(public)
-    assert values(spark, net_safety.url_safety, "https://x/" + "a" * 9000) == ["too_long"]
+    assert values(spark, lambda c: net_safety.url_safety(c, max_bytes=8192), "https://x/" + "a" * 9000) == ["too_long"]
+    assert values(spark, net_safety.url_safety, "https://x/" + "a" * 9000) == [None]
 
 
 def test_url_join_keeps_to_the_rules(spark):
@@ -181,3 +182,20 @@ def test_catalog_round_trip(spark, tmp_path):
     again = {r.id: r for r in files.read_catalog(spark, out).select("id", "duration", "formats", F.to_json("extra").alias("extra")).collect()}
     assert again["1"].extra == '{"n":null,"odd":{"a":[1,2]}}' and again["1"].formats[0].height == 720 and again["2"].extra is None
     assert '"uploader"' not in "".join(r.value for r in spark.read.text(out).collect())
+
+
+def test_nothing_is_capped(spark):
+    lines = "".join(f"#EXTINF:4,\ns{i}.ts\n" for i in range(10_001))
+    playlist = spark.createDataFrame([(1, "http://h.example/p.m3u8", "#EXTM3U\n" + lines + "#EXT-X-ENDLIST\n")], "playlist_id int, url string, text string")
+    assert hls.hls_segments(playlist).count() == 10_001
+    entries = spark.createDataFrame([(1, 1 + i // 10, 1 + i % 10) for i in range(2000)], "playlist_id int, page long, pos long")
+    listed = spark.createDataFrame([(1, p, True) for p in range(1, 201)], "playlist_id int, page long, has_more boolean")
+    assert playlist_cutoff(entries, listed).count() == 2000 and playlist_cutoff(entries, listed, cap=15).count() == 15
+    names = ["n" * 210 + "a", "n" * 210 + "b"]
+    assert values(spark, text.sanitize_filename, *names) == names
+
+
+def test_missing_page_stops_a_list(spark):
+    entries = spark.createDataFrame([(1, p, 1) for p in (1, 2, 4, 5)], "playlist_id int, page long, pos long")
+    listed = spark.createDataFrame([(1, p, True) for p in (1, 2, 4, 5)], "playlist_id int, page long, has_more boolean")
+    assert sorted(r.page for r in playlist_cutoff(entries, listed).collect()) == [1, 2]

@@ -65,7 +65,7 @@ def test_stream_first_seen(spark, sf_dir, tmp_path):
     rows = view(spark, sf_dir, "listings").withColumn("ts", F.timestamp_seconds(F.col("page") * 20 + F.col("pos")))
     folder = _parts(rows, tmp_path, "ts")
     stream = spark.readStream.schema(rows.schema).parquet(folder)
-    out = _run(meters.stream_first_seen(stream).select("query_id", "video_url"), tmp_path)
+    out = _run(meters.stream_first_seen(stream, delay="1 hour").select("query_id", "video_url"), tmp_path)
     expected = {tuple(r) for r in rows.select("query_id", "video_url").distinct().collect()}
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == expected
