@@ -36,12 +36,49 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
-@query("op3_licenses")
+def _spelled(column: str) -> str:
+    text = f"lower(coalesce({column}, ''))"
+    for a, b in licenses.SPELLINGS:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+_KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.KNOWN)
+_CANONICAL = """list_filter(list_transform(string_split(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\n©]+', ' ', 'g'), chr(10)), lambda x: trim(x)),
+  lambda y: y <> '' and not starts_with(y, 'copyright ') and not starts_with(y, 'c copyright ') and not contains(y, '©') and y not in ('copyright', 'all rights reserved'))"""
+_OP3 = f"""
+with known as (select name, array_to_string({_CANONICAL.format(_spelled("text"))}, ' ') as c from (values {_KNOWN}) t(name, text)),
+docs as (select doc_id, {_CANONICAL.format(_spelled("text"))} as lines from documents),
+line_hits as (select doc_id, i, name from (select doc_id, unnest(lines) as c, unnest(range(len(lines))) as i from docs) join known using (c)),
+whole_hits as (select doc_id, name from (select doc_id, array_to_string(lines, ' ') as c from docs) join known using (c)),
+named as (select doc_id, string_agg(distinct name, ',' order by name) as licenses from (select doc_id, name from line_hits union all select * from whole_hits) group by doc_id)
+select d.doc_id, coalesce(licenses, '') as licenses, coalesce((select count(distinct i) from line_hits h where h.doc_id = d.doc_id), 0) as n_lines,
+  exists (select 1 from whole_hits h where h.doc_id = d.doc_id) as whole
+from docs d left join named using (doc_id)
+"""
+
+
+@query("op3_licenses", _OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
-@query("op4_near_duplicates")
+_OP4 = """
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), sets as (
+  select distinct doc_id, list_slice(w, i, i + 4) as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from sets group by doc_id
+), links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from sets x join sets y on x.s = y.s and x.doc_id <> y.doc_id group by all)
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * common >= 85 * (p.n + q.n - common)
+), reached as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reached r join links l on l.a = r.other
+), lowest as (select doc_id, min(other) as component_id from reached group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from lowest left join sizes using (doc_id)
+"""
+
+
+@query("op4_near_duplicates", _OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,10 +90,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP6 = """
 with docs as (
-  select doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> hash(x)) as w
+  select doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: hash(x)) as w
   from documents
 ), items as (
-  select cast(item_id as varchar) as item_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> hash(x)) as w
+  select cast(item_id as varchar) as item_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: hash(x)) as w
   from benchmark
 ), windows as (
   select distinct item_id, least(len(w), 10) as n, list_slice(w, i, i + 9) as win
@@ -89,7 +126,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op9_chats")
+_OP9 = """
+with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+whole as (select conv_id, count(*) as n_turns, list({'role': role, 'text': text} order by place) as said from turns group by conv_id),
+prefixes as (select distinct list_slice(said, 1, k) as said from (select said, unnest(range(1, n_turns)) as k from whole)),
+kept as (select min(conv_id) as conv_id, any_value(n_turns) as n_turns, count(*) as n_equal, said from whole where said not in (select said from prefixes) group by said)
+select k.conv_id, (place - 1) // 64 as part, any_value(n_turns) as n_turns, any_value(n_equal) as n_equal,
+  string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' order by place) as rendered
+from kept k join turns t on t.conv_id = k.conv_id group by k.conv_id, (place - 1) // 64
+"""
+
+
+@query("op9_chats", _OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.collapse(table(spark, sf_dir, "conversations"))
 
