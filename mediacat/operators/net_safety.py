@@ -63,6 +63,9 @@ def blocked_ipv4(ip: Column | str) -> Column:
     return _within(ip, MULTICAST) | ~public.otherwise(F.lit(True))
 
 
+#: Blocks that are broadcast at most, by count; more are joined with salted addresses, in so many shares.
+BROADCAST_BLOCKS, SALTS = 100_000, 64
+
 REGISTRY_LENGTHS = tuple(sorted({_block(cidr)[1] for cidr, _ in IPV4_BLOCKS}))
 
 
@@ -70,7 +73,8 @@ def classify_ip(df: DataFrame, blocks: DataFrame, ip: str = "ip", lengths: Seque
     """Longest-prefix match of addresses (as numbers) against a table of blocks of any size.
 
     Every distinct address is joined on equality with each of the prefix lengths the table has (``lengths``); there is
-    no range join.
+    no range join. The blocks are counted, up to a bound: so many or fewer are broadcast, more are copied to ``SALTS``
+    shares of the addresses, so that a block that holds most of these is not one task's.
     """
     lengths = F.array(*[F.lit(n) for n in lengths])
     candidates = (
@@ -80,7 +84,12 @@ def classify_ip(df: DataFrame, blocks: DataFrame, ip: str = "ip", lengths: Seque
         .select(ip, F.explode(lengths).alias("prefix_len"))
         .withColumn("prefix", F.floor(F.col(ip) / F.pow(F.lit(2.0), 32 - F.col("prefix_len"))).cast("long"))
     )
-    hits = candidates.join(blocks, ["prefix_len", "prefix"])
+    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        hits = candidates.join(F.broadcast(blocks), ["prefix_len", "prefix"])
+    else:
+        salted = candidates.withColumn("_salt", F.pmod(F.xxhash64(ip), F.lit(SALTS)))
+        copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = salted.join(copies, ["prefix_len", "prefix", "_salt"])
     best = hits.groupBy(ip).agg(F.max_by(F.struct("cidr", "public"), "prefix_len").alias("_b"))
     joined = df.join(best, ip, "left")
     blocked = _within(F.col(ip), MULTICAST) | ~F.coalesce(F.col("_b.public"), F.lit(True))

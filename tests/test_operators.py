@@ -199,3 +199,13 @@ def test_missing_page_stops_a_list(spark):
     entries = spark.createDataFrame([(1, p, 1) for p in (1, 2, 4, 5)], "playlist_id int, page long, pos long")
     listed = spark.createDataFrame([(1, p, True) for p in (1, 2, 4, 5)], "playlist_id int, page long, has_more boolean")
     assert sorted(r.page for r in playlist_cutoff(entries, listed).collect()) == [1, 2]
+
+
+def test_classify_ip_with_a_hot_block(spark, monkeypatch):
+    """Nine of ten addresses in one block: broadcast blocks and salted addresses agree."""
+    df = spark.range(2000).select(F.when(F.col("id") % 10 > 0, F.lit(10 << 24) + F.col("id")).otherwise(F.col("id") * 2_000_003).alias("ip"))
+    blocks = net_safety.blocks_table(spark)
+    run = lambda: sorted(map(str, net_safety.classify_ip(df, blocks).collect()))
+    small = run()
+    monkeypatch.setattr(net_safety, "BROADCAST_BLOCKS", 0)
+    assert run() == small and sum("10.0.0.0/8" in x for x in small) >= 1800
