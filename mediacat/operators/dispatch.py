@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,27 +62,31 @@ def dispatch_urls(df: DataFrame, extractors: Sequence[Extractor], url: str = "ur
 
 
 class ExtractorRegistry:
-    """Extractors with the functions that turn routed pages into media records."""
+    """Extractors with the columns that make media records of the pages routed to them."""
 
     def __init__(self):
         self.extractors: list[Extractor] = []
-        self.functions: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self.columns: dict[str, dict[str, Column]] = {}
 
     def register_extractor(
-        self, name: str, pattern: str, extract: Callable[[DataFrame], DataFrame], priority: int = 0, plugin: bool = True, **options
+        self, name: str, pattern: str, columns: Mapping[str, Column], priority: int = 0, plugin: bool = True, **options
     ) -> None:
-        """``extract`` maps the pages routed to it to rows of the media schema (or a part of it)."""
+        """``columns`` are fields of the media schema (or a part of it), as columns of a page."""
         self.extractors.append(Extractor(name, pattern, priority, plugin, **options))
-        self.functions[name] = extract
+        self.columns[name] = dict(columns)
 
-    def extract(self, pages: DataFrame, url: str = "url") -> DataFrame:
+    def extract(self, pages: DataFrame, keep: Sequence[str], url: str = "url") -> DataFrame:
+        """``keep`` of each routed page, its extractor's fields (NULL for those of others) and ``extractor``.
+
+        One projection over the pages, however many extractors there are.
+        """
         routed = dispatch_urls(pages, self.extractors, url)
-        out = None
-        for name, function in self.functions.items():
-            rows = function(routed.where(F.col("extractor") == name).drop("extractor"))
-            rows = rows.withColumn("extractor", F.lit(name))
-            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        return out
+        fields = dict.fromkeys(f for columns in self.columns.values() for f in columns)
+        values = []
+        for field in fields:
+            own = [F.when(F.col("extractor") == name, columns[field]) for name, columns in self.columns.items() if field in columns]
+            values.append(F.coalesce(*own).alias(field))
+        return routed.where(F.col("extractor").isin(*self.columns)).select(*keep, *values, "extractor")
 
 
 def search_winners(sites: DataFrame) -> DataFrame:

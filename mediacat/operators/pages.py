@@ -472,14 +472,23 @@ STRATEGIES: dict[str, tuple[int, Callable]] = {
     "html5_video": (7, _detect_html5),
     "direct_links": (9, _detect_direct_links),
 }
-_registered: dict[str, Callable[[DataFrame], DataFrame]] = {}
+_registered: dict[str, Callable[[dict[str, Column]], Column]] = {}
 
 
-def register_strategy(name: str, detect: Callable[[DataFrame], DataFrame]) -> None:
-    """Add a strategy after the built-in ones: pages in, rows ``(page_id, url, ext, quality, confidence, source)`` out."""
+def register_strategy(name: str, detect: Callable[[dict[str, Column]], Column]) -> None:
+    """Add a strategy after the built-in ones.
+
+    ``detect`` gets the staged columns of a page (``url``, ``html``, ``markup``, ``metas``, ``base``, ``video``) and gives
+    an array of ``media_row`` or NULL; all strategies are parts of one projection.
+    """
     _registered[name] = detect
 
 
+def media_row(url: Column, ext: Column | None = None, quality: Column | None = None, confidence: int = LOW, source: str = "") -> Column:
+    """A reference as strategies give it; the extension is taken from the URL where there is none."""
+    return _row(url, confidence, source, declared=ext, quality=quality)
+
+
 def unregister_strategy(name: str) -> None:
     _registered.pop(name, None)
 
@@ -502,24 +511,16 @@ def detections(pages: DataFrame, only: Sequence[str] | None = None) -> DataFrame
             "_video": _first_video(F.col("html")),
         }
     )
-    p = {"html": F.col("html"), "markup": F.col("_m"), "metas": F.col("_metas"), "base": F.col("_base"), "video": F.col("_video")}
-    names = [n for n in STRATEGIES if only is None or n in only]
+    p = {"html": F.col("html"), "markup": F.col("_m"), "metas": F.col("_metas"), "base": F.col("_base"), "video": F.col("_video"), "url": F.col("_url")}
+    added = {name: (len(STRATEGIES) + 1 + i, detect) for i, (name, detect) in enumerate(_registered.items())}
     found = []
-    for name in names:
-        number, detect = STRATEGIES[name]
-        found.append(_numbered(F.coalesce(detect(p), _none()), number))
+    for name, (number, detect) in {**STRATEGIES, **added}.items():
+        if only is None or name in only:
+            found.append(_numbered(F.coalesce(detect(p).cast(_ROWS), _none()), number))
     rows = let(F.concat(*found), lambda all_: let(_resolved_rows(F.col("_base"), all_), _without_repeats))
     # An outer explode with a filter on its result: the filter an inner one implies would compute the rows twice.
     exploded = staged.select("page_id", F.explode_outer(rows).alias("_r")).where(F.col("_r").isNotNull())
-    out = exploded.select("page_id", *[F.col(f"_r.{c}").alias(c) for c in _RESULT])
-    for i, (name, detect) in enumerate(_registered.items()):
-        if only is not None and name not in only:
-            continue
-        rows = detect(pages).withColumns(
-            {"strategy": F.lit(len(STRATEGIES) + 1 + i), "seq": F.xxhash64("url").cast("long")}
-        )
-        out = out.unionByName(rows.select(*out.columns))
-    return out
+    return exploded.select("page_id", *[F.col(f"_r.{c}").alias(c) for c in _RESULT])
 
 
 _RESULT = ("url", "ext", "quality", "confidence", "source", "strategy", "seq")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("formats", "functions", "media", "network", "transfers", "corpora")
+_MODULES = ("formats", "functions", "media", "network", "transfers", "corpora", "streams")
 
 
 def load():

@@ -180,14 +180,8 @@ def _(t):
 )
 def _(t):
     def feeds(p):
-        return p.where(F.col("url").contains("utm_source=feed")).select(
-            "page_id",
-            F.concat("url", F.lit("#feed")).alias("url"),
-            F.lit("xml").alias("ext"),
-            F.lit(None).cast("string").alias("quality"),
-            F.lit(pages.LOW).alias("confidence"),
-            F.lit("feed").alias("source"),
-        )
+        found = pages.media_row(F.concat(p["url"], F.lit("#feed")), F.lit("xml"), source="feed")
+        return F.when(p["url"].contains("utm_source=feed"), F.array(found))
 
     pages.register_strategy("feeds", feeds)
     try:

@@ -543,7 +543,7 @@ def _(t):
     return t.orders.select("o_orderkey", filled.alias("filled"))
 
 
-@query("I38_stable_id")
+@query("I38_stable_id", "select url_id, 'generic-' || left(md5(url), 16) as id from {urls}")
 def _(t):
     return t.urls.select("url_id", url.stable_id("url").alias("id"))
 
