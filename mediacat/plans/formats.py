@@ -73,21 +73,25 @@ def _best_sql(where: str, direction: str = "best", rn: int | None = None, cols:
 # --- B: shaping -----------------------------------------------------------------------------------------------
 
 
+def _nested(t, n, fields):
+    """Media records with an array of ``n`` formats (none: NULL), all from the columns of one order."""
+    numbers = F.sequence(F.lit(1).cast("long"), n)
+    row = F.col("o_orderkey").alias("media_id")
+    formats = F.when(n > 0, F.transform(numbers, lambda i: F.struct(*fields(i)))).alias("formats")
+    return t.orders.select(row, formats, F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("duration"))
+
+
+def _format_id(i):
+    return F.concat(F.lit("f"), i.cast("string"), F.lit("-"), F.col("o_custkey").cast("string")).alias("format_id")
+
+
 @query(
     "B1_explode_formats",
-    """select media_id, (row_number() over (partition by media_id order by ordinal) - 1)::int as ordinal, format_id
-       from {formats}
-       union all select media_id, null, null from {media}
-       where media_id not in (select media_id from {formats})""",
+    """select o_orderkey as media_id, (i - 1)::int as ordinal, 'f' || i || '-' || o_custkey as format_id from orders, range(1, 4) r(i) where i <= o_orderkey % 4
+       union all select o_orderkey, null, null from orders where o_orderkey % 4 = 0""",
 )
 def _(t):
-    # The nested catalog itself: one array per media item, as read from a metadata file.
-    per_media = t.formats.groupBy("media_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ordinal", "format_id"))), lambda f: F.struct(f["format_id"].alias("format_id"))
-        ).alias("formats")
-    )
-    media = t.media.select("media_id").join(per_media, "media_id", "left")
+    media = _nested(t, F.col("o_orderkey") % 4, lambda i: [_format_id(i)]).select("media_id", "formats")
     return catalog.explode_formats(media, ["media_id"])
 
 
@@ -130,13 +134,13 @@ def _(t):
 
 @query(
     "B6_propagate_duration",
-    """select f.media_id, count(*) as formats, count(coalesce(f.duration, m.duration)) as with_duration,
-         round(sum(coalesce(f.duration, m.duration)), 3) as total
-       from {formats} f join {media} m using (media_id) group by 1""",
+    """select o_orderkey as media_id, count(*) as formats, count(coalesce(own, d)) as with_duration, round(sum(coalesce(own, d)), 3) as total
+       from (select o_orderkey, case when i % 2 = 0 then i * 10.5::double end as own, case when o_orderkey % 5 <> 0 then o_totalprice end as d
+         from orders, range(1, 6) r(i) where i <= o_orderkey % 4 + 1) group by 1""",
 )
 def _(t):
-    per_media = t.formats.groupBy("media_id").agg(F.collect_list(F.struct("format_id", "duration")).alias("formats"))
-    media = t.media.select("media_id", "duration").join(per_media, "media_id")
+    own = lambda i: F.when(i % 2 == 0, i * 10.5).cast("double").alias("duration")
+    media = _nested(t, F.col("o_orderkey") % 4 + 1, lambda i: [_format_id(i), own(i)])
     filled = catalog.propagate_duration(media)
     known = F.filter(F.transform("formats", lambda f: f["duration"]), lambda d: d.isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda acc, d: acc + d)
@@ -337,11 +341,12 @@ def _(t):
 
 @query(
     "C10_language_filter",
-    """select media_id, count(*) filter (language = 'ja') as kept, min(format_id) filter (language = 'ja') as first_id
-       from {formats} group by 1""",
+    """select o_orderkey as media_id, count(*) filter (language = 'ja') as kept, min('f' || i || '-' || o_custkey) filter (language = 'ja') as first_id
+       from (select *, case (i + o_custkey) % 3 when 0 then 'ja' when 1 then 'en' end as language from orders, range(1, 6) r(i) where i <= o_orderkey % 5 + 1) group by 1""",
 )
 def _(t):
-    per_media = t.formats.groupBy("media_id").agg(F.collect_list(F.struct("format_id", "language")).alias("formats"))
+    language = lambda i: F.when((i + F.col("o_custkey")) % 3 == 0, "ja").when((i + F.col("o_custkey")) % 3 == 1, "en").alias("language")
+    per_media = _nested(t, F.col("o_orderkey") % 5 + 1, lambda i: [_format_id(i), language(i)])
     kept = per_media.withColumn("formats", predicates.language_filter("ja"))
     ids = F.transform("formats", lambda f: f["format_id"])
     return kept.select("media_id", F.size("formats").cast("long").alias("kept"), F.array_min(ids).alias("first_id"))
