@@ -37,13 +37,16 @@ MAIN_SHARE, VALID_SHARE = 0.6, 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "xmp", "math", "object")}
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "xmp", "math", "object", "button", "datalist", "audio", "video", "canvas")}
 _CONTAINERS = frozenset("body div section article main nav header footer aside form table tbody thead tr td ul ol dl figure center fieldset dialog menu details".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr address figcaption th caption summary option legend head html".split())
 _VOID = frozenset("hr br img input meta link".split())
 _LEFT_OUT = frozenset("nav header footer aside form dialog menu fieldset".split())
+#: Of these an article or main element within is taken for one that follows, the closing tag being lost.
+_NEVER_HOLD_ARTICLES = frozenset("nav header form menu fieldset".split())
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|side|widgets?|comments?|disqus|respond|replies|nav\w*|menu|breadcrumbs?|pagination|pager|"
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|side|widgets?|comments?|disqus|discussion|respond|replies|reviews?|nav\w*|menu|breadcrumbs?|pagination|pager|"
     r"footer|masthead|header|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|toc|complementary|contentinfo|navigation)(?:$|[-_ ])",
     re.I,
 )
@@ -59,15 +62,24 @@ class Block:
 def read_page(page: str) -> list[Block]:
     """The text blocks of a page in order, each with the path of its container."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, in an article
+    stack: list[tuple[str, str, str, bool]] = []  # tag, path, why it is left out, in an article
     parts: list[str] = []
+    own_out = ""  # why the block that is open, and is no container, is left out
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, out, article = stack[-1] if stack else ("", "", False, False)
-            blocks.append(Block(path, text, out, article))
+            _, path, out, article = stack[-1] if stack else ("", "", "", False)
+            blocks.append(Block(path, text, bool(out or own_out), article))
+
+    def why_left_out(tag: str, attributes: str) -> str:
+        if tag in _LEFT_OUT:
+            return tag
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
+        if tag in ("article", "main"):
+            return "name" if re.search(r"\b(?:comment|reply|teaser|related|advert)", names, re.I) else ""
+        return "name" if (names and tag != "body" and _LEFT_OUT_NAMES.search(names)) or (attributes and _HIDDEN.search(attributes)) else ""
 
     at, found = 0, _TAG.search(page)
     while found:
@@ -82,20 +94,20 @@ def read_page(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
         elif tag in _BLOCKS:
             flush()
+            own_out = ""
             if tag in _CONTAINERS and closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
             elif tag in _CONTAINERS:
-                _, path, out, article = stack[-1] if stack else ("", "", False, False)
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(found[3])) if "=" in found[3] else ""
+                _, path, out, article = stack[-1] if stack else ("", "", "", False)
                 own = tag in ("article", "main")
-                # an article that a comment or a menu does not hold starts afresh, should that have been left open
-                left_out = (out and not (own and "comment" not in path)) or tag in _LEFT_OUT or bool(names and tag != "body" and not own and _LEFT_OUT_NAMES.search(names))
-                if own and names and re.search(r"\bcomment", names, re.I):
-                    left_out = True
-                stack.append((tag, f"{path}>{tag}" + (f".{names.split()[0]}" if names.strip() else ""), left_out, article or own))
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(found[3])) if "=" in found[3] else ""
+                kept_out = "" if own and out in _NEVER_HOLD_ARTICLES else out
+                stack.append((tag, f"{path}>{tag}" + (f".{names.split()[0]}" if names.strip() else ""), kept_out or why_left_out(tag, found[3]), article or own))
+            elif not closing and found[3]:
+                own_out = why_left_out(tag, found[3])
         found = _TAG.search(page, at)
     parts.append(page[at:])
     flush()

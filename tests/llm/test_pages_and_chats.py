@@ -32,6 +32,14 @@ def test_main_text(spark):
     assert html_main.extract_main(df.limit(0)).count() == 0
 
 
+def test_elements_left_out(spark):
+    page = """<body><nav><ul><li>Menu</li></ul><article class="post"><h1>Head</h1><p class="ad">Advert</p><p>Kept <button>Click</button>text</p>
+<div hidden>Hidden</div><div class="share-links">Share</div><p>Last &amp; least</p></article><aside><article><p>Teaser</p></article></aside>
+<section class="discussion"><article><p>Reader</p></article></section></body>"""
+    df = spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")
+    assert html_main.extract_main(df).first().text == "Head\nKept text\nLast & least"
+
+
 def test_templates_are_deduced(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words</div><div class='c{i % 1}'><p>Text {i} " + "more " * i + "</p></div></body>") for i in range(6)]
     found = html_main.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
