@@ -42,7 +42,9 @@ COORDINATES = 32
 MATCHES = 15
 THRESHOLD = 85
 #: Classes in a block of a list; classes and shingles in a block of a component.
-LIST_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 128, 256, 2_000_000
+LIST_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 1024, 256, 2_000_000
+#: Members of a run that are compared row by row.
+SHORT = 16
 
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 
@@ -139,7 +141,18 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, row = keys[at[0] : at[-1]], np.repeat(np.arange(len(runs)), np.diff(at))
         grid = np.zeros((len(runs), COORDINATES), np.int64)
         grid[row, (keys >> 32) - 1] = keys
-        left, right, shift, here = [], [], 1, np.arange(len(runs))
+        heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+        sizes = np.diff(np.append(heads, len(runs)))
+        left, right, shift = [], [], 1
+        for first, n in zip(heads[sizes > SHORT], sizes[sizes > SHORT], strict=True):  # all pairs of a long run at once
+            same = np.zeros((n, n), np.int8)
+            for k in range(COORDINATES):
+                column = grid[first : first + n, k]
+                same += (column[:, None] == column) & (column != 0)
+            i, j = np.nonzero(np.triu(same >= MATCHES, 1))
+            left.append(i + first)
+            right.append(j + first)
+        here = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))  # rows of all short runs, each with the next, the next but one ...
         while len(here := here[here + shift < len(runs)]) and len(here := here[runs[here] == runs[here + shift]]):
             for i in range(0, len(here), 1 << 14):
                 some = here[i : i + (1 << 14)]
