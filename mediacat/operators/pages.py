@@ -556,13 +556,15 @@ def _resolved_rows(base: Column, found: Column) -> Column:
 
 
 def _without_repeats(rows: Column) -> Column:
-    """Rows marked ``once`` only where their strategy has no earlier row of the URL."""
-    keys = F.transform(rows, lambda r: F.concat_ws(" ", r["strategy"].cast("string"), r["url"]))
+    """Rows marked ``once`` only where their strategy has no earlier row of the URL; sorted twice, not compared pairwise."""
+    key = lambda r: F.concat_ws(" ", r["strategy"].cast("string"), r["url"])
+    keyed = F.array_sort(F.transform(rows, lambda r, i: F.struct(key(r).alias("key"), i.alias("at"))))
 
-    def kept(known: Column) -> Column:
-        return F.filter(rows, lambda r, i: ~r["once"] | (F.array_position(known, F.get(known, i)) == i + 1))
+    def marked(by_key: Column) -> Column:
+        new = lambda j: (j == 0) | (F.get(by_key, j - 1)["key"] != F.get(by_key, j)["key"])
+        return F.array_sort(F.transform(by_key, lambda k, j: F.struct(k["at"].alias("at"), new(j).alias("first"))))
 
-    return let(keys, kept)
+    return let(let(keyed, marked), lambda first: F.filter(rows, lambda r, i: ~r["once"] | F.get(first, i)["first"]))
 
 
 def dedup_by_confidence(rows: DataFrame) -> DataFrame:
