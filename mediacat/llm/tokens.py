@@ -1,11 +1,13 @@
 """Token ids of texts with public tokenizer files, one piece of text at a time.
 
-A tokenizer of this kind cuts a text at white space before it merges symbols, so that the ids of a text are the ids of
-its pieces in order. Pieces repeat far more than texts: each worker encodes a piece once and keeps its ids. The pieces
-are cut only where the tokenizer itself always cuts:
+A tokenizer of this kind cuts a text at white space and between letters and marks before it merges symbols, so that the
+ids of a text are the ids of its pieces in order. Pieces repeat far more than texts: each worker encodes a piece once
+and keeps its ids. The pieces are cut only where the tokenizer itself always cuts:
 
-* ``words``: white space is dropped by the tokenizer; pieces are what lies between spaces and line feeds.
+* ``words``: white space is dropped by the tokenizer and letters are lowered; pieces are what lies between spaces and
+  line feeds.
 * ``bytes``: white space goes with what follows it; a piece starts at a white-space code after one that is none.
+* both: a full stop or comma after a letter or digit starts a piece, in texts that have none after anything else.
 """
 
 from __future__ import annotations
@@ -15,23 +17,31 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
-#: Pieces that a worker keeps at most; it then starts afresh.
-KEPT_PIECES = 300_000
+#: Pieces in each of a worker's two generations: when the younger is full it becomes the older, whose unused ones go.
+KEPT_PIECES = 500_000
 
 _BEFORE_WHITE = re.compile(r"(?<=\S)(?=\s)")
+_ODD_MARKS = re.compile(r"[\W_][.,]")
 _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _PAIRS = [a + b for a in _WHITE for b in " \n"]
 
 
 def word_pieces(text: str) -> list[str]:
+    if text.isascii():
+        text = text.lower()
+    if not _ODD_MARKS.search(text):
+        text = text.replace(".", " .").replace(",", " ,")
     return [x for x in text.replace("\n", " ").split(" ") if x]
 
 
 def byte_pieces(text: str) -> list[str]:
     if "\0" in text or any(p in text for p in _PAIRS):
         return [x for x in _BEFORE_WHITE.split(text) if x]
+    if not _ODD_MARKS.search(text):
+        text = text.replace(".", "\0.").replace(",", "\0,")
     return [x for x in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if x]
 
 
@@ -47,19 +57,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.known = PIECES[pieces], {}
+        self.cut, self.known, self.older = PIECES[pieces], {}, {}
+        size = self.tokenizer.get_vocab_size()
+        last = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        self.ends_word = last if pieces == "words" else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
+        if len(self.known) > KEPT_PIECES:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [self.cut(x) for x in texts]
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        wanted = set().union(*cut)
+        missing = wanted.difference(known)
+        known.update((p, older[p]) for p in missing if p in older)
+        new = [p for p in missing if p not in known]
+        if self.ends_word is not None:
+            new = self._encode_joined(new)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        here = {p: known[p] for p in wanted}  # small, unlike all that is known, and looked up once for each piece
+        return [b"".join(map(here.__getitem__, pieces)) for pieces in cut]
+
+    def _encode_joined(self, new: list[str]) -> list[str]:
+        """Encode pieces of letters as one text, whose words end with a marked id each; returns those not encoded."""
+        letters = [p for p in new if p.isalpha()]
+        if not letters:
+            return new
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(letters) or ends[-1] != len(ids):  # some letter is more than one word to the tokenizer
+            return new
+        raw = ids.tobytes()
+        self.known.update(zip(letters, [raw[a:b] for a, b in zip((4 * np.append(0, ends[:-1])).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+        return [p for p in new if not p.isalpha()]
 
 
 @lru_cache(maxsize=2)
