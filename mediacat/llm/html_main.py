@@ -32,8 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediacat.llm.shared import materialize
+
 #: The share of a host's free text that the main slot holds, and of its pages that a valid class occurs in.
 MAIN_SHARE, VALID_SHARE = 0.6, 0.5
+#: Templates of at most so many bytes in all are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -204,5 +208,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    met = read.join(templates(pages), "host", "left").select("page_id", "url", "html", "main", "own_text")
+    found = materialize(templates(pages), "templates")
+    texts = F.aggregate("own_text", F.lit(0), lambda n, x: n + F.octet_length(x))
+    size = found.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("main"), F.lit(0)) + texts)).first()[0] or 0
+    # Few templates go to all tasks, and pages stay where they are; many are joined by host.
+    met = read.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("page_id", "url", "html", "main", "own_text")
     return met.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -4,6 +4,8 @@ import html
 import re
 from collections import defaultdict
 
+import pytest
+
 from mediacat.llm import chats, html_main
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
@@ -15,7 +17,9 @@ def text_of(n):
     return f"Title {n}\nFirst <b> © line {n} with space here.\nSecond {n} broken.\na {n}"
 
 
-def test_main_text(spark):
+@pytest.mark.parametrize("broadcast_bytes", [html_main.BROADCAST_BYTES, -1])
+def test_main_text(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(html_main, "BROADCAST_BYTES", broadcast_bytes)
     rows = [(i, f"http://one.example/{i}", PAGE.format(n=i, tag="article", close="article")) for i in range(4)]
     rows += [(10 + i, f"http://two.example/{i}", PAGE.format(n=i, tag='div class="content"', close="div")) for i in range(4)]
     rows += [(20, None, None), (21, "http://three.example/", ""), (22, "http://three.example/x", "plain &amp; text"), (23, "bad url", "<nav>only menu"), (0, rows[0][1], rows[0][2]), (None, "http://one.example/n", PAGE.format(n=99, tag="main", close="main"))]
