@@ -45,7 +45,7 @@ def canonical_lines(text: Column) -> Column:
     for spelling, canonical in SPELLINGS:
         x = F.replace(x, F.lit(spelling), F.lit(canonical))
     x = F.regexp_replace(x, r"[^\p{L}\p{N}\n©]+", " ")
-    lines = F.transform(F.split(x, "\n"), F.trim)
+    lines = F.transform(F.split(x, "\n"), lambda y: F.trim(y))  # trim itself would take the index for its second argument
     return F.filter(lines, lambda y: (y != "") & ~(y.startswith("copyright ") | y.startswith("c copyright ") | y.contains("©") | y.isin("copyright", "all rights reserved")))
 
 
