@@ -31,20 +31,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label) for all nodes of ``edges`` (columns a, b): nodes of one component have one label.
 
     Each round every node moves to the neighbour of the least random rank, or stays; edges between what remains go into
-    the next round. Ranks differ from round to round, so that no order of ids makes a long chain. A round reads and
-    writes only edges that still join different nodes; each is a table in the shared folder.
+    the next round. Ranks are hashes, so that no order of ids makes a long chain, and stay, so that what has moved to the
+    least node of a star is done. A round reads and writes only edges that still join different nodes; each is a table in
+    the shared folder.
     """
-    spark, maps, turn = edges.sparkSession, [], 0
+    spark, maps, rank = edges.sparkSession, [], F.xxhash64
     edges = materialize(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     while not edges.isEmpty():
-        rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
         near = edges.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("x"))).alias("m"))
         moved = F.least(F.col("m"), F.struct(rank("a").alias("r"), F.col("a").alias("x")))["x"]
         step = materialize(near.select(F.col("a").alias("node"), moved.alias("label")), "labels")
         maps.append(step)
         left, right = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = materialize(edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
-        turn += 1
     if not maps:
         return spark.createDataFrame([], "node long, label long")
     found = maps[0]
