@@ -4,15 +4,19 @@ A page is read as a stream of tags and text blocks. Its tokens are the paths of
 the body down) and its text blocks; each has an occurrence vector: how often it occurs in which page of the host.
 
 1. *Equivalence classes.* Tokens of a host with equal vectors form a class; vectors are compared by sums of hashes of
-   (page, count), so that they are never gathered. A class is valid if it has two tokens or more and occurs in half of
-   the host's pages. The root class occurs once in every page.
-2. *Nesting.* The containers of the root class are the frame of the host's template; classes that repeat lie in the slots
-   between them. Of the frame's containers the deepest that holds most of the host's free text is the main slot; blocks
-   of the root class are the template's own text.
-3. *Extraction.* From each page the blocks of the main slot are taken, in page order, but those in elements for menus,
-   headers, footers, sidebars, notices, adverts, forms and comments. Text that the template itself holds is left out
-   unless it is in an article, or nothing else would remain. A page without the main slot gives its articles, or else
-   its body.
+   (page, count), so that they are never gathered. A class is valid if it occurs in half of the host's pages. Pages
+   without text count for nothing. (A container stands for its two tags and a block for its words, so that each class
+   has the two tokens that a class needs.)
+2. *Nesting.* Containers of valid classes that occur equally often in each of their pages, and hold most of the free text
+   of those pages, are slots. Slots nest by their paths. Of slots in each other one is a main slot: an article before
+   others, one that occurs once before one that repeats, the deepest. Slots beside each other, as of two layouts, are all
+   main slots; the body only if there is no other.
+3. *Own text.* Blocks of valid classes, however often they occur in a page, are the template's own text if more than two
+   pages have them.
+4. *Extraction.* From each page the blocks of the main slots are taken, in page order, with all that is nested in them,
+   but those in elements for menus, headers, footers, sidebars, notices, adverts, forms and comments. The template's own
+   text is left out unless it is in an article, or nothing else would remain. A page without a main slot gives its
+   articles, or else its body.
 
 Character references are decoded, white space becomes one space, blocks are joined by line feeds.
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.shared import materialize
 
-#: The share of a host's free text that the main slot holds, and of its pages that a valid class occurs in.
+#: The share of its pages' free text that a slot holds, and of a host's pages that a valid class occurs in.
 MAIN_SHARE, VALID_SHARE = 0.6, 0.5
 #: Templates of at most so many bytes in all are broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -127,18 +131,21 @@ def _containers(path: str) -> list[str]:
     return [">".join(steps[:i]) for i in range(2, len(steps) + 1)]
 
 
-TOKENS = "host string, token string, is_text boolean, pages long, occurrences long, vector long, chars long"
+TOKENS = "host string, token string, is_text boolean, pages long, occurrences long, vector long, chars long, page_chars long, least long, most long"
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrence vectors, summed over the pages of a batch; the empty token occurs once in each page."""
+    """Occurrence vectors, summed over the pages of a batch; the empty token occurs once in each page that has text."""
     for batch in batches:
-        sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        sums: dict[tuple, list[int]] = {}
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_key", "html")), strict=True):
+            blocks = read_page(page or "")
+            if not blocks:
+                continue
             count: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-            count["", False] = [1, 0]
+            count["", False] = [1, sum(len(x.text) for x in blocks if not x.out)]
             seen: list[str] = []
-            for block in read_page(page or ""):
+            for block in blocks:
                 inside = _containers(block.path)
                 for path in inside:
                     if path not in seen:
@@ -147,16 +154,16 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         count[path, False][1] += len(block.text)
                 seen = inside
                 count[text_token(block), True][0] += 1
-                if not block.out:
-                    count["", False][1] += len(block.text)
             for token, (n, chars) in count.items():
-                s = sums[host, *token]
+                s = sums.setdefault((host, *token), [0, 0, 0, 0, 0, n, n])
                 s[0] += 1
                 s[1] += n
                 s[2] += zlib.crc32(f"{key} {n}".encode())
                 s[3] += chars
+                s[4] += count["", False][1]
+                s[5], s[6] = min(s[5], n), max(s[6], n)
         rows = [(*k, *v) for k, v in sums.items()]
-        types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 7]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
@@ -165,34 +172,41 @@ def host(url: Column) -> Column:
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """Valid classes of each host: host, tokens (token, is_text, chars), pages, occurrences, host_pages, host_chars, is_root."""
+    """Valid classes of each host: host, tokens (token, is_text, chars), pages, occurrences, page_chars, least and most (a page's occurrences), host_pages."""
     read = pages.select(host(F.col("url")).alias("host"), F.xxhash64(F.col("page_id"), F.col("url")).alias("page_key"), F.col("html").cast("string").alias("html"))
     total = lambda c: F.sum(c).alias(c)
-    tokens = read.mapInArrow(_page_tokens, TOKENS).groupBy("host", "token", "is_text").agg(*map(total, ("pages", "occurrences", "vector", "chars")))
+    tokens = read.mapInArrow(_page_tokens, TOKENS).groupBy("host", "token", "is_text").agg(*map(total, ("pages", "occurrences", "vector", "chars", "page_chars")), F.min("least").alias("least"), F.max("most").alias("most"))
     is_page = (F.col("token") == "") & ~F.col("is_text")
-    grouped = tokens.groupBy("host", "pages", "occurrences", "vector").agg(
-        F.count(F.lit(1)).alias("size"), F.max(F.when(is_page, F.col("chars"))).alias("host_chars"), F.collect_list(F.struct("token", "is_text", "chars")).alias("tokens")
-    )
-    whole = grouped.where("host_chars is not null").select("host", F.col("pages").alias("host_pages"), F.col("host_chars").alias("all_chars"))
-    frequent = grouped.join(whole, "host").where((F.col("size") > 1) & (F.col("pages") >= VALID_SHARE * F.col("host_pages")))
-    return frequent.select("host", "tokens", "pages", "occurrences", "host_pages", F.col("all_chars").alias("host_chars"), F.col("host_chars").isNotNull().alias("is_root"))
+    grouped = tokens.groupBy("host", "pages", "occurrences", "vector", "page_chars", "least", "most").agg(F.max(F.when(is_page, F.col("chars"))).alias("host_chars"), F.collect_list(F.struct("token", "is_text", "chars")).alias("tokens"))
+    whole = grouped.where("host_chars is not null").select("host", F.col("pages").alias("host_pages"))
+    return grouped.join(whole, "host").where(F.col("pages") >= VALID_SHARE * F.col("host_pages")).drop("vector", "host_chars")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: main (the path of the main slot), own_text (tokens of the template's own blocks)."""
-    root = classes(pages).where("is_root")
-    frame = F.filter("tokens", lambda x: ~x["is_text"] & (x["token"] != "") & (x["chars"] >= MAIN_SHARE * F.col("host_chars")))
-    article = lambda x: x["token"].rlike(r">(article|main)(\.[^>]*)?$").cast("int")
-    depth = lambda x: F.size(F.split(x["token"], ">"))
-    best = F.array_max(F.transform(frame, lambda x: F.struct(article(x).alias("article"), depth(x).alias("depth"), x["token"].alias("path"))))
-    own = F.transform(F.filter("tokens", lambda x: x["is_text"] & (F.col("host_pages") > 2)), lambda x: x["token"])
-    return root.select("host", best["path"].alias("main"), own.alias("own_text"))
-
-
-def main_text(page: str, main: str | None, own_text: frozenset) -> str:
-    """The blocks of the main slot, or else of articles, or else of the body."""
+    """Per host: main (the path of the first main slot), slots (of all), own_text (tokens of the template's own blocks)."""
+    steps = lambda x: F.size(F.split(x["token"], ">"))
+    is_article = lambda x: x["token"].rlike(r">(article|main)(\.[^>]*)?$").cast("int")
+    holds = lambda x: ~x["is_text"] & (x["token"] != "") & (x["chars"] > 0) & (x["chars"] >= MAIN_SHARE * F.col("page_chars")) & (F.col("least") == F.col("most"))
+    once = lambda x: ((F.col("most") == 1) & (steps(x) > 2)).cast("int")
+    slot = lambda x: F.struct(is_article(x).alias("article"), once(x).alias("once"), steps(x).alias("depth"), x["token"].alias("path"))
+    found = classes(pages).select(
+        "host",
+        F.transform(F.filter("tokens", holds), slot).alias("slots"),
+        F.transform(F.filter("tokens", lambda x: x["is_text"] & (F.col("pages") > 2)), lambda x: x["token"]).alias("own_text"),
+    )
+    gathered = found.groupBy("host").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.array_sort(F.flatten(F.collect_list("own_text"))).alias("own_text"))
+    rank = lambda x: F.struct(x["article"], x["once"], x["depth"])
+    nested = lambda x, y: x["path"].startswith(F.concat(y["path"], F.lit(">"))) | y["path"].startswith(F.concat(x["path"], F.lit(">")))
+    best = F.filter("slots", lambda x: ~F.exists("slots", lambda y: nested(x, y) & (rank(y) > rank(x))))
+    paths = F.transform(F.sort_array(best, asc=False), lambda x: x["path"])
+    return gathered.select("host", F.get(paths, 0).alias("main"), paths.alias("slots"), "own_text")
+
+
+def main_text(page: str, slots: list[str], own_text: frozenset) -> str:
+    """The blocks of the main slots, or else of articles, or else of the body."""
     blocks = [x for x in read_page(page) if not x.out]
-    within = [x for x in blocks if main and (x.path == main or x.path.startswith(main + ">"))]
+    below = tuple(x + ">" for x in slots)
+    within = [x for x in blocks if x.path in slots or x.path.startswith(below)]
     kept = within or [x for x in blocks if x.article] or [x for x in blocks if x.path.startswith(">body")] or blocks
     free = [x for x in kept if x.article or text_token(x) not in own_text]
     return "\n".join(x.text for x in free or kept)
@@ -200,8 +214,8 @@ def main_text(page: str, main: str | None, own_text: frozenset) -> str:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, mains, owns = (batch.column(c).to_pylist() for c in ("html", "main", "own_text"))
-        texts = [main_text(p or "", m, frozenset(o or ())) for p, m, o in zip(pages, mains, owns, strict=True)]
+        pages, slots, owns = (batch.column(c).to_pylist() for c in ("html", "slots", "own_text"))
+        texts = [main_text(p or "", s or [], frozenset(o or ())) for p, s, o in zip(pages, slots, owns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -209,8 +223,8 @@ def extract_main(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     found = materialize(templates(pages), "templates")
-    texts = F.aggregate("own_text", F.lit(0), lambda n, x: n + F.octet_length(x))
-    size = found.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("main"), F.lit(0)) + texts)).first()[0] or 0
+    texts = F.aggregate(F.concat("slots", "own_text"), F.lit(0), lambda n, x: n + F.octet_length(x))
+    size = found.agg(F.sum(F.octet_length("host") + texts)).first()[0] or 0
     # Few templates go to all tasks, and pages stay where they are; many are joined by host.
-    met = read.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("page_id", "url", "html", "main", "own_text")
+    met = read.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("page_id", "url", "html", "slots", "own_text")
     return met.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -50,6 +50,28 @@ def test_templates_are_deduced(spark):
     assert found.main == ">body>div.c0" and len(found.own_text) == 1
 
 
+def test_templates_of_uneven_hosts(spark):
+    """A null page, an empty one, one of another layout, a banner in nine of ten pages, one that stands twice; two layouts; a repeated slot."""
+    strip = "<div class='strip'><p>Special week at our house</p></div>"
+    page = "<body>{strip}<div class='top'>Welcome to us</div><div class='content'><h2>Head {n}</h2><div class='part'><p>Text {n} goes on and on and on for a long while.</p></div><div class='part'><p>End {n} of the long text of this page.</p></div></div><p>Come again</p><p>Come again</p></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(n=i, strip=strip if i else "")) for i in range(10)]
+    rows += [(20, "http://h.example/null", None), (21, "http://h.example/empty", ""), (22, "http://h.example/off", "<body><table><tr><td>Not found here</td></tr></table></body>")]
+    rows += [(30 + i, f"http://two.example/{i}", f"<body><div class='{'a' if i % 2 else 'b'}'><p>Unlike text {i} that goes on for long.</p></div><div class='x'>Odd {i}</div></body>") for i in range(6)]
+    rows += [(40 + i, f"http://cols.example/{i}", f"<body><div class='col'>Left text {i} that goes on.</div><div class='col'>Right text {i} that goes on.</div><span>Odd {i}</span></body>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r for r in html_main.templates(df).collect()}
+    assert found["h.example"].slots == [">body>div.content"] and len(found["h.example"].own_text) == 3
+    assert sorted(found["two.example"].slots) == [">body>div.a", ">body>div.b"] and found["cols.example"].slots == [">body>div.col"]
+    got = {r.page_id: r.text for r in html_main.extract_main(df).collect()}
+    assert [got[i] for i in range(10)] == [f"Head {i}\nText {i} goes on and on and on for a long while.\nEnd {i} of the long text of this page." for i in range(10)]
+    assert got[20] == got[21] == "" and got[22] == "Not found here"
+    assert [got[30 + i] for i in range(6)] == [f"Unlike text {i} that goes on for long." for i in range(6)]
+    assert [got[40 + i] for i in range(4)] == [f"Left text {i} that goes on.\nRight text {i} that goes on." for i in range(4)]
+    banner = [(i, f"http://flat.example/{i}", "<body>" + ("<p>Special week</p>" if i else "") + f"<p>Text {i} of the page.</p></body>") for i in range(10)]
+    flat = html_main.extract_main(spark.createDataFrame([*banner, (10, "http://flat.example/x", None)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in flat} == {**{i: f"Text {i} of the page." for i in range(10)}, 10: ""}
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
