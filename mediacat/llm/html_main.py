@@ -20,8 +20,12 @@ the body down) and its text blocks; each has an occurrence vector: how often it
 
 Character references are decoded, white space becomes one space, blocks are joined by line feeds.
 
+Scripts, styles and their like end at their closing tag, or with the page. Other elements whose content is left out, as
+buttons and objects, hold what lies up to their own closing tag; where that is missing (their parent ends, or an article
+or main element begins before it), they hold what lies up to the next block.
+
 Rows: null html is empty and gives an empty text; a null url is a host of its own; rows that repeat are extracted alike;
-markup that is never closed ends with the page; an empty table gives no rows. Other columns are ignored.
+an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +49,11 @@ BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "xmp", "math", "object", "button", "datalist", "audio", "video", "canvas")}
+#: Elements that hold text alone, up to their closing tag; then elements that hold markup and are left out.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+_SKIPPED = frozenset("noscript template svg select math object button datalist audio video canvas".split())
+#: Those that no start tag of their kind can be within, and those that articles can be within.
+_NEVER_NESTED, _MAY_HOLD_ARTICLES = frozenset(("button", "select", "noscript")), frozenset(("noscript", "template"))
 _CONTAINERS = frozenset("body div section article main nav header footer aside form table tbody thead tr td ul ol dl figure center fieldset dialog menu details".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr address figcaption th caption summary option legend head html".split())
 _VOID = frozenset("hr br img input meta link".split())
@@ -67,6 +75,61 @@ class Block:
         self.path, self.text, self.out, self.article = path, text, out, article
 
 
+def _tags(page: str) -> list[tuple[int, int, str, str, str]]:
+    """Tags and comments in order: start, end, slash of a closing tag, name, attributes; raw elements are one, up to their end."""
+    tags, found = [], _TAG.search(page)
+    while found:
+        at, tag = found.end(), (found[2] or "").lower()
+        if tag in _RAW and not found[1] and not found[3].endswith("/"):
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+        tags.append((found.start(), at, found[1] or "", tag, found[3] or ""))
+        found = _TAG.search(page, at)
+    return tags
+
+
+def _closed(tags: list[tuple[int, int, str, str, str]]) -> dict[int, int]:
+    """For each skipped element that is closed within its parent: the places of its tags."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = defaultdict(int)
+    skipped: list[int] = []  # places in opened
+
+    def pop_to(size: int) -> None:
+        for tag, _ in opened[size:]:
+            count[tag] -= 1
+        del opened[size:]
+        while skipped and skipped[-1] >= size:
+            skipped.pop()
+
+    for k, (_, _, closing, tag, attributes) in enumerate(tags):
+        if tag not in _BLOCKS and tag not in _SKIPPED or tag in _VOID:
+            continue
+        if closing:
+            if count[tag]:
+                i = len(opened) - 1
+                while opened[i][0] != tag:
+                    i -= 1
+                if tag in _SKIPPED:
+                    ends[opened[i][1]] = k
+                pop_to(i)
+            continue
+        if tag in ("article", "main", "body"):
+            for j, i in enumerate(skipped):
+                if opened[i][0] not in _MAY_HOLD_ARTICLES:
+                    pop_to(skipped[j])
+                    break
+        elif tag in _SKIPPED:
+            if attributes.endswith("/"):
+                continue
+            if tag in _NEVER_NESTED and count[tag]:
+                pop_to(next(i for i in skipped if opened[i][0] == tag))
+            skipped.append(len(opened))
+        opened.append((tag, k))
+        count[tag] += 1
+    return ends
+
+
 def read_page(page: str) -> list[Block]:
     """The text blocks of a page in order, each with the path of its container."""
     blocks: list[Block] = []
@@ -89,20 +152,27 @@ def read_page(page: str) -> list[Block]:
             return "name" if re.search(r"\b(?:comment|reply|teaser|related|advert)", names, re.I) else ""
         return "name" if (names and tag != "body" and _LEFT_OUT_NAMES.search(names)) or (attributes and _HIDDEN.search(attributes)) else ""
 
-    at, found = 0, _TAG.search(page)
-    while found:
-        parts.append(page[at : found.start()])
-        at = found.end()
-        closing, tag = found[1], (found[2] or "").lower()
+    tags = _tags(page)
+    ends = _closed(tags) if any(x[3] in _SKIPPED for x in tags) else {}
+    at, k, unclosed = 0, 0, ""  # the skipped element that is open and never closed
+    while k < len(tags):
+        start, end, closing, tag, attributes = tags[k]
+        if not unclosed:
+            parts.append(page[at:start])
+        at = end
         if tag == "br":
             parts.append(" ")
-        elif tag in _RAW and not closing:
-            if not found[3].endswith("/"):
-                end = _RAW[tag].search(page, at)
-                at = end.end() if end else len(page)
+        elif tag in _SKIPPED:
+            if closing:
+                unclosed = "" if unclosed == tag else unclosed
+            elif k in ends:
+                k = ends[k]
+                at = tags[k][1]
+            elif not attributes.endswith("/"):
+                unclosed = tag
         elif tag in _BLOCKS:
             flush()
-            own_out = ""
+            own_out = unclosed = ""
             if tag in _CONTAINERS and closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -111,13 +181,14 @@ def read_page(page: str) -> list[Block]:
             elif tag in _CONTAINERS:
                 _, path, out, article = stack[-1] if stack else ("", "", "", False)
                 own = tag in ("article", "main")
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(found[3])) if "=" in found[3] else ""
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
                 kept_out = "" if own and out in _NEVER_HOLD_ARTICLES else out
-                stack.append((tag, f"{path}>{tag}" + (f".{names.split()[0]}" if names.strip() else ""), kept_out or why_left_out(tag, found[3]), article or own))
-            elif not closing and found[3]:
-                own_out = why_left_out(tag, found[3])
-        found = _TAG.search(page, at)
-    parts.append(page[at:])
+                stack.append((tag, f"{path}>{tag}" + (f".{names.split()[0]}" if names.strip() else ""), kept_out or why_left_out(tag, attributes), article or own))
+            elif not closing and attributes:
+                own_out = why_left_out(tag, attributes)
+        k += 1
+    if not unclosed:
+        parts.append(page[at:])
     flush()
     return blocks
 

@@ -44,6 +44,24 @@ def test_elements_left_out(spark):
     assert html_main.extract_main(df).first().text == "Head\nKept text\nLast & least"
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<body><div><button>Menu</div><article><p>One</p><p>Two</p></article></body>", ["One", "Two"]),
+        ("<body><button>Menu<article><p>One</p><p>Two</p></article><button>End</button></body>", ["One", "Two"]),
+        ("<body><article><p>One <button>Share</p><p>Two</p></article><p>After", ["One", "Two", "After"]),
+        ("<body><article><p>One <button>Share</p><p>Two <button>Like</button> more</p></article>", ["One", "Two more"]),
+        ("<body><article><p>One</p><object data='x'>No<p>Two</p></article><object>No</object><p>After</p>", ["One", "Two", "After"]),
+        ("<body><p>One <svg><svg><text>a</text></svg><text>b</text></svg> more</p><object><object>c</object><p>d</p></object><p>Two", ["One more", "Two"]),
+        ("<body><noscript><div><article>No</article></div></noscript><video controls><p>No</video><svg/><p>One", ["One"]),
+        ("<body><p>One<script>var a = '<p>No</p>'</script></p><p>Two<script>never closed <p>No</p>", ["One", "Two"]),
+        ("<body><button>a" + "<object>b" * 30_000 + "<p>One</p>" * 2, ["One", "One"]),
+    ],
+)
+def test_elements_never_closed(page, blocks):
+    assert [x.text for x in html_main.read_page(page) if not x.out] == blocks
+
+
 def test_templates_are_deduced(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words</div><div class='c{i % 1}'><p>Text {i} " + "more " * i + "</p></div></body>") for i in range(6)]
     found = html_main.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
