@@ -8,6 +8,9 @@ and keeps its ids. The pieces are cut only where the tokenizer itself always cut
   line feeds.
 * ``bytes``: white space goes with what follows it; a piece starts at a white-space code after one that is none.
 * both: a full stop or comma after a letter or digit starts a piece, in texts that have none after anything else.
+
+The tokenizer's added tokens in a text (``<|endoftext|>``) are found before all else and are one id each, as its own call
+gives them; what stands before and after one is a text of its own. With ``added=False`` they are spelled out.
 """
 
 from __future__ import annotations
@@ -51,20 +54,35 @@ PIECES = {"words": word_pieces, "bytes": byte_pieces}
 class Encoder:
     """Encodes texts to the bytes of their ids, little-endian and four bytes each."""
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, pieces: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut, self.known, self.older = PIECES[pieces], {}, {}
+        self.tokenizer.encode_special_tokens = True  # no piece is an added token, though one can be spelled like it when letters are lowered
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in tokens.values()):
+            raise ValueError(f"added tokens of {path} depend on what stands around them")
+        self.added = {t.content: i for i, t in tokens.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.ids = {i: array("I", [i]).tobytes() for i in tokens}
+        self.pieces, self.known, self.older = PIECES[pieces], dict(self.ids), {}
         size = self.tokenizer.get_vocab_size()
         last = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.ends_word = last if pieces == "words" else None
 
+    def cut(self, text: str) -> list[str | int]:
+        """The pieces of a text; an added token is its id."""
+        if not any(x in text for x in self.added):
+            return self.pieces(text)
+        cut: list[str | int] = []
+        for i, part in enumerate(self.at_added.split(text)):
+            cut += [self.added[part]] if i % 2 else self.pieces(part)
+        return cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_PIECES:
-            self.known, self.older = {}, self.known
+            self.known, self.older = dict(self.ids), self.known
         known, older = self.known, self.older
         cut = [self.cut(x) for x in texts]
         wanted = set().union(*cut)
@@ -96,7 +114,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pieces: str) -> Encoder:
-    return Encoder(path, pieces)
+    return Encoder(path, pieces, added=True)
 
 
 def tokenizer_path(name: str) -> str:

@@ -189,6 +189,25 @@ def test_pieces_encode_like_whole_texts(name, kind, texts, monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_added_tokens_are_one_id(name, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    encoder, plain = tokens.encoder(public_tokenizers.path(name), kind), Tokenizer.from_file(public_tokenizers.path(name))
+    rnd = np.random.default_rng(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "a", "B.", ", c", "é", "\u0301", "x'", "s"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", *("".join(rnd.choice(parts, rnd.integers(1, 12))) for _ in range(2000))]
+    for i in range(0, len(texts), 100):
+        for x, got in zip(texts[i : i + 100], encoder.encode(texts[i : i + 100]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_queries_keep_added_tokens(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string")
+    found = {r.doc_id: r for r in token_files.tokenize_to_files(df).collect()}
+    assert (found[1].n_tokens, found[1].ids_crc32, found[2].start) == (4, zlib.crc32(np.array([320, 49407, 321, 1], "<u4").tobytes()), 4)
+    assert {(r.doc_id, r.doc_tokens) for r in packing.pack_documents(df).collect()} == {(1, 5), (2, 2)}
+
+
 def test_token_files(spark, docs, rows, no_docs, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_files(docs, path)
