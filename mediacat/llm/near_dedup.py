@@ -4,19 +4,20 @@ A document's set holds the 64-bit hashes of its distinct runs of five words (of
 signature has ``COORDINATES`` minima. Texts with equal sets are one class, found by grouping sums over the sets.
 
 1. *Post.* A class is posted under its (coordinate, value) pairs. Values that no other class has are dropped; a class
-   needs ``MATCHES`` shared ones to reach any other. Of its ``r`` shared pairs, rarest first, only the first
-   ``r - MATCHES + 1`` are posted (prefix): two classes with enough agreements share one of these, and pairs that half
+   needs ``m`` shared ones to reach any other. Of its ``r`` shared pairs, rarest first, only the first
+   ``r - m + 1`` are posted (prefix): two classes with enough agreements share one of these, and pairs that half
    the corpus has, from a common passage, are not posted at all.
 2. *Count.* Long lists are cut into blocks, and each pair of blocks is a group of its own in some task. There the
-   agreeing coordinates of two classes are counted; from those with ``MATCHES`` or more a task keeps a spanning forest,
+   agreeing coordinates of two classes are counted; from those with ``m`` or more a task keeps a spanning forest,
    so that what it returns grows with its rows and not with their pairs (skip: what is already connected is not told).
 3. *Confirm.* The components of these candidates hold every possible link. Each component's full sets meet once (in
    pairs of blocks if it is large): a product of incidence matrices gives all intersections, and pairs with
-   ``100 * intersection >= THRESHOLD * union`` are links; a task again returns a spanning forest of them.
+   ``100 * intersection >= threshold * union`` are links; a task again returns a spanning forest of them.
 4. The components of the links give the result.
 
-Two sets at the threshold agree in each coordinate with probability 0.85: fewer than 15 of 32 happens once in 2 * 10**7
-such pairs. No list, block or component is capped.
+Two sets at the threshold agree in each coordinate with a probability of ``threshold`` in 100. ``matches`` takes the
+largest ``m`` that such pairs miss with a probability of ``MISSED`` at most: 15 of 32 at 85 (8.2e-8, once in 1.2 * 10**7
+pairs), 12 at 80 (2.6e-8). No list, block or component is capped.
 
 Rows: a null or empty text has the empty set and links with nothing; a repeated ``doc_id`` has a row for each text, and
 groups of the same smallest id are one; a
@@ -27,6 +28,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from mediacat.llm.words import WHITE, hash_words, mix, segment_sums, slices, tex
 
 SIZE = 5
 COORDINATES = 32
-MATCHES = 15
-THRESHOLD = 85
+#: The default threshold, in hundredths, and the probability that a pair at a threshold has too few agreements.
+THRESHOLD, MISSED = 85, 1e-7
 #: Classes in a block of a list; classes and shingles in a block of a component.
 LIST_BLOCK, SET_BLOCK, SHINGLE_BLOCK = 1024, 256, 2_000_000
 #: Members of a run that are compared row by row.
@@ -49,6 +51,14 @@ SHORT = 16
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 
 
+def matches(threshold: int) -> int:
+    """The agreeing coordinates that candidates need: the most that pairs at the threshold fall short of with ``MISSED`` at most."""
+    p, m, missed = threshold / 100, 1, (1 - threshold / 100) ** COORDINATES
+    while m < COORDINATES and (missed := missed + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISSED:
+        m += 1
+    return m
+
+
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words within documents, and where each document's begin."""
     count = np.diff(bounds)
@@ -132,49 +142,52 @@ def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[label[moved]])], ["a", "b"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_runs(batches, "run"):
-        runs, nodes = table.column("run").to_numpy(), table.column("node").to_numpy()
-        lists = table.column("shared").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at, keys = np.asarray(lists.offsets), np.asarray(lists.values)
-        keys, row = keys[at[0] : at[-1]], np.repeat(np.arange(len(runs)), np.diff(at))
-        grid = np.zeros((len(runs), COORDINATES), np.int64)
-        grid[row, (keys >> 32) - 1] = keys
-        heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-        sizes = np.diff(np.append(heads, len(runs)))
-        left, right, shift = [], [], 1
-        for first, n in zip(heads[sizes > SHORT], sizes[sizes > SHORT], strict=True):  # all pairs of a long run at once
-            same = np.zeros((n, n), np.int8)
-            for k in range(COORDINATES):
-                column = grid[first : first + n, k]
-                same += (column[:, None] == column) & (column != 0)
-            i, j = np.nonzero(np.triu(same >= MATCHES, 1))
-            left.append(i + first)
-            right.append(j + first)
-        here = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))  # rows of all short runs, each with the next, the next but one ...
-        while len(here := here[here + shift < len(runs)]) and len(here := here[runs[here] == runs[here + shift]]):
-            for i in range(0, len(here), 1 << 14):
-                some = here[i : i + (1 << 14)]
-                same = ((grid[some] == grid[some + shift]) & (grid[some] != 0)).sum(axis=1)
-                left.append(some[same >= MATCHES])
-                right.append(some[same >= MATCHES] + shift)
-            shift += 1
-        if left:
-            yield _forest(nodes, np.concatenate(left), np.concatenate(right))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes (node, posts) whose components hold every pair with ``MATCHES`` agreements."""
+def _agreeing(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "run"):
+            runs, nodes = table.column("run").to_numpy(), table.column("node").to_numpy()
+            lists = table.column("shared").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            at, keys = np.asarray(lists.offsets), np.asarray(lists.values)
+            keys, row = keys[at[0] : at[-1]], np.repeat(np.arange(len(runs)), np.diff(at))
+            grid = np.zeros((len(runs), COORDINATES), np.int64)
+            grid[row, (keys >> 32) - 1] = keys
+            heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+            sizes = np.diff(np.append(heads, len(runs)))
+            left, right, shift = [], [], 1
+            for first, n in zip(heads[sizes > SHORT], sizes[sizes > SHORT], strict=True):  # all pairs of a long run at once
+                same = np.zeros((n, n), np.int8)
+                for k in range(COORDINATES):
+                    column = grid[first : first + n, k]
+                    same += (column[:, None] == column) & (column != 0)
+                i, j = np.nonzero(np.triu(same >= least, 1))
+                left.append(i + first)
+                right.append(j + first)
+            here = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))  # rows of all short runs, each with the next, the next but one ...
+            while len(here := here[here + shift < len(runs)]) and len(here := here[runs[here] == runs[here + shift]]):
+                for i in range(0, len(here), 1 << 14):
+                    some = here[i : i + (1 << 14)]
+                    same = ((grid[some] == grid[some + shift]) & (grid[some] != 0)).sum(axis=1)
+                    left.append(some[same >= least])
+                    right.append(some[same >= least] + shift)
+                shift += 1
+            if left:
+                yield _forest(nodes, np.concatenate(left), np.concatenate(right))
+
+    return run
+
+
+def candidates(classes: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) between classes (node, posts) whose components hold every pair with ``least`` agreements."""
     posts = classes.select("node", F.explode("posts").alias("post"))
     often = posts.groupBy("post").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = posts.join(often, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "post"))).alias("ranked"))
-    ranked = ranked.where(F.size("ranked") >= MATCHES).select("node", F.transform("ranked", lambda x: x["post"]).alias("shared"))
-    prefix = F.slice("shared", F.lit(1), F.size("shared") - (MATCHES - 1))
+    ranked = ranked.where(F.size("ranked") >= least).select("node", F.transform("ranked", lambda x: x["post"]).alias("shared"))
+    prefix = F.slice("shared", F.lit(1), F.size("shared") - (least - 1))
     posted = materialize(ranked.select("node", "shared", F.explode(prefix).alias("post")), "posted")
     lengths = posted.groupBy("post").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     lists = in_block_pairs(posted.join(lengths, "post"), "post", "node", F.ceil(F.col("length") / LIST_BLOCK))
-    return lists.select("run", "node", "shared").mapInArrow(_agreeing, "a long, b long")
+    return lists.select("run", "node", "shared").mapInArrow(_agreeing(least), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, last - first) for c in ("node", "label", "blocks")] + [lists], ["node", "label", "blocks", "shingles"])
 
 
-def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets with ``100 * intersection >= threshold * union``."""
     n, size = len(sets), np.array([len(x) for x in sets], np.int64)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -205,24 +218,27 @@ def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.ndarr
     return i, j
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_runs(batches, "run"):
-        runs, nodes = table.column("run").to_numpy(), table.column("node").to_numpy()
-        lists = table.column("shingles").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at, values = np.asarray(lists.offsets), np.asarray(lists.values)
-        heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-        left, right = [], []
-        for first, last in zip(heads, np.append(heads[1:], len(runs)), strict=True):
-            if last - first > 1:
-                i, j = linked([values[at[k] : at[k + 1]] for k in range(first, last)])
-                left.append(i + first)
-                right.append(j + first)
-        if left:
-            yield _forest(nodes, np.concatenate(left), np.concatenate(right))
+def _confirmed(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "run"):
+            runs, nodes = table.column("run").to_numpy(), table.column("node").to_numpy()
+            lists = table.column("shingles").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            at, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            heads = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+            left, right = [], []
+            for first, last in zip(heads, np.append(heads[1:], len(runs)), strict=True):
+                if last - first > 1:
+                    i, j = linked([values[at[k] : at[k + 1]] for k in range(first, last)], threshold)
+                    left.append(i + first)
+                    right.append(j + first)
+            if left:
+                yield _forest(nodes, np.concatenate(left), np.concatenate(right))
+
+    return run
 
 
-def links(documents: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     """Edges that connect the true links within groups (node, label) of classes."""
     sized = groups.join(classes.select("node", "n_shingles"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / SET_BLOCK), F.ceil(F.col("total") / SHINGLE_BLOCK)).cast("int")
@@ -230,17 +246,17 @@ def links(documents: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFr
     docs = documents.select(id_key().alias("node"), F.col("text").cast("string").alias("text"))
     sets = docs.join(wanted, "node").select("node", "label", "blocks", "text").mapInArrow(_sets, "node long, label long, blocks int, shingles array<long>")
     dealt = in_block_pairs(sets, "label", "node", F.col("blocks"))
-    return dealt.select("run", "node", "shingles").mapInArrow(_confirmed, "a long, b long")
+    return dealt.select("run", "node", "shingles").mapInArrow(_confirmed(threshold), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept."""
+def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept; ``threshold`` is in hundredths."""
     sketches = materialize(sketch(documents), "sketches")
     some = sketches.where("n_shingles > 0")
     classes = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("posts").alias("posts"))
     classes = materialize(classes, "classes")
-    groups = components(candidates(classes))
-    found = components(links(documents, classes, groups))
+    groups = components(candidates(classes, matches(threshold)))
+    found = components(links(documents, classes, groups, threshold))
     lowest = found.groupBy("label").agg(F.min("node").alias("component_id"))
     placed = found.join(lowest, "label").select("node", "component_id")
     placed = classes.select("n_shingles", "set_a", "set_b", "node").join(placed, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")).drop("node")

@@ -162,6 +162,24 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    """Near copies of 500 words with 10 or 12 scattered ones changed: the first are links at 0.80, none at 0.85."""
+    rows = []
+    for pair in range(6):
+        w = [f"p{pair}w{i}" for i in range(500)]
+        changed = list(w)
+        for i in range(10 if pair < 4 else 12):
+            changed[20 + 40 * i] = f"new{i}"
+        rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join(changed))]
+    sets = sets_of(rows)
+    near = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(6)]
+    assert all(0.80 <= x < 0.85 for x in near[:4]) and all(x < 0.80 for x in near[4:])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs, 80).where("kept").collect()} == {0, 2, 4, 6, 8, 9, 10, 11}
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 12
+    assert (near_dedup.matches(85), near_dedup.matches(80)) == (15, 12)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (200, 200), (7, 300)]
     label = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
