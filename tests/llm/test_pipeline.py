@@ -60,4 +60,4 @@ def test_queries_are_registered():
     from __spark_entry__ import queries
 
     names = queries()
-    assert "pipeline" in names and sorted({int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))}) == list(range(1, 11))
+    assert "pipeline" in names and sorted({int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))}) == list(range(1, 14))
