@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import chats, decontaminate, fill_middle, fingerprints, html_main, licenses, near_dedup, packing, quality, secret_scan, token_files, whitening
+from mediacat.llm import chats, decontaminate, fill_middle, fingerprints, html_main, licenses, near_dedup, packing, quality, secret_scan, token_files, toxicity, whitening
 from mediacat.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _OP13 = """
 with units as (
   select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as u from documents

@@ -85,12 +85,21 @@ def find_words(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
+class HashPrefixes:
+    """Running sums over bytes, from which the hash of any stretch of them follows."""
+
+    def __init__(self, b: np.ndarray) -> None:
+        power, self.inverse = _powers(1 << max(20, int(len(b)).bit_length()))
+        self.sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_byte_values()[b] * power[: len(b)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] if len(starts) else np.zeros(0, np.uint64))
+
+
 def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hashes of these stretches of bytes."""
-    power, inverse = _powers(1 << max(20, int(len(b)).bit_length()))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_byte_values()[b] * power[: len(b)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] if len(starts) else np.zeros(0, np.uint64))
+    return HashPrefixes(b).hashes(starts, ends)
 
 
 def hash_words(raw: np.ndarray, offsets: np.ndarray, to: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
