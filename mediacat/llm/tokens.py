@@ -7,7 +7,9 @@ and keeps its ids. The pieces are cut only where the tokenizer itself always cut
 * ``words``: white space is dropped by the tokenizer and letters are lowered; pieces are what lies between spaces and
   line feeds.
 * ``bytes``: white space goes with what follows it; a piece starts at a white-space code after one that is none.
-* both: a full stop or comma after a letter or digit starts a piece, in texts that have none after anything else.
+* both: a full stop or comma after a letter or digit starts a piece, in texts that have none after anything else. For
+  ``words`` a letter counts as what its composed and lowered form ends with: some end with a mark (``İ``), which joins
+  the full stop.
 
 The tokenizer's added tokens in a text (``<|endoftext|>``) are found before all else and are one id each, as its own call
 gives them; what stands before and after one is a text of its own. With ``added=False`` they are spelled out.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -32,10 +36,20 @@ _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _PAIRS = [a + b for a in _WHITE for b in " \n"]
 
 
+@lru_cache(maxsize=1)
+def odd_endings() -> re.Pattern:
+    """Full stops and commas after what the tokenizer holds for no letter and no digit once it has composed and lowered it."""
+    letters = (c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and (unicodedata.decomposition(c) or c.lower() != c))
+    ending_in_marks = "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+    return re.compile(rf"[\W_{ending_in_marks}][.,]")
+
+
 def word_pieces(text: str) -> list[str]:
     if text.isascii():
-        text = text.lower()
-    if not _ODD_MARKS.search(text):
+        text, odd = text.lower(), _ODD_MARKS
+    else:
+        odd = odd_endings()
+    if not odd.search(text):
         text = text.replace(".", " .").replace(",", " ,")
     return [x for x in text.replace("\n", " ").split(" ") if x]
 

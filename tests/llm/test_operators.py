@@ -226,6 +226,17 @@ def test_queries_keep_added_tokens(spark):
     assert {(r.doc_id, r.doc_tokens) for r in packing.pack_documents(df).collect()} == {(1, 5), (2, 2)}
 
 
+def test_marks_after_letters_that_are_lowered_or_taken_apart():
+    found = sorted(set(tokens.odd_endings().pattern) - set("[\\W_][.,]"))
+    assert "\u0130" in found and "\u0958" in found and "\ufb2a" in found and len(found) < 200
+    encoder, plain = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), "words"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = np.random.default_rng(8)
+    made = [f"BELED{c}YES{c}. Yeni, {c}, {c}.{c} a{c}." for c in [*found, "\u00e9", "\u1e9e", "\u01c5", "e\u0301", "\u2126", "\uac00"]]
+    made += ["".join(rnd.choice([*found, "a", "B", "1", ".", ",", " ", "\u00e9", "\u0307"], rnd.integers(1, 25))) for _ in range(4000)]
+    for text, got in zip(made, encoder.encode(made), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark, docs, rows, no_docs, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_files(docs, path)
