@@ -1,4 +1,4 @@
-"""DASH manifests: formats and subtitles of the first period, and the segments of their representations."""
+"""DASH manifests: formats and subtitles of all periods, and the segments of their representations."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from mediacat.operators.ordered import Running, explode_range, running
 TEXT_CODECS = ("stpp", "wvtt", "ttml", "dfxp")
 
 _TEMPLATE = (
-    "struct<_initialization:string,_media:string,_startNumber:bigint,_duration:double,_timescale:bigint,"
+    "struct<_initialization:string,_media:string,_startNumber:bigint,_duration:double,_timescale:bigint,_presentationTimeOffset:bigint,"
     "Initialization:struct<_sourceURL:string>,"
     "SegmentTimeline:struct<S:array<struct<_t:bigint,_d:bigint,_r:bigint>>>>"
 )
@@ -34,44 +34,84 @@ _ADAPTATION = (
     f"ContentProtection:{_PROTECTION},BaseURL:array<string>,SegmentTemplate:{_TEMPLATE},SegmentList:{_LIST},"
     f"Representation:array<{_REPRESENTATION}>>"
 )
-MPD_SCHEMA = (
-    "_type string, BaseURL array<string>, "
-    f"Period array<struct<_duration:string,AdaptationSet:array<{_ADAPTATION}>>>"
+_PERIOD = (
+    f"struct<_start:string,_duration:string,BaseURL:array<string>,SegmentTemplate:{_TEMPLATE},SegmentList:{_LIST},"
+    f"AdaptationSet:array<{_ADAPTATION}>>"
 )
+MPD_SCHEMA = f"_type string, _mediaPresentationDuration string, BaseURL array<string>, Period array<{_PERIOD}>"
+
+
+def period_starts(starts: Column, durations: Column) -> Column:
+    """Start of each period in seconds, from its own statement or else where the former one ends; NULL if neither is known.
+
+    Both arguments are arrays of seconds, with NULL for what a period does not state. The first period starts at 0.
+    """
+    states = F.zip_with(starts, durations, lambda s, d: F.struct(s.cast("double").alias("start"), d.cast("double").alias("length")))
+    first = F.struct(F.lit(0.0).alias("end"), F.array().cast("array<double>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return let(F.coalesce(x["start"], acc["end"]), lambda at: F.struct((at + x["length"]).alias("end"), F.concat(acc["found"], F.array(at)).alias("found")))
+
+    return F.aggregate(states, first, step, lambda acc: acc["found"])
+
+
+def period_seconds(starts: Column, durations: Column, total: Column, period: Column) -> Column:
+    """Length of a period: stated, or up to the next one's start, or up to the presentation's end; 0 if unknown."""
+    at, following = F.get(starts, period), F.get(starts, period + 1)
+    ends = F.when(period + 1 < F.size(starts), following).otherwise(total)
+    return F.coalesce(F.get(durations, period), F.greatest(ends - at, F.lit(0.0)), F.lit(0.0))
 
 
 def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
-    """One row per representation of the first period of every static manifest, without protected ones.
+    """One row per representation of every period of every static manifest, without protected ones.
 
-    ``manifests`` has ``by, url, text``.
+    ``manifests`` has ``by, url, text``. Periods count from 0; a period, an adaptation set and a representation each may
+    have a base URL, and a segment template or list that the inner ones replace.
     """
     parsed = manifests.select(by, "url", F.from_xml("text", MPD_SCHEMA).alias("_m"))
     # The conditions stand inside of outer explodes: as filters they would be moved down and parse the text again.
     static = F.coalesce(F.col("_m._type") != "dynamic", F.lit(True))
-    period = F.get("_m.Period", F.lit(0))
-    sets = parsed.select(
+    seconds = lambda name: F.transform("_m.Period", lambda p: parse_iso_duration(p[name]).cast("double"))
+    first = lambda x: F.get(x, F.lit(0))
+    timed = parsed.select(
         by,
         F.col("url").alias("mpd_url"),
-        F.get("_m.BaseURL", F.lit(0)).alias("_mpd_base"),
-        F.coalesce(parse_iso_duration(period["_duration"]), F.lit(0.0)).alias("period_seconds"),
-        F.posexplode_outer(F.when(static, period["AdaptationSet"])).alias("adapt", "_a"),
+        _resolved(F.col("url"), first("_m.BaseURL")).alias("_base0"),
+        parse_iso_duration("_m._mediaPresentationDuration").cast("double").alias("_total"),
+        seconds("_start").alias("_stated"),
+        seconds("_duration").alias("_lengths"),
+        F.when(static, F.col("_m.Period")).alias("_periods"),
+    ).withColumn("_starts", period_starts(F.col("_stated"), F.col("_lengths")))
+    periods = timed.select("*", F.posexplode_outer("_periods").alias("period", "_p")).where(F.col("period").isNotNull())
+    sets = periods.select(
+        by,
+        "mpd_url",
+        "period",
+        F.get("_starts", F.col("period")).alias("period_start"),
+        period_seconds(F.col("_starts"), F.col("_lengths"), F.col("_total"), F.col("period")).alias("period_seconds"),
+        "_base0",
+        first("_p.BaseURL").alias("_own1"),
+        F.col("_p.SegmentTemplate").alias("_template1"),
+        F.col("_p.SegmentList").alias("_list1"),
+        F.posexplode_outer("_p.AdaptationSet").alias("adapt", "_a"),
     ).where(F.col("adapt").isNotNull()).where(F.coalesce(F.size("_a.ContentProtection"), F.lit(0)) <= 0)
-    rows = sets.select("*", F.posexplode("_a.Representation").alias("repr", "_r")).where(
+    based = sets.withColumn("_base1", _resolved(F.col("_base0"), F.col("_own1")))
+    based = based.withColumn("_base2", _resolved(F.col("_base1"), first("_a.BaseURL")))
+    rows = based.select("*", F.posexplode("_a.Representation").alias("repr", "_r")).where(
         F.coalesce(F.size("_r.ContentProtection"), F.lit(0)) <= 0
     )
     a, r = F.col("_a"), F.col("_r")
-    base = F.col("mpd_url")
-    for level in (F.col("_mpd_base"), F.get("_a.BaseURL", F.lit(0)), F.get("_r.BaseURL", F.lit(0))):
-        base = _resolved(base, level)
-    template = F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"])
-    listed = F.coalesce(r["SegmentList"], a["SegmentList"])
+    template = F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"], F.col("_template1"))
+    listed = F.coalesce(r["SegmentList"], a["SegmentList"], F.col("_list1"))
     return rows.select(
         by,
         "mpd_url",
+        "period",
         "adapt",
         "repr",
+        "period_start",
         "period_seconds",
-        base.alias("base_url"),
+        _resolved(F.col("_base2"), first(r["BaseURL"])).alias("base_url"),
         F.coalesce(r["_mimeType"], a["_mimeType"], F.lit("")).alias("mime"),
         F.coalesce(r["_codecs"], a["_codecs"]).alias("codecs"),
         a["_lang"].alias("language"),
@@ -120,6 +160,7 @@ def _addressing(df: DataFrame) -> DataFrame:
             "timescale": t["_timescale"],
             "segment_ticks": F.floor(t["_duration"]).cast("long"),
             "start_number": F.coalesce(t["_startNumber"], F.lit(1)),
+            "time_offset": F.coalesce(t["_presentationTimeOffset"], F.lit(0)),
             "timeline": t["SegmentTimeline"]["S"],
             "urls": F.coalesce(listed, F.array().cast("array<string>")),
         }
@@ -162,22 +203,25 @@ def _av(manifests: DataFrame, by: str) -> DataFrame:
     return _usable(manifests, by).where(F.col("class").isin("video", "audio") & _has_segments() & _safe_segments())
 
 
-def cap_renditions(formats: DataFrame, by: str = "mpd_id", cap: int | None = None) -> DataFrame:
+def cap_renditions(formats: DataFrame, by: str | Sequence[str] = "mpd_id", cap: int | None = None) -> DataFrame:
     """With a ``cap``, so many formats of the highest bitrate per manifest; equal ones in order (cut before the shuffle too)."""
     if cap is None:
         return formats
-    window = Window.partitionBy(by).orderBy(F.desc_nulls_last("tbr"), "adapt", "repr")
+    window = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc_nulls_last("tbr"), "adapt", "repr")
     return formats.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def dash_formats(manifests: DataFrame, by: str = "mpd_id", cap: int | None = None) -> DataFrame:
-    """Video and audio formats of static manifests."""
+    """Video and audio formats of every period of static manifests; ``cap`` bounds those of a period."""
     rows = _av(manifests, by)
     video = F.col("class") == "video"
     ext = F.when(F.col("mime").isin("video/webm", "audio/webm"), "webm").when(F.col("mime") == "audio/mp4", "m4a").otherwise("mp4")
     codecs = F.coalesce("codecs", F.lit(""))
     formats = rows.select(
         by,
+        "period",
+        "period_start",
+        "period_seconds",
         "adapt",
         "repr",
         "format_id",
@@ -195,14 +239,15 @@ def dash_formats(manifests: DataFrame, by: str = "mpd_id", cap: int | None = Non
         "language",
         F.col("base_url").alias("fragment_base_url"),
     )
-    return cap_renditions(formats, by, cap)
+    return cap_renditions(formats, [by, "period"], cap)
+
 
 def dash_subtitles(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Text tracks that are one file."""
     rows = _usable(manifests, by).where((F.col("class") == "text") & ~_has_segments())
     vtt = (F.col("mime") == "text/vtt") | ((F.col("mime") == "application/mp4") & (F.col("codecs") == "wvtt"))
     ext = F.when(vtt, "vtt").otherwise("ttml")
-    return rows.select(by, "adapt", "repr", "language", F.col("base_url").alias("url"), ext.alias("ext"))
+    return rows.select(by, "period", "adapt", "repr", "language", F.col("base_url").alias("url"), ext.alias("ext"))
 
 
 def fill_segment_template(
@@ -232,34 +277,27 @@ def fill_segment_template(
     return F.when(t.contains("$"), F.array_join(F.transform(pieces, fill), "")).otherwise(t)
 
 
-_KEYS = ("adapt", "repr", "format_id")
+_KEYS = ("period", "adapt", "repr", "format_id")
 
 
-def _filled(rows: DataFrame, by: str, pattern: str, index: Column, duration: Column, number=None, time=None) -> DataFrame:
-    name = fill_segment_template(pattern, "format_id", "bandwidth", number, time)
+def _filled(rows: DataFrame, by: str, index: Column, duration: Column, start: Column, number=None, time=None) -> DataFrame:
+    """Segments by the pattern ``name``; rows where ``is_init`` holds are the init segment, which has no time."""
+    name = fill_segment_template("name", "format_id", "bandwidth", number, time)
+    timed = lambda x: F.when(~F.col("is_init"), x.cast("double"))
     return rows.select(
-        by, *_KEYS, index.cast("long").alias("pos"), url_join("base_url", name).alias("url"), duration.cast("double").alias("duration")
+        by, *_KEYS, index.cast("long").alias("pos"), url_join("base_url", name).alias("url"), timed(duration).alias("duration"), timed(start).alias("start")
     )
 
 
-def _inits(rows: DataFrame, by: str) -> DataFrame:
-    return _filled(rows.where(F.col("init").isNotNull()), by, "init", F.lit(0), F.lit(None))
-
-
-def _shift() -> Column:
-    return F.when(F.col("init").isNotNull(), 1).otherwise(0)
-
-
 def dash_segments_template(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
-    """Segments numbered from the start number; an init segment comes first."""
-    rows = _av(manifests, by).where(F.col("addressing") == "template")
+    """Segments numbered from the start number, with their time in the presentation; an init segment comes first."""
+    rows = _av(manifests, by).where(F.col("addressing") == "template").withColumn("first", F.when(F.col("init").isNotNull(), 1).otherwise(0))
     seconds = F.col("segment_ticks") / F.col("timescale")
-    count = F.ceil(F.col("period_seconds") / seconds)
-    numbered = explode_range(rows, count, "_i")
-    segments = _filled(
-        numbered, by, "media", F.col("_i") + _shift(), seconds, number=F.col("start_number") + F.col("_i")
-    )
-    return _inits(rows, by).unionByName(segments)
+    numbered = explode_range(rows, F.ceil(F.col("period_seconds") / seconds) + F.col("first"), "_i")
+    nth = F.col("_i") - F.col("first")
+    numbered = numbered.withColumn("is_init", nth < 0).withColumn("name", F.when(F.col("is_init"), F.col("init")).otherwise(F.col("media")))
+    number = F.when(F.col("is_init"), F.lit(0).cast("long")).otherwise(F.col("start_number") + nth)
+    return _filled(numbered, by, F.col("_i"), seconds, F.col("period_start") + nth * seconds, number=number)
 
 
 def timeline_starts(
@@ -299,23 +337,23 @@ def timeline_starts(
 
 
 def dash_segments_timeline(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
-    """Segments of explicit timelines."""
+    """Segments of explicit timelines, with their time in the presentation; an init segment comes first."""
     rows = _av(manifests, by).where(F.col("addressing") == "timeline")
     keys = [by, *_KEYS]
+    entry = "struct<_t:bigint,_d:bigint,_r:bigint>"
+    first = F.struct(F.lit(None).alias("_t"), F.lit(0).alias("_d"), F.lit(0).alias("_r")).cast(entry)  # takes a place and no time
+    given = F.coalesce("timeline", F.array().cast(f"array<{entry}>"))
+    listed = F.when(F.col("init").isNotNull(), F.concat(F.array(first), given)).otherwise(given)
     entries = rows.select(
-        *keys, "base_url", "media", "init", "bandwidth", "timescale", F.posexplode("timeline").alias("entry", "_s")
+        *keys, "base_url", "media", "init", "bandwidth", "timescale", "time_offset", "period_start", F.posexplode(listed).alias("entry", "_s")
     ).select("*", F.col("_s._t").alias("t"), F.col("_s._d").alias("d"), F.col("_s._r").alias("r")).drop("_s")
-    starts = timeline_starts(entries, keys, block=None)
-    expanded = explode_range(starts, F.col("repeats"), "_k")
-    segments = _filled(
-        expanded,
-        by,
-        "media",
-        F.col("index") + F.col("_k") + _shift(),
-        F.col("d") / F.col("timescale"),
-        time=F.col("start") + F.col("_k") * F.col("d"),
-    )
-    return _inits(rows, by).unionByName(segments)
+    expanded = explode_range(timeline_starts(entries, keys, block=None), F.col("repeats"), "_k")
+    init = (F.col("entry") == 0) & F.col("init").isNotNull()
+    expanded = expanded.withColumns({"is_init": init, "name": F.when(init, F.col("init")).otherwise(F.col("media"))})
+    time = F.col("start") + F.col("_k") * F.col("d")
+    shown = F.col("period_start") + (time - F.col("time_offset")) / F.col("timescale")
+    ticks = F.when(F.col("is_init"), F.lit(0).cast("long")).otherwise(time)
+    return _filled(expanded, by, F.col("index") + F.col("_k"), F.col("d") / F.col("timescale"), shown, time=ticks)
 
 
 def dash_segments_list(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
@@ -323,6 +361,5 @@ def dash_segments_list(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     rows = _av(manifests, by).where(F.col("addressing") == "list")
     names = F.when(F.col("init").isNotNull(), F.concat(F.array("init"), "urls")).otherwise(F.col("urls"))
     listed = rows.select(by, *_KEYS, "base_url", F.posexplode(names).alias("pos", "_u"))
-    return listed.select(
-        by, *_KEYS, F.col("pos").cast("long").alias("pos"), url_join("base_url", "_u").alias("url"), F.lit(None).cast("double").alias("duration")
-    )
+    none = F.lit(None).cast("double")
+    return listed.select(by, *_KEYS, F.col("pos").cast("long").alias("pos"), url_join("base_url", "_u").alias("url"), none.alias("duration"), none.alias("start"))

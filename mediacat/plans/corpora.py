@@ -421,6 +421,50 @@ def _(t):
     return dash.dash_segments_list(t.mpd_text).select("mpd_id", "pos", "url")
 
 
+# Manifests of three periods, of which one states its start and its length.
+_PERIODS = """m as (select o_orderkey as mpd_id, o_custkey, 'https://cdn.example.net/p/' || o_orderkey || '/' as root, o_custkey % 20 + 20 as second, o_custkey % 50 + 100 as total from orders),
+    p as (select *, 0 as period, 0::double as begins, second::double as seconds, root || 'one/' as base from m
+      union all select *, 1, second, 12.5, root || 'two/' from m union all select *, 2, second + 12.5, total - second - 12.5, root || 'three/' from m)"""
+
+
+@query(
+    "J7_dash_periods",
+    f"""with {_PERIODS}
+        select mpd_id, period, begins as period_start, seconds as period_seconds, 'v' as format_id, (period + 1) * 1000.0::double as tbr, base as fragment_base_url from p
+        union all select mpd_id, 1, second, 12.5, 'a', 64.0, root || 'manifest.mpd' from m""",
+)
+def _(t):
+    return dash.dash_formats(t.mpd_periods).select("mpd_id", "period", "period_start", "period_seconds", "format_id", "tbr", "fragment_base_url")
+
+
+@query(
+    "J8_dash_periods_template",
+    f"""with {_PERIODS}
+        select mpd_id, period, 0::bigint as pos, base || 'i.mp4' as url, null::double as duration, null::double as start from p where period <> 1
+        union all select mpd_id, period, i + 1, base || 'n-' || (i + 1) || '.m4s', 4.0, begins + 4 * i from p, range(0, 50) r(i) where period <> 1 and i < ceil(seconds / 4.0)""",
+)
+def _(t):
+    return dash.dash_segments_template(t.mpd_periods).select("mpd_id", "period", "pos", "url", "duration", "start")
+
+
+@query(
+    "J9_dash_periods_timeline",
+    f"""with {_PERIODS}
+        select mpd_id, period, i as pos, base || 't-' || (500 + o_custkey % 7 * 10 + 40 * i) || '.m4s' as url, case when i < 2 then 4.0::double else 4.5::double end as duration,
+          begins + (o_custkey % 7 * 10 + 40 * i) / 10.0::double as start from p, range(0, 3) r(i) where period = 1""",
+)
+def _(t):
+    return dash.dash_segments_timeline(t.mpd_periods).select("mpd_id", "period", "pos", "url", "duration", "start")
+
+
+@query(
+    "J10_dash_periods_list",
+    f"with {_PERIODS} select mpd_id, 1 as period, i as pos, root || case i when 0 then 'h.mp4' else 'a.m4s' end as url from m, range(0, 2) r(i)",
+)
+def _(t):
+    return dash.dash_segments_list(t.mpd_periods).select("mpd_id", "period", "pos", "url")
+
+
 @query(
     "F9_timeline_starts",
     """with e as (select user_id as stream_id, event_id as entry, case when event_id % 19 = 0 then event_id * 1000 end as t, floor(value)::bigint + 1 as d, event_id % 7 - 2 as r from events),

@@ -336,6 +336,20 @@ select o_orderkey as mpd_id, 'https://cdn.example.net/dash/' || {_K} || '/manife
   case o_orderkey % 3 when 0 then {_mpd(0)} when 1 then {_mpd(1)} else {_mpd(2)} end as text
 from {{orders}}"""
 
+_TEMPLATE_4S = "<SegmentTemplate timescale=\"1000\" duration=\"4000\" initialization=\"i.mp4\" media=\"n-$Number$.m4s\"/>"
+
+#: Three periods: the first states neither start nor length, the second both, the third neither.
+VIEWS["mpd_periods"] = f"""
+select o_orderkey as mpd_id, 'https://cdn.example.net/p/' || {_K} || '/manifest.mpd' as url,
+  '<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="static" mediaPresentationDuration="PT' || @str[o_custkey % 50 + 100] || 'S">'
+  || '<Period><BaseURL>one/</BaseURL>{_TEMPLATE_4S}<AdaptationSet mimeType="video/mp4"><Representation id="v" bandwidth="1000000"/></AdaptationSet></Period>'
+  || '<Period start="PT' || @str[o_custkey % 20 + 20] || 'S" duration="PT12.5S"><AdaptationSet mimeType="video/mp4"><BaseURL>two/</BaseURL>'
+  || '<SegmentTemplate timescale="10" presentationTimeOffset="500" media="t-$Time$.m4s"><SegmentTimeline><S t="' || @str[o_custkey % 7 * 10 + 500] || '" d="40" r="1"/><S d="45"/></SegmentTimeline></SegmentTemplate>'
+  || '<Representation id="v" bandwidth="2000000"/></AdaptationSet><AdaptationSet mimeType="audio/mp4"><Representation id="a" bandwidth="64000">'
+  || '<SegmentList><Initialization sourceURL="h.mp4"/><SegmentURL media="a.m4s"/></SegmentList></Representation></AdaptationSet></Period>'
+  || '<Period><AdaptationSet mimeType="video/mp4">{_TEMPLATE_4S}<Representation id="v" bandwidth="3000000"><BaseURL>three/</BaseURL></Representation></AdaptationSet></Period></MPD>' as text
+from {{orders}}"""
+
 _ORDER = re.compile(r"\{(\w+)\}")
 _CALL = re.compile(r"@(\w+)\[")
 
