@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacat.operators.catalog import codec, has_audio, has_video
+from mediacat.operators.ordered import places
 from mediacat.operators.predicates import Get, not_drm
 
 # Codec tiers (best first), protocol order (best first), HDR scores.
@@ -202,7 +203,7 @@ def nth(df, n: int, worst=False, order=DEFAULT_ORDER, by="media_id", ordinal="or
 
 def sort_formats(df: DataFrame, order: Sequence[SortField] = DEFAULT_ORDER, by="media_id", ordinal="ordinal") -> DataFrame:
     """All rows with ``place``, counted from 1 for the best of a media item."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank_key(order).desc(), ordinal)).cast("long"))
+    return places(df, by, rank_key(order), ordinal, descending=True)
 
 
 def default_order(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
@@ -217,7 +218,7 @@ def select_all_formats(df: DataFrame, by="media_id", ordinal="ordinal") -> DataF
 def select_mergeable(df: DataFrame, by="media_id", ordinal="ordinal") -> DataFrame:
     """Every format without DRM that has video or audio with its ``place``, worst first."""
     usable = df.where(not_drm() & (has_video() | has_audio()))
-    return usable.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank_key(), ordinal)).cast("long"))
+    return places(usable, by, rank_key(), ordinal)
 
 
 # --- picks of a whole media record, without a sorter ----------------------------------------------------------
