@@ -19,10 +19,13 @@ Two sets at the threshold agree in each coordinate with a probability of ``thres
 largest ``m`` that such pairs miss with a probability of ``MISSED`` at most: 15 of 32 at 85 (8.2e-8, once in 1.2 * 10**7
 pairs), 12 at 80 (2.6e-8). No list, block or component is capped.
 
-Rows: a null or empty text has the empty set and links with nothing; a repeated ``doc_id`` has a row for each text, and
-groups of the same smallest id are one; a
-null ``doc_id`` sorts first and comes back as null. Ties do not arise: the smallest id represents. An
-empty table gives no rows; other columns are ignored.
+A class is named by a hash of its set, never by an id, so that texts which share an id are told apart. The smallest
+``doc_id`` of a component names it; the row of that id is kept, of several texts with it the one of the least hash. So
+every component keeps exactly one text.
+
+Rows: a null or empty text has the empty set, links with nothing and is kept; a repeated ``doc_id`` has a row for each
+text, each in the component of its text, and rows equal in id and text are kept or not together; a null ``doc_id`` sorts
+first, so that its row is kept, and comes back as null. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def minima(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, posts array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, posts array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +114,26 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum((n > 0) * COORDINATES)]).astype(np.int32)
             columns = [
                 ids.slice(first, last - first),
+                batch.column("text_hash").slice(first, last - first),
                 pa.array(n.astype(np.int64)),
                 pa.array(segment_sums(mix(h ^ np.uint64(0xA5A5A5A5)), bounds).view(np.int64)),
                 pa.array(segment_sums(mix(h + np.uint64(0x5C5C5C5C)), bounds).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(posts.ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "posts"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "posts"])
 
 
 def sketch(documents: DataFrame) -> DataFrame:
     """Per row: the size of its set, two sums that identify the set, its posting keys."""
-    docs = documents.select(id_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(id_key().alias("doc_id"), text_key().alias("text_hash"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_sketched, SKETCH)
 
 
+def text_key() -> Column:
+    """With the id, what tells documents apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def in_block_pairs(df: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
     """Each member once for every pair of blocks of its group that holds its block, under the pair's key ``run``."""
     df = df.withColumn("_blocks", blocks.cast("int")).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
@@ -239,28 +248,34 @@ def _confirmed(threshold: int):
 
 
 def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
-    """Edges that connect the true links within groups (node, label) of classes."""
-    sized = groups.join(classes.select("node", "n_shingles"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total"))
+    """Edges that connect the true links within groups (node, label) of classes; one text stands for a class."""
+    members = groups.join(classes.select("node", "n_shingles", "low"), "node")
+    sized = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / SET_BLOCK), F.ceil(F.col("total") / SHINGLE_BLOCK)).cast("int")
-    wanted = groups.join(sized.select("label", blocks.alias("blocks")), "label")
-    docs = documents.select(id_key().alias("node"), F.col("text").cast("string").alias("text"))
-    sets = docs.join(wanted, "node").select("node", "label", "blocks", "text").mapInArrow(_sets, "node long, label long, blocks int, shingles array<long>")
+    wanted = members.join(sized.select("label", blocks.alias("blocks")), "label").select("node", "label", "blocks", F.col("low.doc_id").alias("_id"), F.col("low.text_hash").alias("_text"))
+    docs = documents.select(id_key().alias("_id"), text_key().alias("_text"), F.col("text").cast("string").alias("text"))
+    texts = docs.join(wanted, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    sets = texts.select("node", "label", "blocks", "text").mapInArrow(_sets, "node long, label long, blocks int, shingles array<long>")
     dealt = in_block_pairs(sets, "label", "node", F.col("blocks"))
     return dealt.select("run", "node", "shingles").mapInArrow(_confirmed(threshold), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept; ``threshold`` is in hundredths."""
+    """Per document: doc_id, text_hash, n_shingles, component_id (the smallest id reachable over links), kept.
+
+    ``threshold`` is in hundredths.
+    """
     sketches = materialize(sketch(documents), "sketches")
-    some = sketches.where("n_shingles > 0")
-    classes = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("posts").alias("posts"))
-    classes = materialize(classes, "classes")
+    some, own = sketches.where("n_shingles > 0"), ["n_shingles", "set_a", "set_b"]
+    classes = some.groupBy(*own).agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.first("posts").alias("posts"))
+    classes = materialize(classes.withColumn("node", F.xxhash64(*own)), "classes")
     groups = components(candidates(classes, matches(threshold)))
     found = components(links(documents, classes, groups, threshold))
-    lowest = found.groupBy("label").agg(F.min("node").alias("component_id"))
-    placed = found.join(lowest, "label").select("node", "component_id")
-    placed = classes.select("n_shingles", "set_a", "set_b", "node").join(placed, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")).drop("node")
-    rows = some.drop("posts").join(placed, ["n_shingles", "set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    rows = rows.unionByName(sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    lows = classes.select("node", *own, "low")
+    lowest = found.join(lows, "node").groupBy("label").agg(F.min("low").alias("lowest"))
+    placed = lows.join(found.join(lowest, "label").select("node", "lowest"), "node", "left").select(*own, F.coalesce("lowest", "low").alias("lowest"))
+    rows = some.drop("posts").join(placed, own).withColumn("kept", F.struct("doc_id", "text_hash") == F.col("lowest"))
+    rows = rows.select("doc_id", "text_hash", "n_shingles", F.col("lowest.doc_id").alias("component_id"), "kept")
+    alone = sketches.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return rows.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.unionByName(alone).select(real("doc_id"), "text_hash", "n_shingles", real("component_id"), "kept")

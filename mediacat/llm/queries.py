@@ -80,7 +80,7 @@ select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id
 
 @query("op4_near_duplicates", _OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op5_token_files")

@@ -116,7 +116,7 @@ def sets_of(rows):
     return found
 
 
-def components_of(sets):
+def components_of(sets, threshold=85):
     parent = {d: d for d in sets}
 
     def root(x):
@@ -128,7 +128,7 @@ def components_of(sets):
     for n, a in enumerate(ids):
         for b in ids[:n]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if common and 100 * common >= threshold * (len(sets[a]) + len(sets[b]) - common):
                 x, y = sorted((root(a), root(b)), key=lambda d: (d is not None, d or 0))
                 parent[y] = x
     return {d: root(d) for d in ids}
@@ -180,6 +180,34 @@ def test_near_duplicates_at_another_threshold(spark):
     assert (near_dedup.matches(85), near_dedup.matches(80)) == (15, 12)
 
 
+def near_copies(spark):
+    """(id, text): unrelated texts under one id, near copies without an id or with the same one, repeated rows."""
+    rnd = np.random.default_rng(6)
+    new = lambda: " ".join(f"w{x}" for x in rnd.integers(10**9, size=120))
+    a, b, c, d, e = (new() for _ in range(5))
+    rows = [(3, b), (5, a), (5, b + " end"), (None, c), (None, c + " more"), (7, c + " again"), (None, d), (8, e), (8, e + " once"), (8, e), (9, new()), (None, ""), (None, ""), (9, None)]
+    return rows, spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, node int")
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rows, docs = near_copies(spark)
+    out = near_dedup.near_duplicates(docs).collect()
+    assert len(out) == len(rows)
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()}
+    got = {(r.doc_id, r.text_hash): (r.component_id, r.kept) for r in out}
+    of = lambda i: got[rows[i][0], hashes[rows[i]]]
+    assert [of(i)[0] for i in range(len(rows))] == [3, 5, 3, None, None, None, None, 8, 8, 8, 9, None, None, 9]
+    assert [of(i)[1] for i in (0, 1, 2, 5, 6, 10, 11, 13)] == [True, True, False, False, True, True, True, True]
+    assert of(3)[1] != of(4)[1] and of(7)[1] != of(8)[1] and of(7) == of(9)
+
+
+def test_near_duplicates_of_a_row_repeated_often(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.range(3000).selectExpr("1 as doc_id", f"'{text}' as text").union(spark.range(1).selectExpr("2", f"'{text} end'"))
+    found = near_dedup.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, True, 3000), (2, 1, False, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (200, 200), (7, 300)]
     label = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

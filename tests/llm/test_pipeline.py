@@ -32,7 +32,7 @@ def test_stages(spark):
             assert sum(d in kept for d in good) >= 0.97 * len(good)
             assert sum(d in kept for d, _ in before if label.get(d) == 0) <= 2
         elif name == "near duplicates":
-            roots = components_of(sets_of(before))
+            roots = components_of(sets_of(before), 80)  # the stage's own threshold; op4's is 85
             assert set(kept) == {d for d in roots if roots[d] == d}
         elif name == "decontamination":
             clean = {d for d, x in before if not any(tuple(w[i : i + n]) in windows for w in [words_of(x)] for n in lengths for i in range(len(w) - n + 1))}
@@ -56,6 +56,17 @@ def test_edges(spark, docs, rows, no_docs):
     assert max(by_text.values()) == 1
 
 
+def test_near_duplicate_stage_keeps_unrelated_texts_and_drops_copies_without_id(spark):
+    from tests.llm.test_operators import near_copies
+
+    rows, docs = near_copies(spark)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == len(set(kept))
+    always = {rows[i] for i in (0, 1, 6, 10, 11, 13)}
+    assert always < set(kept) and rows[2] not in kept and rows[5] not in kept
+    assert sum(rows[i] in kept for i in (3, 4)) == 1 and sum(rows[i] in kept for i in (7, 8)) == 1 and len(kept) == 8
+
+
 def test_queries_are_registered():
     from __spark_entry__ import queries
 
