@@ -3,7 +3,7 @@
 Each stage works on all rows its predecessor kept and returns the columns of documents, but for the last:
 
 * quality classifier: documents that it rejects go;
-* near-duplicates: of each group of linked documents the one of the smallest id stays;
+* near-duplicates: of each group of documents linked at a similarity of 0.8 or more, one of the smallest id stays;
 * decontamination: documents in which a benchmark passage occurs go;
 * secret scan: every span of a secret is replaced in the text;
 * packing: the texts become pieces of token sequences.
@@ -21,14 +21,18 @@ from mediacat.llm import decontaminate, near_dedup, packing, quality, secret_sca
 from mediacat.llm.shared import NO_ID, id_key, materialize, table
 
 
+#: Documents are near-duplicates from this similarity of their word shingles on, in hundredths.
+NEAR_HUNDREDTHS = 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept_id")).distinct()
-    keyed = docs.withColumns({"_kept_id": id_key(), "_kept_text": F.xxhash64("text")})
-    return keyed.join(kept, "_kept_id", "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(docs.columns)
+    kept = near_dedup.near_duplicates(docs, NEAR_HUNDREDTHS).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept_id"), F.col("text_hash").alias("_kept_text"))
+    keyed = docs.withColumns({"_kept_id": id_key(), "_kept_text": near_dedup.text_key()})
+    return keyed.join(kept, ["_kept_id", "_kept_text"], "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
