@@ -4,13 +4,13 @@
 2. *Weigh.* Votes are counted by pattern over all documents (at most 2 ** 10 patterns). Expectation-maximisation on the
    counts estimates each labeller's vote probabilities for good and for bad documents and the share of bad ones; a
    pattern's posterior follows.
-3. *Train.* The documents of the lowest id hashes, at most ``sample``, get their pattern's posterior as a soft label. A
+3. *Train.* The rows of the lowest hashes of id and text, at most ``sample``, get their pattern's posterior as a soft label. A
    logistic model is fitted on hashed features: the shares of their words, of the shapes of their words, and of words
    equal to the one before, in 2 ** 16 buckets.
 4. *Score.* Every document is scored over its whole text; below ``threshold`` it is rejected.
 
 Rows: a null or empty text has no votes and no features but the bias of the model, and is rejected only if the model's
-prior says so; repeated rows score alike; a null ``doc_id`` stays null and counts as one more document. On an empty
+prior says so; repeated rows score alike, and are one row of the sample; a null ``doc_id`` stays null. On an empty
 table nothing is fitted and nothing returned. Other columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
@@ -187,13 +187,18 @@ def _text(documents: DataFrame, *more) -> DataFrame:
     return documents.select(*more, F.col("text").cast("string").alias("text"))
 
 
+def sampled_texts(documents: DataFrame, sample: int) -> DataFrame:
+    """The texts of the rows of the lowest hashes of id and text, at most ``sample``; rows equal in both are one."""
+    keyed = _text(documents, id_key().alias("_key")).select(F.xxhash64("_key", "text").alias("_hash"), "text")
+    chosen = keyed.select("_hash").distinct().orderBy("_hash").limit(sample)
+    return keyed.join(F.broadcast(chosen), "_hash", "left_semi").dropDuplicates(["_hash"]).select("text")
+
+
 def train(documents: DataFrame, training: Training = Training()) -> tuple[np.ndarray, float]:
     """Weights and bias from the documents' own votes."""
     counted = _text(documents).mapInArrow(_count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     posterior = estimate({r.pattern: r.n for r in counted.collect()})
-    chosen = documents.select(id_key().alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(training.sample)
-    texts = _text(documents, id_key().alias("_key")).join(F.broadcast(chosen), "_key", "left_semi").select("text")
-    rows = texts.mapInArrow(_featured, "pattern long, buckets array<int>, shares array<float>").toArrow()
+    rows = sampled_texts(documents, training.sample).mapInArrow(_featured, "pattern long, buckets array<int>, shares array<float>").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     lists = rows.column("buckets").combine_chunks()
