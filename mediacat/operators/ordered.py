@@ -108,19 +108,19 @@ def number_rows(
 SAMPLES_A_PARTITION, BUCKET_SAMPLES = 64, 16
 
 
-def bucketed(df: DataFrame, by: str, key: Column, tie: str, descending: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, by: str, key: Column, tie: str, descending: bool = False, draw: Column | None = None) -> DataFrame:
     """Rows with ``_key``, and ``_bucket``, which grows in the order of ``_key`` and then ``tie`` in a group.
 
-    A sample of a size that depends on the number of shuffle partitions alone, drawn by the hash of group and tie, shows
-    which groups hold more than a small share of all rows and where their keys lie. Every ``BUCKET_SAMPLES``-th sampled
+    A sample of a size that depends on the number of shuffle partitions alone, drawn by a hash (``draw``, or else that of
+    group and tie), shows which groups hold more than a small share of all rows and where their keys lie. Every ``BUCKET_SAMPLES``-th sampled
     key of such a group is the bound of a bucket; other groups are one bucket, and ``_bounds`` is NULL. There is at most
     one bound for each ``BUCKET_SAMPLES`` sampled rows, so that all of them can be sent to all tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumns({"_key": key, "_tie": F.struct(F.col(tie))})
     total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    draw = F.shiftrightunsigned(F.xxhash64(by, tie), 11) / F.lit(float(1 << 53))
-    sampled = keyed.where(draw < F.lit(float(SAMPLES_A_PARTITION * parts)) / total.select("n").scalar())
+    drawn = F.shiftrightunsigned(F.xxhash64(by, tie) if draw is None else draw, 11) / F.lit(float(1 << 53))
+    sampled = keyed.where(drawn < F.lit(float(SAMPLES_A_PARTITION * parts)) / total.select("n").scalar())
     listed = sampled.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t")))).alias("_s"))
     nth = lambda x, i: (i + 1) % BUCKET_SAMPLES == 0
     bounds = listed.where(F.size("_s") >= BUCKET_SAMPLES).select(F.col(by).alias("_by"), F.filter("_s", nth).alias("_bounds"))
@@ -133,15 +133,20 @@ def bucketed(df: DataFrame, by: str, key: Column, tie: str, descending: bool = F
     return placed.withColumn("_bucket", F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", before))))
 
 
-def places(df: DataFrame, by: str, key: Column, tie: str, name: str = "place", descending: bool = False) -> DataFrame:
+def places(
+    df: DataFrame, by: str, key: Column, tie: str, name: str = "place", descending: bool = False, order: Sequence[Column] = (), draw: Column | None = None
+) -> DataFrame:
     """``row_number`` by ``key`` (any comparable value, also a struct) and then ``tie``, for groups of any size.
 
+    Rows may be numbered by a finer ``order`` in which key and tie do not fall; keys go into the bounds, so that where
+    an order has long texts a key holds their first letters only.
+
     A sort by samples in two levels: the buckets of a group are numbered in tasks of their own and take up the sizes of
     the buckets before them, of which there is a row for each.
     """
-    placed = bucketed(df, by, key, tie, descending)
-    order = Window.partitionBy(by, "_bucket").orderBy(F.col("_key").desc() if descending else F.col("_key").asc(), tie)
-    local = placed.withColumn("_n", F.row_number().over(order).cast("long"))
+    placed = bucketed(df, by, key, tie, descending, draw)
+    order = order or (F.col("_key").desc() if descending else F.col("_key").asc(), F.col(tie))
+    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)).cast("long"))
     sizes = placed.where(F.col("_bounds").isNotNull()).groupBy("_by", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = sizes.select(F.col("_by").alias("_c_by"), F.col("_bucket").alias("_c_bucket"), F.sum("_size").over(earlier).alias("_before"))
