@@ -5,7 +5,8 @@ same conversation many times, each snapshot a few turns longer. The rolling hash
 sums over its turns' hashes, each salted with the turn's place, so that the running sum at each turn is the prefix's
 hash.
 
-1. Places and prefix hashes: a window over the turns of a conversation in order, which is streamed, not gathered.
+1. Places by a sort in two levels, prefix hashes by running sums over blocks of turns: a conversation, or the rows
+   without ``conv_id``, of any share of the table is spread over tasks.
 2. Conversations whose own hash is among the hashes of proper prefixes are snapshots of longer ones: an anti-join on
    (length, hash) with the distinct proper prefixes removes them. A first turn that many share is one such row.
 3. Of conversations that are equal, the smallest ``conv_id`` stays: grouping by hash.
@@ -20,13 +21,15 @@ a repeated row is a turn of its own. An empty table gives no rows; other columns
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediacat.llm.shared import NO_ID, materialize
+from mediacat.operators.ordered import Running, places, running
 
 #: Turns of a rendered row.
 PART = 64
+#: Letters of a text that sort keys hold, and turns whose hashes one task sums up.
+START, BLOCK = 64, 10_000
 HALF = 2**31 - 1
 
 
@@ -37,11 +40,12 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 def prefixes(conversations: DataFrame) -> DataFrame:
     """Every turn with its place from 1 and the hash (a, b) of the conversation up to it."""
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = _turns(conversations).withColumn("place", F.row_number().over(order).cast("long"))
-    before = W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    salted = lambda salt: F.sum(F.xxhash64(F.lit(salt), "place", "role", "text").bitwiseAND(F.lit(HALF)))
-    return placed.withColumns({"a": salted(1).over(before), "b": salted(2).over(before)})
+    turns = _turns(conversations).withColumn("_same", F.lit(0))
+    start = F.struct("turn", "role", F.substring("text", 1, START).alias("start"))
+    order = (F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"))
+    placed = places(turns, "conv_id", start, "_same", order=order, draw=F.xxhash64("conv_id", "turn", "role", "text")).drop("_same")
+    salted = lambda salt: Running("sum", F.xxhash64(F.lit(salt), "place", "role", "text").bitwiseAND(F.lit(HALF)))
+    return running(placed, ["conv_id"], "place", {"a": salted(1), "b": salted(2)}, BLOCK)
 
 
 def maximal(turns: DataFrame) -> DataFrame:

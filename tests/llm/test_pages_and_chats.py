@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from mediacat.llm import chats, html_main
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
@@ -114,3 +116,20 @@ def test_chats(spark):
     assert out[8][0].n_turns == 2 and out[7][0].rendered == "<||>\n\n<|end|>\n"
     assert sorted(out[10]) == [0, 1, 2] and sum(r.rendered.count("<|end|>") for r in out[10].values()) == 150
     assert chats.collapse(df.limit(0)).count() == 0
+
+
+def test_hot_conversation(spark):
+    """A conversation with most of all turns, and the rows without an id: places and hashes equal plain windows', in small buckets."""
+    from pyspark.sql import Window
+
+    id_ = F.col("id")
+    rows = spark.range(12_000).select(
+        F.when(id_ % 3 == 0, F.lit(None)).when(id_ % 3 == 1, 5).otherwise(id_ % 400 + 10).alias("conv_id"), F.when(id_ % 7 > 0, id_ % 900).alias("turn"),
+        F.when(id_ % 2 == 0, "user").alias("role"), F.concat(F.repeat(F.lit("long start "), 8), (id_ % 1500).cast("string")).alias("text"),
+    )
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    plain = chats._turns(rows).withColumn("place", F.row_number().over(order).cast("long"))
+    salted = lambda salt: F.sum(F.xxhash64(F.lit(salt), "place", "role", "text").bitwiseAND(F.lit(chats.HALF))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    want = plain.withColumns({"a": salted(1), "b": salted(2)})
+    got = chats.prefixes(rows)
+    assert sorted(got.select(sorted(got.columns)).collect(), key=str) == sorted(want.select(sorted(got.columns)).collect(), key=str)
