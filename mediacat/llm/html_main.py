@@ -4,8 +4,8 @@ A page is read as a stream of tags and text blocks. Its tokens are the paths of
 the body down) and its text blocks; each has an occurrence vector: how often it occurs in which page of the host.
 
 1. *Equivalence classes.* Tokens of a host with equal vectors form a class; vectors are compared by sums of hashes of
-   (page, count), so that they are never gathered. A class is valid if it occurs in half of the host's pages. Pages
-   without text count for nothing. (A container stands for its two tags and a block for its words, so that each class
+   (page, count), so that they are never gathered. A class of containers is valid if it occurs in a fifth of the host's
+   pages, one of text blocks if in half of them. Pages without text count for nothing. (A container stands for its two tags and a block for its words, so that each class
    has the two tokens that a class needs.)
 2. *Nesting.* Containers of valid classes that occur equally often in each of their pages, and hold most of the free text
    of those pages, are slots. Slots nest by their paths. Of slots in each other one is a main slot: an article before
@@ -14,9 +14,10 @@ the body down) and its text blocks; each has an occurrence vector: how often it
 3. *Own text.* Blocks of valid classes, however often they occur in a page, are the template's own text if more than two
    pages have them.
 4. *Extraction.* From each page the blocks of the main slots are taken, in page order, with all that is nested in them,
-   but those in elements for menus, headers, footers, sidebars, notices, adverts, forms and comments. The template's own
-   text is left out unless it is in an article, or nothing else would remain. A page without a main slot gives its
-   articles, or else its body.
+   but those in elements for menus, headers, footers, sidebars, notices, adverts, forms and comments. Names tell such
+   elements only as a whole, and within an article only adverts, forms and comments; an article's own header is part of
+   it, and names never leave a page with an article empty. The template's own text is left out unless it is in an
+   article, or nothing else would remain. A page without a main slot gives its articles, or else its body.
 
 Character references are decoded, white space becomes one space, blocks are joined by line feeds.
 
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 
 from mediacat.llm.shared import materialize
 
-#: The share of its pages' free text that a slot holds, and of a host's pages that a valid class occurs in.
-MAIN_SHARE, VALID_SHARE = 0.6, 0.5
+#: The share of its pages' free text that a slot holds, and of a host's pages that a valid class of containers and of text occurs in.
+MAIN_SHARE, SLOT_SHARE, VALID_SHARE = 0.6, 0.2, 0.5
 #: Templates of at most so many bytes in all are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -61,17 +62,42 @@ _LEFT_OUT = frozenset("nav header footer aside form dialog menu fieldset".split(
 #: Of these an article or main element within is taken for one that follows, the closing tag being lost.
 _NEVER_HOLD_ARTICLES = frozenset("nav header form menu fieldset".split())
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|sidebar|side|widgets?|comments?|disqus|discussion|respond|replies|reviews?|nav\w*|menu|breadcrumbs?|pagination|pager|"
-    r"footer|masthead|header|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|skip|toc|complementary|contentinfo|navigation)(?:$|[-_ ])",
-    re.I,
+#: Words that name what is no part of an article, and those that say nothing about it. A name counts only as a whole: each of
+#: its parts is one of these words, at least one of the former kind (``cookie-notice``, but not ``related-work``).
+_WITHIN_ARTICLES = frozenset(
+    "ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion comment comments reply replies respond disqus discussion "
+    "newsletter subscribe subscription signup login share sharing shares".split()
 )
+_AROUND_ARTICLES = _WITHIN_ARTICLES | frozenset(
+    "banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead "
+    "header topbar toolbar social related recommended recommendations search skip toc complementary contentinfo".split()
+)
+_OF_ARTICLES = frozenset("comment comments reply replies teaser teasers related ad ads advert adverts advertisement promo sponsored".split())
+_NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons card cards center container content footer form global group header holder icons in inner item items left link links list main media message outer "
+    "page panel post posts primary right row secondary section site slot small space span text thread top unit up user wrap wrapper zone reader".split()
+)
+
+
+def _names(attributes: str) -> list[str]:
+    """The class, id and role names of a tag."""
+    return " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).split() if "=" in attributes else []
+
+
+def named_by(names: list[str], words: frozenset) -> bool:
+    for name in names:
+        parts = [x for x in re.split(r"[-_]+|\d+", name.lower()) if x]
+        if any(x in words for x in parts) and all(x in words or x in _NEUTRAL for x in parts):
+            return True
+    return False
 
 
 class Block:
+    """``out`` is why a block is left out: the tag, ``name``, ``hidden`` or nothing."""
+
     __slots__ = ("path", "text", "out", "article")
 
-    def __init__(self, path: str, text: str, out: bool, article: bool):
+    def __init__(self, path: str, text: str, out: str, article: bool):
         self.path, self.text, self.out, self.article = path, text, out, article
 
 
@@ -142,15 +168,15 @@ def read_page(page: str) -> list[Block]:
         parts.clear()
         if text:
             _, path, out, article = stack[-1] if stack else ("", "", "", False)
-            blocks.append(Block(path, text, bool(out or own_out), article))
+            blocks.append(Block(path, text, out or own_out, article))
 
-    def why_left_out(tag: str, attributes: str) -> str:
-        if tag in _LEFT_OUT:
+    def why_left_out(tag: str, names: list[str], attributes: str, article: bool) -> str:
+        if tag in _LEFT_OUT and not (tag == "header" and article):  # an article's own header holds its title and lead
             return tag
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
-        if tag in ("article", "main"):
-            return "name" if re.search(r"\b(?:comment|reply|teaser|related|advert)", names, re.I) else ""
-        return "name" if (names and tag != "body" and _LEFT_OUT_NAMES.search(names)) or (attributes and _HIDDEN.search(attributes)) else ""
+        words = _OF_ARTICLES if tag in ("article", "main") else _WITHIN_ARTICLES if article else _AROUND_ARTICLES
+        if names and tag != "body" and named_by(names, words):
+            return "name"
+        return "hidden" if attributes and tag not in ("article", "main") and _HIDDEN.search(attributes) else ""
 
     tags = _tags(page)
     ends = _closed(tags) if any(x[3] in _SKIPPED for x in tags) else {}
@@ -181,11 +207,11 @@ def read_page(page: str) -> list[Block]:
             elif tag in _CONTAINERS:
                 _, path, out, article = stack[-1] if stack else ("", "", "", False)
                 own = tag in ("article", "main")
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
+                names = _names(attributes)
                 kept_out = "" if own and out in _NEVER_HOLD_ARTICLES else out
-                stack.append((tag, f"{path}>{tag}" + (f".{names.split()[0]}" if names.strip() else ""), kept_out or why_left_out(tag, attributes), article or own))
+                stack.append((tag, f"{path}>{tag}" + (f".{names[0]}" if names else ""), kept_out or why_left_out(tag, names, attributes, article), article or own))
             elif not closing and attributes:
-                own_out = why_left_out(tag, attributes)
+                own_out = why_left_out(tag, _names(attributes), attributes, bool(stack) and stack[-1][3])
         k += 1
     if not unclosed:
         parts.append(page[at:])
@@ -250,7 +276,7 @@ def classes(pages: DataFrame) -> DataFrame:
     is_page = (F.col("token") == "") & ~F.col("is_text")
     grouped = tokens.groupBy("host", "pages", "occurrences", "vector", "page_chars", "least", "most").agg(F.max(F.when(is_page, F.col("chars"))).alias("host_chars"), F.collect_list(F.struct("token", "is_text", "chars")).alias("tokens"))
     whole = grouped.where("host_chars is not null").select("host", F.col("pages").alias("host_pages"))
-    return grouped.join(whole, "host").where(F.col("pages") >= VALID_SHARE * F.col("host_pages")).drop("vector", "host_chars")
+    return grouped.join(whole, "host").where(F.col("pages") >= SLOT_SHARE * F.col("host_pages")).drop("vector", "host_chars")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -263,7 +289,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = classes(pages).select(
         "host",
         F.transform(F.filter("tokens", holds), slot).alias("slots"),
-        F.transform(F.filter("tokens", lambda x: x["is_text"] & (F.col("pages") > 2)), lambda x: x["token"]).alias("own_text"),
+        F.transform(F.filter("tokens", lambda x: x["is_text"] & (F.col("pages") > 2) & (F.col("pages") >= VALID_SHARE * F.col("host_pages"))), lambda x: x["token"]).alias("own_text"),
     )
     gathered = found.groupBy("host").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.array_sort(F.flatten(F.collect_list("own_text"))).alias("own_text"))
     rank = lambda x: F.struct(x["article"], x["once"], x["depth"])
@@ -274,8 +300,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, slots: list[str], own_text: frozenset) -> str:
-    """The blocks of the main slots, or else of articles, or else of the body."""
-    blocks = [x for x in read_page(page) if not x.out]
+    """The blocks of the main slots, or else of articles, or else of the body.
+
+    If names leave nothing, those within articles do not count.
+    """
+    read = read_page(page)
+    blocks = [x for x in read if not x.out] or [x for x in read if x.article and x.out == "name"]
     below = tuple(x + ">" for x in slots)
     within = [x for x in blocks if x.path in slots or x.path.startswith(below)]
     kept = within or [x for x in blocks if x.article] or [x for x in blocks if x.path.startswith(">body")] or blocks

@@ -92,6 +92,58 @@ def test_templates_of_uneven_hosts(spark):
     assert {r.page_id: r.text for r in flat} == {**{i: f"Text {i} of the page." for i in range(10)}, 10: ""}
 
 
+@pytest.mark.parametrize(
+    ("body", "blocks"),
+    [
+        ('<main><div class="review"><p>One</p></div></main>', ["One"]),
+        ('<article><section class="related-work"><p>One</p></section><p>Two</p></article>', ["One", "Two"]),
+        ('<article><div class="search-results"><p>One</p></div><p>Two</p></article>', ["One", "Two"]),
+        ('<article><div id="social-history"><p>One</p></div><p>Two</p></article>', ["One", "Two"]),
+        ('<article><div class="side-by-side"><p>One</p><p>Two</p></div></article>', ["One", "Two"]),
+        ('<article><p class="notice">One</p><p>Two</p></article>', ["One", "Two"]),
+        ('<header>Site</header><article><header><h1>One</h1><p>Lead</p></header><p>Two</p></article>', ["One", "Lead", "Two"]),
+        ('<article><div class="comments"><p>One</p></div></article>', ["One"]),
+        ('<main class="page comments-list"><p>One</p></main>', ["One"]),
+        ('<div class="content"><div class="cookie-notice">No</div><div class="ad-slot-2">No</div><div class="adobe">One</div><div id="advice">Two</div></div>', ["One", "Two"]),
+        ('<article><p>One</p><div class="reader-comments">No</div><ul class="share-buttons"><li>No</ul><form>No</form><nav>No</nav><aside>No</aside><footer>No</footer></article>', ["One"]),
+        ('<article class="teaser"><p>No</p></article><article class="post related-work"><p>One</p></article><article class="comment-12"><p>No</p></article>', ["One"]),
+    ],
+)
+def test_names_count_as_a_whole(body, blocks):
+    assert html_main.main_text(f"<html><body>{body}</body></html>", [], frozenset()) == "\n".join(blocks)
+
+
+def test_layouts_of_a_host_against_what_was_put_in(spark):
+    """Pages made from known blocks in three layouts, mixed on one host and each on its own, with menus, banners, sidebars and comments."""
+    import random
+
+    rnd = random.Random(9)
+    words = "river stone light house under going seven where found green their".split()
+
+    def sentence(n=None):
+        return " ".join(rnd.choices(words, k=n or rnd.randint(6, 30))).capitalize() + "."
+
+    inner = ["<p>{}</p>", "<p class='advice'>{}</p>", "<div class='related-work'><p>{}</p></div>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]
+    banner, menu, foot = sentence(8), "".join(f"<li><a href='#'>{w}</a></li>" for w in words[:5]), sentence(6)
+    shells = [
+        "<article class='post'><header><h1>{title}</h1></header>{body}<div class='share-links'>Share this</div></article><section class='comments'><p>{noise}</p></section>",
+        "<div class='story'><h1>{title}</h1>{body}</div><div class='sidebar'><p>{noise}</p></div>",
+        "<table class='grid'><tr><td class='left'>{menu}</td><td class='text'><h1>{title}</h1>{body}</td></tr></table><div class='extra'><span>{noise}</span></div>",
+    ]
+    rows, truth = [], {}
+    for i in range(90):
+        layout = i % 3
+        site = "mixed" if i < 45 else f"only{layout}"
+        title, body = sentence(6), [sentence() for _ in range(rnd.randint(3, 9))]
+        shell = shells[layout].format(title=title, body="".join(rnd.choice(inner).format(x) for x in body), noise=sentence(5), menu=f"<ul>{menu}</ul>")
+        rows.append((i, f"http://{site}.example/{i}", f"<html><body><div class='strip'>{banner}</div><nav><ul>{menu}</ul></nav>{shell}<footer>{foot}</footer></body></html>"))
+        truth[i] = "\n".join([title, *body])
+    rnd.shuffle(rows)
+    got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [i for i in truth if got[i] != truth[i]]
+    assert not wrong, (wrong, got[wrong[0]], truth[wrong[0]])
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
