@@ -3,12 +3,14 @@
 The patterns' spans (``assign``, ``access``, ``hex``) are those of a scan from the left for each kind. The method adds
 ``markov`` spans: a token of 16 or more letters, digits and ``+/_=-`` is scored by two first-order Markov models over
 its characters, one of random strings, one of ordinary identifiers. The sum of the log ratios of their transition
-probabilities is the evidence; a token with letters and digits is reported if the sum and its mean reach their
-thresholds, and no pattern's span overlaps it.
+probabilities is the evidence; a token is reported if the sum and its mean reach their thresholds, and no pattern's span
+overlaps it. Nothing but the models decides.
 
 The models are counted from labelled tokens (``labelled_samples``): random ones are digests of row numbers in several
-alphabets and the values that patterns found, ordinary ones are words of a bounded sample of documents, alone and joined
-the ways identifiers are. ``train`` gives at most 64 * 64 log ratios, which go into the scan as one constant.
+alphabets and the values that patterns found; ordinary ones are the words of a bounded sample of documents and the public
+names of Python's standard library, alone and joined the ways identifiers, paths, versions and dates are. One token in
+``FOLDS`` is held out: the threshold of the sum is the higher of ``total`` and the sum that all but ``false_alarms`` of the
+ordinary ones held out stay below. ``train`` gives at most 64 * 64 log ratios and that threshold, constants of the scan.
 
 All spans are counted in code points from 0, end exclusive; everything is DataFrame functions inside the row.
 
@@ -18,7 +20,12 @@ empty table gives no rows, and models trained without ordinary words still rest
 
 from __future__ import annotations
 
+import builtins
+import importlib
+import keyword
 import math
+import re
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,15 +48,45 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 
 @dataclass(frozen=True)
 class Evidence:
-    """Thresholds of the sum and of the mean log ratio, and the bounds and prior of training."""
+    """Thresholds of the sum and of the mean log ratio, the share of false alarms, and the bounds and prior of training."""
 
-    total: float = 24.0
-    mean: float = 1.0
+    total: float = 20.0
+    mean: float = 0.4
+    false_alarms: float = 0.005
     documents: int = 2000
     strings: int = 4000
     prior: float = 0.5
 
 
+#: One token in so many is held out of the models, for the threshold.
+FOLDS = 5
+#: Modules whose public names are ordinary identifiers.
+MODULES = "argparse ast asyncio base64 collections concurrent.futures configparser csv ctypes datetime decimal difflib dis email.message functools html.parser http.client http.server inspect io itertools json locale logging logging.handlers mailbox os os.path pathlib pickle random shutil smtplib socket sqlite3 statistics string subprocess tarfile tempfile threading tkinter traceback typing unittest unittest.mock urllib.parse urllib.request xml.dom.minidom zipfile".split()
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log ratios of transition probabilities, random over ordinary, at ``before * CODES + after``; threshold of their sum."""
+
+    ratios: list[float]
+    total: float
+
+
+def library_names() -> list[str]:
+    """Public names of Python's standard library; a module that is missing is left out."""
+    names = {*keyword.kwlist, *sys.stdlib_module_names, *dir(builtins)}
+    for name in MODULES:
+        try:
+            module = importlib.import_module(name)
+        except ImportError:
+            continue
+        for x in dir(module):
+            names.add(x)
+            if isinstance(getattr(module, x, None), type):
+                names.update(dir(getattr(module, x)))
+    return sorted(x.strip("_") for x in names if re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", x.strip("_")))
+
+
 def _spans(text: Column, pattern: str, kind: str, wanted: Column | None = None, keep=None) -> Column:
     """Spans (start, end, rank) of all matches from the left that ``keep`` accepts; ``wanted`` spares other texts."""
     def located(found: Column) -> Column:
@@ -79,53 +116,82 @@ def codes(token: Column) -> Column:
 
 
 def labelled_samples(documents: DataFrame, evidence: Evidence = Evidence()) -> DataFrame:
-    """Tokens with ``is_random``: from at most ``documents`` rows, of the lowest hashes of their ids, and from digests."""
+    """Tokens with ``is_random``: from at most ``documents`` rows, of the lowest hashes of id and text, and from digests."""
     spark = documents.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    chosen = documents.select(key.alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(evidence.documents)
-    texts = documents.withColumn("_key", key).join(F.broadcast(chosen), "_key", "left_semi").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"))
+    keyed = keyed.select("text", F.xxhash64("_key", "text").alias("_hash"))
+    chosen = keyed.select("_hash").distinct().orderBy("_hash").limit(evidence.documents)
+    texts = keyed.join(F.broadcast(chosen), "_hash", "left_semi").dropDuplicates(["_hash"]).select("text")
     scanned = base_spans(texts, "text")
     values = scanned.select(F.explode("base").alias("s")).select(F.coalesce(F.nullif(F.regexp_extract("s.token", ASSIGN, 2), F.lit("")), F.col("s.token")).alias("token"))
-    words = scanned.where("size(base) = 0").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).groupBy("w").count()
-    joined = F.array(
-        F.col("w"), F.upper("w"), F.initcap("w"), F.concat("w", F.lit("_"), "w"), F.concat("w", F.initcap("w")), F.concat(F.upper("w"), F.lit("_"), F.upper("w")),
-        F.concat("w", F.lit("-"), F.lpad((F.pmod(F.xxhash64("w"), F.lit(10000))).cast("string"), 4, "0")), F.concat("w", F.lit("/"), "w"),
-    )
-    ordinary = words.select(F.explode(joined).alias("token"))
+    words = scanned.where("size(base) = 0").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    names = spark.createDataFrame([(x,) for x in library_names()], "w string")
+    pieces = names.select(F.explode(F.regexp_extract_all("w", F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))).alias("w")).where("length(w) > 1").distinct()
+    ordinary = names.select(F.col("w").alias("token")).unionByName(joined_words(words.unionByName(pieces)))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    digests = spark.range(evidence.strings).select(F.explode(F.array(digest, F.upper(digest), F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""), F.upper(F.base64(F.unhex(digest))))).alias("token"))
+    encoded = F.base64(F.unhex(digest))
+    pick = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.substring(F.lit(alphabet), (F.conv(F.substring(digest, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("int") % len(alphabet)) + 1, F.lit(1))), "")
+    kinds = F.array(digest, F.upper(digest), encoded, F.regexp_replace(encoded, "[+/=]", ""), F.upper(encoded), pick(ALPHABET[:26]), pick(ALPHABET[26:52]), pick(ALPHABET[:52]), pick(ALPHABET[:26] + ALPHABET[52:]))
+    digests = spark.range(evidence.strings).select(F.explode(kinds).alias("token"))
     return ordinary.withColumn("is_random", F.lit(False)).unionByName(digests.unionByName(values).withColumn("is_random", F.lit(True)))
 
 
-def train(samples: DataFrame, evidence: Evidence = Evidence()) -> list[float]:
-    """Log ratios of transition probabilities, random over ordinary, at ``before * CODES + after``."""
-    chain = samples.select("is_random", F.concat(F.array(F.lit(0)), codes(F.col("token"))).alias("c")).where("size(c) > 1")
+def joined_words(words: DataFrame) -> DataFrame:
+    """Tokens made of each word (column ``w``) and others, in the ways of identifiers, paths, versions, dates and lines of marks."""
+    h = lambda salt, n: F.pmod(F.xxhash64("w", F.lit(salt)), F.lit(n))
+    number = lambda salt, n: h(salt, n).cast("string")
+    two = lambda salt, n: F.lpad((h(salt, n) + 1).cast("string"), 2, "0")
+    date = F.concat_ws("-", (h(1, 60) + 1980).cast("string"), two(2, 12), two(3, 28))
+    clock = F.concat_ws("-", two(4, 23), two(5, 59), two(6, 59))
+    buddy = words.select(F.col("w").alias("v"), F.pmod(F.xxhash64("w"), F.lit(4096)).alias("_n")).dropDuplicates(["_n"])
+    paired = words.withColumn("_n", h(7, 4096)).join(buddy, "_n", "left").withColumn("v", F.coalesce("v", "w"))
+    low, cap = lambda c: F.lower(F.col(c)), lambda c: F.initcap(F.lower(F.col(c)))
+    return paired.select(F.explode(F.array(
+        F.col("w"), F.upper("w"), cap("w"), F.concat_ws("_", low("w"), low("v")), F.concat(low("w"), cap("v"), cap("w")), F.concat(cap("v"), cap("w")), F.concat_ws("_", F.upper("w"), F.upper("v")),
+        F.concat(F.concat_ws("-", low("w"), low("v")), F.lit("-"), F.lpad(number(8, 10000), 4, "0")), F.concat_ws("/", low("w"), low("v"), cap("w")), F.concat(low("w"), cap("v"), number(9, 20)),
+        F.concat(low("w"), number(10, 10), F.lit("/"), cap("v")), F.concat(low("w"), F.lit("-v"), number(11, 20), F.lit("-"), number(12, 30), F.lit("-"), number(13, 100)),
+        F.concat(date, F.lit("-"), low("w")), F.concat(date, F.lit("T"), clock, F.lit("-"), low("v")), F.concat(low("w"), F.lit("_"), F.translate(date, "-", "")), F.concat_ws("_", low("v"), low("w"), number(14, 100)),
+        F.concat(number(15, 10**9), number(16, 10**9)), F.concat(low("w"), F.lit("="), low("v")), F.concat(low("w"), F.lit("="), number(17, 100000)),
+        F.repeat(F.substring(F.lit("-=_+/"), (h(18, 5) + 1).cast("int"), F.lit(1)), (h(19, 64) + 16).cast("int")),  # a line across the page
+    )).alias("token"))
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(FOLDS)) == 0
+
+
+def train(samples: DataFrame, evidence: Evidence = Evidence()) -> Model:
+    """The models of the tokens that are not held out, and the threshold from those that are."""
+    chain = samples.where(~_held_out()).select("is_random", F.concat(F.array(F.lit(0)), codes(F.col("token"))).alias("c")).where("size(c) > 1")
     steps = chain.select("is_random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.get("c", i - 1) * CODES + F.get("c", i))).alias("step"))
     counts = {(r.is_random, r.step): r["count"] for r in steps.groupBy("is_random", "step").count().collect()}
+    totals = {(kind, a): sum(counts.get((kind, a * CODES + x), 0) for x in range(CODES)) for kind in (True, False) for a in range(CODES)}
+
     def log_probability(kind: bool, before: int, after: int) -> float:
-        total = sum(counts.get((kind, before * CODES + x), 0) for x in range(CODES))
-        return math.log((counts.get((kind, before * CODES + after), 0) + evidence.prior) / (total + evidence.prior * CODES))
+        return math.log((counts.get((kind, before * CODES + after), 0) + evidence.prior) / (totals[kind, before] + evidence.prior * CODES))
 
-    return [round(log_probability(True, a, b) - log_probability(False, a, b), 3) for a in range(CODES) for b in range(CODES)]
+    ratios = [round(log_probability(True, a, b) - log_probability(False, a, b), 3) for a in range(CODES) for b in range(CODES)]
+    long = samples.where(_held_out() & ~F.col("is_random")).where(F.col("token").rlike(f"^{TOKEN}$"))
+    above = long.agg(F.percentile_approx(log_ratio(F.col("token"), ratios), 1 - evidence.false_alarms, 1000)).first()[0]
+    return Model(ratios, max(evidence.total, above if above is not None else evidence.total))
 
 
-def log_ratio(token: Column, model: list[float]) -> Column:
+def log_ratio(token: Column, model: Model | list[float]) -> Column:
     """The evidence that a token is random: the sum over its transitions, the first from before the token."""
-    ratios = numbers(model, "double")
+    ratios = numbers(model.ratios if isinstance(model, Model) else model, "double")
     start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
     step = lambda acc, c: F.struct(c.alias("before"), (acc["sum"] + F.get(ratios, acc["before"] * CODES + c)).alias("sum"))
     return F.aggregate(codes(token), start, step, lambda acc: acc["sum"])
 
 
-def scan(documents: DataFrame, model: list[float], evidence: Evidence = Evidence()) -> DataFrame:
+def scan(documents: DataFrame, model: Model, evidence: Evidence = Evidence()) -> DataFrame:
     """The rows as ``row``, with ``base`` and ``spans``: arrays of (start, end, rank, token), ``spans`` with the added ones."""
     docs = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("scanned"))
     docs = base_spans(docs, "scanned").withColumn("tokens", _spans(F.col("scanned"), TOKEN, "markov"))
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     score = lambda x: log_ratio(x["token"], model)
-    random = lambda x: bound(score(x), lambda s: (s >= evidence.total) & (s >= evidence.mean * F.char_length(x["token"])))
-    mixed = lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]")
-    added = F.filter(F.filter("tokens", lambda x: mixed(x) & apart(x)), random)
+    random = lambda x: bound(score(x), lambda s: (s >= model.total) & (s >= evidence.mean * F.char_length(x["token"])))
+    added = F.filter(F.filter("tokens", random), apart)
     return docs.withColumn("spans", F.array_sort(F.concat("base", added))).select("row", "scanned", "base", "spans")
 
 
@@ -158,7 +224,7 @@ def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
-def mask_secrets(documents: DataFrame, model: list[float], evidence: Evidence = Evidence()) -> DataFrame:
+def mask_secrets(documents: DataFrame, model: Model, evidence: Evidence = Evidence()) -> DataFrame:
     """The rows with every span replaced in ``text``, and ``n_chars``, if there is one, counted anew where one was."""
     found = scan(documents, model, evidence).withColumn("masked", mask(F.col("scanned"), F.col("spans")))
     hit = F.size("spans") > 0
