@@ -21,6 +21,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Elements of a run of ``running_count``.
+RUN = 64
+
+
+def running_count(flags: Column) -> Column:
+    """How many of an array's flags up to each element are true, by runs: work grows with the length, not with its square."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+    def of_runs(x: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(x) / RUN), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), last), lambda r: F.slice(x, (r - 1) * RUN + 1, RUN))
+        return let(cut, lambda cut: let(F.transform(cut, total), lambda totals: F.flatten(F.transform(cut, lambda own, i: counted(own, total(F.slice(totals, F.lit(1), i)))))))
+
+    def counted(own: Column, before: Column) -> Column:
+        return let(before, lambda b: F.transform(own, lambda _, k: b + total(F.slice(own, F.lit(1), k + 1))))
+
+    return let(F.transform(flags, lambda f: F.when(f, 1).otherwise(0)), of_runs)
+
+
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, NULL where there is none or where it is empty."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col, let
+from mediacat.functions.conditions import as_col, let, running_count
 from mediacat.functions.html import decode_html_entities, trim_space
 from mediacat.functions.time import parse_duration, parse_iso_date
 from mediacat.functions.url import ext_from_mime, is_media_content_type, media_ext_from_url, url_join
@@ -321,44 +321,53 @@ def bind_og(metas: Column) -> Column:
             t["content"].alias("content"),
         ),
     )
-    return let(og, lambda tags_: let(_og_roots(tags_), lambda roots: _og_bound(tags_, roots)))
+    both = let(og, lambda tags_: F.concat(*[let(F.filter(tags_, lambda t: t["kind"] == kind), _og_of_kind) for kind in ("video", "audio")]))  # noqa: B023
+    return F.transform(F.array_sort(both), lambda r: F.struct(r["kind"].alias("kind"), r["root"].alias("root"), r["secure_url"].alias("secure_url"), r["type"].alias("type")))
 
 
-def _og_roots(og: Column) -> Column:
-    def opens(t: Column) -> Column:
-        former = F.exists(
-            og, lambda r: (r["kind"] == t["kind"]) & r["role"].isin("", "secure_url") & (r["i"] < t["i"])
-        )
-        return (t["role"] == "") | ((t["role"] == "secure_url") & ~former)
-
-    return F.filter(og, opens)
-
-
-def _last_content(tags_: Column) -> Column:
-    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(tags_, lambda t: t["content"])), -1)
+def _og_of_kind(og: Column) -> Column:
+    """The roots among the tags of one kind, by their place, with what is bound to them.
 
-
-def _og_bound(og: Column, roots: Column) -> Column:
-    def of_kind(r: Column, role: str, low: Column, high: Column) -> Column:
-        said = F.filter(
-            og, lambda t: (t["kind"] == r["kind"]) & (t["role"] == role) & (t["i"] > low) & (t["i"] < high)
-        )
-        # An empty type says nothing.
-        return F.filter(said, lambda t: F.btrim(t["content"]) != "") if role == "type" else said
-
-    def bound(r: Column) -> Column:
-        same = F.filter(roots, lambda x: x["kind"] == r["kind"])
-        end = F.coalesce(F.array_min(F.transform(F.filter(same, lambda x: x["i"] > r["i"]), lambda x: x["i"])), F.lit(1 << 30))
-        first = F.array_min(F.transform(same, lambda x: x["i"]))
-        own = _last_content(of_kind(r, "type", r["i"], end))
-        return F.struct(
-            r["kind"].alias("kind"),
-            r["content"].alias("root"),
-            _last_content(of_kind(r, "secure_url", r["i"], end)).alias("secure_url"),
-            F.coalesce(own, _last_content(of_kind(r, "type", F.lit(-1), first))).alias("type"),
+    Each tag gets the number of roots up to it; the last tag of each number and role is found by sorting.
+    """
+    first = F.array_min(F.transform(F.filter(og, lambda t: t["role"] != "type"), lambda t: t["i"]))
+
+    def roots_of(first: Column) -> Column:
+        opens = lambda t: (t["role"] == "") | (t["i"] == first)
+        numbers = running_count(F.transform(og, opens))
+        return let(numbers, lambda n: _og_bound(F.zip_with(og, n, lambda t, k: F.struct(k.alias("n"), opens(t).alias("opens"), t.alias("t")))))
+
+    return F.when(first.isNotNull(), let(first, roots_of)).otherwise(F.array())
+
+
+def _og_bound(numbered: Column) -> Column:
+    """Roots with the last secure URL and type of their number; types before any root are those of all without one."""
+    roots = F.filter(numbered, lambda x: x["opens"])
+
+    def last_of(role: str) -> Column:
+        """The last content of the role by number of root, from 0: one element for each."""
+        place = lambda n: F.struct(n.alias("n"), F.lit(-1).alias("i"), F.lit(None).cast("string").alias("content"))
+        said = F.filter(numbered, lambda x: (x["t"]["role"] == role) & ~x["opens"])
+        if role == "type":  # an empty one says nothing
+            said = F.filter(said, lambda x: F.btrim(x["t"]["content"]) != "")
+        tags_ = F.transform(said, lambda x: F.struct(x["n"].alias("n"), x["t"]["i"].alias("i"), x["t"]["content"].alias("content")))
+        placed = F.concat(F.array(place(F.lit(0))), F.transform(roots, lambda x: place(x["n"])), tags_)
+        ends = let(F.array_sort(placed), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["n"] != x["n"], F.lit(True))))
+        return F.transform(ends, lambda x: x["content"])
+
+    def bound(secure: Column, types: Column) -> Column:
+        return F.transform(
+            roots,
+            lambda x: F.struct(
+                x["t"]["i"].alias("i"),
+                x["t"]["kind"].alias("kind"),
+                x["t"]["content"].alias("root"),
+                F.get(secure, x["n"]).alias("secure_url"),
+                F.coalesce(F.get(types, x["n"]), F.get(types, F.lit(0))).alias("type"),
+            ),
         )
 
-    return F.transform(roots, bound)
+    return let(last_of("secure_url"), lambda secure: let(last_of("type"), lambda types: bound(secure, types)))
 
 
 def _detect_open_graph(p) -> Column:
