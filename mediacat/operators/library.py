@@ -30,7 +30,8 @@ def find_completed(media: DataFrame, files: DataFrame, title: str = "title") ->
     """Media whose sanitized title names a file: ``complete`` or ``partial``.
 
     A finished file has the title as its stem. A file in progress has ``.part`` somewhere in its name and starts with
-    the title; only these few are spread over their prefixes, so that both kinds are joins of equality.
+    the title; only these few are spread over their prefixes, of the lengths that titles have, so that both kinds are
+    joins of equality.
     ``files`` has ``name`` and ``size``.
     """
     keyed = media.withColumn("_stem", sanitize_filename(title))
@@ -38,9 +39,11 @@ def find_completed(media: DataFrame, files: DataFrame, title: str = "title") ->
     unfinished = ext.contains("part") | F.lower(ext).isin(*UNFINISHED)
     state = F.when(unfinished, F.lit("partial")).when(F.col("size") > MIN_BYTES, F.lit("complete"))
     whole = files.select(_stem("name").alias("_stem"), state.alias("state"))
-    lengths = F.sequence(F.lit(1), F.length("name"))
-    parts = files.where(F.col("name").contains(".part")).select(
-        F.explode(F.transform(lengths, lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("_stem"),
+    lengths = keyed.agg(F.collect_set(F.length("_stem")).alias("n")).select("n").scalar()
+    started = files.where(F.col("name").contains(".part")).withColumn("_lengths", lengths)
+    fitting = F.filter("_lengths", lambda n: (n > 0) & (n <= F.length("name")))
+    parts = started.select(
+        F.explode(F.transform(fitting, lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("_stem"),
         F.lit("partial").alias("state"),
     )
     # "complete" sorts before "partial".
@@ -85,7 +88,25 @@ def missing_subtitles(
 
 
 def match_by_path(left: DataFrame, right: DataFrame, left_url: str = "url", right_url: str = "url") -> DataFrame:
-    """Rows of both sides that name the same content on whatever host and with whatever token."""
+    """Pairs of rows of both sides that name the same content on whatever host and with whatever token.
+
+    A path that many rows of both sides have makes as many pairs as the product of their numbers; ``path_classes`` holds
+    the same matches in a row for each path.
+    """
     a = left.withColumn("path", url_path(left_url))
     b = right.withColumn("path", url_path(right_url))
     return a.join(b, "path")
+
+
+def path_classes(left: DataFrame, right: DataFrame, left_url: str = "url", right_url: str = "url") -> DataFrame:
+    """One row for each path that both sides have: path, left_rows, right_rows. Rows are counted before the shuffle."""
+    sides = left.select(url_path(left_url).alias("path"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(url_path(right_url).alias("path"), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    counted = sides.where(F.col("path").isNotNull()).groupBy("path").agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
+    return counted.where((F.col("left_rows") > 0) & (F.col("right_rows") > 0))
+
+
+def path_members(side: DataFrame, classes: DataFrame, url: str = "url") -> DataFrame:
+    """The rows of one side whose path is in ``classes``, with ``path``: no more rows than the side has."""
+    return side.withColumn("path", url_path(url)).join(classes.select("path"), "path", "left_semi").select(*side.columns, "path")

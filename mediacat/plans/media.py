@@ -294,6 +294,36 @@ def _(t):
     return library.match_by_path(left, right, "url", "other_url").select("url_id", "other")
 
 
+# Half of the events have the path "/", of which pairs would be millions.
+_HOT = "select {k} as id, case when {k} % 2 = 0 then '/' else '/v/' || ({k} % {m}) end as path from {{{t}}}"
+
+
+def _hot_paths(t):
+    def side(df, key, modulus, host):
+        k = F.col(key)
+        tail = F.when(k % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("v/"), (k % modulus).cast("string")))
+        return df.select(k.alias("id"), F.concat(F.lit(f"https://{host}/"), tail, F.lit("?t="), k.cast("string")).alias("url"))
+
+    return side(t.events, "event_id", 97, "a.example"), side(t.orders, "o_orderkey", 61, "b.example:8443")
+
+
+_BOTH = f"with a as ({_HOT.format(k='event_id', m=97, t='events')}), b as ({_HOT.format(k='o_orderkey', m=61, t='orders')})"
+
+
+@query(
+    "D7_path_classes",
+    f"""{_BOTH} select path, x.n as left_rows, y.n as right_rows from (select path, count(*) as n from a group by path) x join (select path, count(*) as n from b group by path) y using (path)""",
+)
+def _(t):
+    return library.path_classes(*_hot_paths(t))
+
+
+@query("D7_path_members", f"{_BOTH} select id, path from a where path in (select path from b)")
+def _(t):
+    left, right = _hot_paths(t)
+    return library.path_members(left, library.path_classes(left, right)).select("id", "path")
+
+
 def _files(t):
     k = F.col("o_orderkey")
     stem = F.concat("o_orderpriority", F.lit(" clip "), k.cast("string"))
