@@ -108,6 +108,34 @@ def test_licenses(spark, no_docs):
     assert licenses.scan_licenses(no_docs.select("doc_id", "text").union(spark.createDataFrame([(1, mit)], "doc_id long, text string")), known.limit(0)).first().licenses == ""
 
 
+def test_full_licence_texts(spark):
+    """Known texts alone, inside a readme or a source file, wrapped at 72 and 80 columns, without blank lines, in capitals."""
+    import os
+    import textwrap
+
+    texts = [(i, x) for i, x in licenses.KNOWN if len(x) > 400]
+    folder = "/usr/share/common-licenses/"  # where a machine has them, the long texts too
+    long = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts += [(i, open(folder + f, encoding="utf-8").read()) for f, i in long.items() if os.path.exists(folder + f)]
+    rows, expected = [], {}
+    for name, x in texts:
+        paragraphs = ["\n".join(y for y in p.split("\n") if y.strip()) for p in x.split("\n\n")]
+        wrapped = lambda n, gap, of=paragraphs: gap.join(textwrap.fill(" ".join(p.split()), n, break_long_words=False, break_on_hyphens=False) for p in of if p.strip())
+        forms = [(x, True), ("Copyright (c) 2024 Some One\n\n" + x, True), (f"# A project\n\nWhat it does.\n\n## Licence\n\n{x}\n\n## More\n\nText.", False)]
+        if name not in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0") or len(x) < 1500:  # those hold copyright lines of their own
+            forms += [(wrapped(72, "\n\n"), True), (wrapped(80, "\n"), True), ("intro\n" + wrapped(40, "\n\n").upper() + "\nend", False), ("/*\n * " + wrapped(72, "\n\n").replace("\n", "\n * ") + "\n */\nint x;", False)]
+        for form, whole in forms:
+            expected[len(rows)] = (name, whole)
+            rows.append((len(rows), form))
+        rows.append((len(rows), x[: len(x) // 2]))
+        rows.append((len(rows), x.replace(" of ", " off ").replace(" OF ", " OFF ").replace(" by ", " bye ")))
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    for i, (name, whole) in expected.items():
+        assert name in out[i].licenses.split(",") and out[i].whole == whole and out[i].n_texts >= 1, (name, rows[i][1][:80], out[i])
+    for i in out.keys() - expected.keys():
+        assert out[i].n_texts == 0 and not out[i].whole, (rows[i][1][:80], out[i])
+
+
 def sets_of(rows):
     found = {}
     for doc_id, text in rows:
