@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from mediacat.functions.conditions import let
 from mediacat.functions.numbers import chunk_size
 from mediacat.operators.dispatch import is_retryable
 from mediacat.operators.ordered import Running, explode_range, number_rows, running
@@ -26,69 +24,152 @@ HOLD_SHARE = 0.10
 RETRY_SHARE = 10
 
 
-def let_through(micros: np.ndarray, last: int | None) -> np.ndarray:
-    """Places of the accepted ones of sorted samples: each a gate's width or more after the one accepted before it."""
-    gate, places = int(GATE_SECONDS * 1e6), []
-    at = 0 if last is None else int(np.searchsorted(micros, last + gate))
-    while at < len(micros):
-        places.append(at)
-        at = int(np.searchsorted(micros, micros[at] + gate))
-    return np.array(places, np.int64)
+#: Seconds of a block of samples, and blocks of a run of them.
+BLOCK_SECONDS, RUN_BLOCKS = 15, 512
+_GATE, _WINDOW, _BLOCK = int(GATE_SECONDS * 1e6), int(WINDOW_SECONDS * 1e6), BLOCK_SECONDS * 1_000_000
+#: Accepted samples that a rate window can hold besides the last.
+_MOST = _WINDOW // _GATE
+_NEVER = (1 << 63) - 1
 
 
-def _islands(df: DataFrame, by: str, order: str) -> DataFrame:
-    """Number the stretches of a transfer between which more than one rate window passes.
+def carried(
+    blocks: DataFrame, by: str, apply: Callable[[Column, Column], Column], compose: Callable[[Column], Column], kind: str
+) -> DataFrame:
+    """The state before each block: rows ``by, _b, _state`` from rows ``by, _b, _s``.
+
+    ``_s`` says what a block makes of a state, ``apply`` does it, and ``compose`` makes one such value of an ordered array
+    of structs with ``s``. Blocks are composed by runs of ``RUN_BLOCKS`` in tasks of their own; only runs, a row for some
+    hours of a transfer, are walked through in order, and the blocks of a run again from the state before it.
+    """
+    run = F.floor(F.col("_b") / RUN_BLOCKS)
+    runs = blocks.groupBy(by, run.alias("_run")).agg(F.sort_array(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_s").alias("s")))).alias("_l"))
+
+    def walk(items: Column, state: Column, place: str) -> Column:
+        """The state before each item."""
+        start = F.struct(state.alias("state"), F.array().cast(f"array<struct<{place}:bigint,state:{kind}>>").alias("out"))
+        step = lambda acc, x: F.struct(apply(x["s"], acc["state"]).alias("state"), F.concat(acc["out"], F.array(F.struct(x[place].cast("long").alias(place), acc["state"].alias("state")))).alias("out"))
+        return F.aggregate(items, start, step, lambda acc: acc["out"])
+
+    none = F.lit(None).cast(kind)
+    whole = runs.select(by, F.struct(F.col("_run").alias("run"), compose(F.col("_l")).alias("s")).alias("_x"))
+    ordered = whole.groupBy(by).agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+    before = ordered.select(by, F.explode(walk(F.col("_x"), none, "run")).alias("_y")).select(by, F.col("_y.run").alias("_run"), F.col("_y.state").alias("_before"))
+    walked = runs.join(before, [by, "_run"]).select(by, F.explode(walk(F.col("_l"), F.col("_before"), "b")).alias("_y"))
+    return walked.select(by, F.col("_y.b").alias("_b"), F.col("_y.state").alias("_state"))
+
 
-    After such a pause the meter starts anew, so the stretches can be measured apart.
+def _next_accepted(last: Column, at: Column) -> Column:
+    return F.when(last.isNull() | (at >= last + _GATE), at).otherwise(last)
+
+
+def _through_table(table: Column, last: Column) -> Column:
+    """The last accepted sample after a block, given that before it."""
+    fits = F.filter(table, lambda t: last.isNull() | (t["entry"] >= last + _GATE))
+    return F.coalesce(F.get(fits, 0)["exit"], last)
+
+
+def _gate_table(times: Column, block: Column) -> Column:
+    """For each sample that may be the first accepted one of a block: the last accepted one.
+
+    What was accepted before the block lies before its start, so that the first is one of those in the first gate's width,
+    or the one after them.
     """
-    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
-    before = running(df, [by], order, {"_prev": Running("last", F.unix_micros("ts"), exclusive=True)}, hour)
-    pause = F.unix_micros("ts") - F.col("_prev") > WINDOW_SECONDS * 1e6
-    starts = before.withColumn("_start", F.when(F.col("_prev").isNull() | pause, 1).otherwise(0).cast("long"))
-    return running(starts, [by], order, {"_island": Running("sum", F.col("_start"))}, hour).drop("_prev", "_start")
+    limit = block * _BLOCK + _GATE
+    entries = F.filter(times, lambda x, i: (x < limit) | (i == 0) | (F.get(times, i - 1) < limit))
+    return F.transform(entries, lambda e: F.struct(e.alias("entry"), F.aggregate(times, e, _next_accepted).alias("exit")))
+
+
+def _gate_tables(items: Column) -> Column:
+    """The table of a run of blocks; if no sample of the first is accepted, the others start anew, as they lie far behind."""
+    rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+    onward = lambda last: F.aggregate(rest, last, lambda acc, x: _through_table(x["s"], acc))
+    first = F.transform(F.get(items, 0)["s"], lambda t: F.struct(t["entry"].alias("entry"), onward(t["exit"]).alias("exit")))
+    return F.concat(first, F.array(F.struct(F.lit(_NEVER).alias("entry"), onward(F.lit(None).cast("long")).alias("exit"))))
+
+
+def _smoothed(average: Column, rate: Column) -> Column:
+    return F.when(rate.isNull(), None).when(average.isNull(), rate).otherwise(NEW_WEIGHT * rate + (1.0 - NEW_WEIGHT) * average)
+
+
+def _average_of(rates: Column) -> Column:
+    """What a block makes of the average before it: ``anew`` if that is unknown or a rate is missing, else linear in it."""
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.exists(rates, lambda r: r.isNull()).alias("resets"),
+        F.aggregate(rates, none, _smoothed).alias("anew"),
+        F.pow(F.lit(1.0 - NEW_WEIGHT), F.size(rates)).alias("factor"),
+        F.coalesce(F.aggregate(rates, F.lit(0.0).cast("double"), _smoothed), F.lit(0.0)).alias("part"),
+    )
+
+
+def _after(s: Column, average: Column) -> Column:
+    return F.when(s["resets"] | average.isNull(), s["anew"]).otherwise(s["factor"] * average + s["part"])
+
+
+def _average_of_run(items: Column) -> Column:
+    onward = lambda average: F.aggregate(items, average, lambda acc, x: _after(x["s"], acc))
+    return F.struct(
+        F.exists(items, lambda x: x["s"]["resets"]).alias("resets"),
+        onward(F.lit(None).cast("double")).alias("anew"),
+        F.aggregate(items, F.lit(1.0).cast("double"), lambda acc, x: acc * x["s"]["factor"]).alias("factor"),
+        F.coalesce(onward(F.lit(0.0).cast("double")), F.lit(0.0)).alias("part"),
+    )
 
 
 def speed_meter(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id") -> DataFrame:
     """The smoothed rate after every sample (bytes per second).
 
-    Which samples the gate accepts depends on the last accepted one; this alone is scanned in order, from a sorted
-    stream with one number of state for each stretch between pauses. Rates are window frames over the accepted samples,
-    averages are composed of blocks (``linear_average``), and the other samples take the last one's rate.
+    Which samples the gate accepts depends on the last accepted one, and an average on all former ones. A transfer is cut
+    into blocks of ``BLOCK_SECONDS``; a block becomes a table from the sample that is accepted first to the one accepted
+    last, blocks compose by looking up one table's result in the next, and each block is then read once from the sample it
+    starts with. Rates take up the accepted samples of the block before; averages compose as linear functions. So a
+    transfer without pauses, of any number of samples, is spread over tasks.
     """
-    keyed = progress.withColumn("_order", F.struct(F.col("ts"), F.col(tie)))
-    flat = _islands(keyed, by, "_order").select(by, "_island", tie, F.unix_micros("ts").alias("_us"), "cumulative_bytes")
-    stretch = [by, "_island"]
-    spread = flat.repartition(*stretch).sortWithinPartitions(*stretch, "_us", tie)
-
-    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last = None, None
-        for batch in batches:
-            micros, accepted = batch.column("_us").to_numpy(), np.zeros(batch.num_rows, bool)
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                current, last = keys[a], last if keys[a] == current else None
-                places = let_through(micros[a:b], last)
-                accepted[a + places] = True
-                last = int(micros[a + places[-1]]) if len(places) else last
-            yield batch.append_column("_ok", pa.array(accepted))
-
-    gated = spread.mapInArrow(gate, T.StructType([*flat.schema.fields, T.StructField("_ok", T.BooleanType())]))
-    recent = Window.partitionBy(*stretch).orderBy("_us").rangeBetween(-int(WINDOW_SECONDS * 1e6), 0)
-    upto = Window.partitionBy(*stretch).orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
-    accepted = gated.where("_ok")
-    first = F.first(F.struct(F.col("_us").alias("us"), F.col("cumulative_bytes").alias("total"))).over(recent)
-    rated = accepted.withColumns({"_first": first, "_n": F.count(F.lit(1)).over(recent)})
-    rate = F.greatest(F.col("cumulative_bytes") - F.col("_first.total"), F.lit(0)) / ((F.col("_us") - F.col("_first.us")) / 1e6)
-    rated = rated.withColumn("_rate", F.when(F.col("_n") > 1, rate))
-    rated = rated.withColumn("_run", F.count_if(F.col("_rate").isNull()).over(upto)).where(F.col("_rate").isNotNull())
-    in_run = Window.partitionBy(*stretch, "_run").orderBy("_us")
-    placed = rated.select(*stretch, "_run", tie, "_rate", F.row_number().over(in_run).cast("long").alias("_pos"))
-    smooth = linear_average(placed, [*stretch, "_run"], "_pos", "_rate", "_speed").select(*stretch, tie, "_speed")
-    known = gated.join(smooth, [*stretch, tie], "left")
-    latest = Window.partitionBy(*stretch).orderBy("_us", tie).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("_ok"), F.struct(F.col("_speed").alias("speed"))), ignorenulls=True).over(latest)
-    return known.select(by, tie, held["speed"].alias("speed"))
+    us = F.unix_micros("ts")
+    sample = F.struct(us.alias("us"), F.col(tie).alias("tie"), F.col("cumulative_bytes").cast("double").alias("total"))
+    blocks = progress.groupBy(by, F.floor(us / _BLOCK).alias("_b")).agg(F.sort_array(F.collect_list(sample)).alias("_samples"))
+    # Arrays that lambdas look into are bound: a column of a former projection may be moved into the lambda and made anew.
+    times = F.transform("_samples", lambda x: x["us"])
+    tables = blocks.select(by, "_b", let(times, lambda t: _gate_table(t, F.col("_b"))).alias("_s"))
+    entered = blocks.join(carried(tables, by, _through_table, _gate_tables, "bigint"), [by, "_b"])
+
+    kept = "array<struct<us:bigint,tie:bigint,total:double>>"
+    start = F.struct(F.col("_state").alias("last"), F.array().cast(kept).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ok = acc["last"].isNull() | (x["us"] >= acc["last"] + _GATE)
+        one = F.struct(x["us"].alias("us"), x["tie"].cast("long").alias("tie"), x["total"].alias("total"))
+        return F.struct(F.when(ok, x["us"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(one))).otherwise(acc["kept"]).alias("kept"))
+
+    accepted = entered.select(by, "_b", "_samples", F.aggregate("_samples", start, step, lambda acc: acc["kept"]).alias("_kept"))
+    late = F.filter("_kept", lambda x: x["us"] >= (F.col("_b") + 1) * _BLOCK - _WINDOW)
+    tails = accepted.select(by, "_b", late.alias("_tail")).where(F.size("_tail") > 0).withColumn("_b", F.col("_b") + 1)
+    both = F.struct(F.coalesce("_tail", F.array().cast(kept)).alias("tail"), F.col("_kept").alias("own"))
+
+    def rates(tail: Column, own: Column) -> Column:
+        def rate(x: Column, i: Column, all_: Column) -> Column:
+            place = i + F.size(tail)  # from 0
+            near = F.when(place > 0, F.sequence(F.greatest(place - _MOST, F.lit(0)), place - 1))
+            first = F.get(F.filter(near, lambda k: F.get(all_, k)["us"] >= x["us"] - _WINDOW), 0)
+            return let(F.get(all_, first), lambda f: F.when(f.isNotNull(), F.greatest(x["total"] - f["total"], F.lit(0.0)) / ((x["us"] - f["us"]) / 1e6)))
+
+        return let(F.concat(tail, own), lambda all_: F.transform(own, lambda x, i: rate(x, i, all_)))
+
+    rated = accepted.join(tails, [by, "_b"], "left").select(by, "_b", "_samples", "_kept", let(both, lambda x: rates(x["tail"], x["own"])).alias("_rates"))
+    averages = carried(rated.select(by, "_b", let(F.col("_rates"), _average_of).alias("_s")), by, _after, _average_of_run, "double")
+    joined = rated.join(averages.withColumnRenamed("_state", "_held"), [by, "_b"])
+
+    begin = F.struct(F.col("_held").alias("a"), F.array().cast("array<double>").alias("out"))
+    onward = lambda acc, r: let(_smoothed(acc["a"], r), lambda a: F.struct(a.alias("a"), F.concat(acc["out"], F.array(a)).alias("out")))
+    speeds = joined.select(by, "_b", "_samples", "_held", "_kept", F.aggregate("_rates", begin, onward, lambda acc: acc["out"]).alias("_speeds"))
+    event = lambda x, speed: F.struct(x["us"].alias("us"), x["tie"].cast("long").alias("tie"), speed.alias("said"))
+    none = F.lit(None).cast("struct<speed:double>")
+    events = F.concat(F.zip_with("_kept", "_speeds", lambda x, v: event(x, F.struct(v.alias("speed")))), F.transform("_samples", lambda x: event(x, none)))
+    listed = speeds.select(by, "_b", "_held", F.explode(events).alias("_e"))
+    latest = Window.partitionBy(by, "_b").orderBy("_e.us", "_e.tie", F.col("_e.said").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = listed.withColumn("_last", F.last("_e.said", ignorenulls=True).over(latest)).where(F.col("_e.said").isNull())
+    speed = F.when(F.col("_last").isNull(), F.col("_held")).otherwise(F.col("_last.speed"))
+    return known.select(by, F.col("_e.tie").alias(tie), speed.alias("speed"))
 
 
 def eta(progress: DataFrame, by: str = "transfer_id", tie: str = "event_id") -> DataFrame:

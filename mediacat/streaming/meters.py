@@ -16,13 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mediacat.operators.archive import not_in_archive
-from mediacat.operators.telemetry import NEW_WEIGHT, WARMUP_SHARE, WINDOW_SECONDS, job_status, let_through
+from mediacat.operators.telemetry import GATE_SECONDS, NEW_WEIGHT, WARMUP_SHARE, WINDOW_SECONDS, job_status
 
 
 #: Milliseconds of event time after which a silent transfer's state goes.
 IDLE_MS = 3_600_000
 
 
+def let_through(micros: np.ndarray, last: int | None) -> np.ndarray:
+    """Places of the accepted ones of sorted samples: each a gate's width or more after the one accepted before it."""
+    gate, places = int(GATE_SECONDS * 1e6), []
+    at = 0 if last is None else int(np.searchsorted(micros, last + gate))
+    while at < len(micros):
+        places.append(at)
+        at = int(np.searchsorted(micros, micros[at] + gate))
+    return np.array(places, np.int64)
+
+
 def _forget_later(state: GroupState, last_us: int) -> None:
     """Keep the state until the watermark has passed an hour beyond the key's last event."""
     state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + IDLE_MS)
