@@ -12,10 +12,14 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input once and return the output as a batch table.
 
     Rows and the query's checkpoint go below ``spark.checkpoint.dir``, which all executors share; below a local folder
-    only where that is unset, as in tests.
+    only where that is unset and Spark is one process.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="stream-")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state")
     writer.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
