@@ -61,7 +61,7 @@ class Evidence:
 #: One token in so many is held out of the models, for the threshold.
 FOLDS = 5
 #: Modules whose public names are ordinary identifiers.
-MODULES = "argparse ast asyncio base64 collections concurrent.futures configparser csv ctypes datetime decimal difflib dis email.message functools html.parser http.client http.server inspect io itertools json locale logging logging.handlers mailbox os os.path pathlib pickle random shutil smtplib socket sqlite3 statistics string subprocess tarfile tempfile threading tkinter traceback typing unittest unittest.mock urllib.parse urllib.request xml.dom.minidom zipfile".split()
+MODULES = "argparse ast asyncio base64 collections concurrent.futures configparser csv datetime decimal difflib dis email.message functools html.parser http.client http.server inspect io itertools json locale logging logging.handlers mailbox os os.path pathlib pickle random shutil smtplib socket statistics string subprocess tarfile tempfile threading traceback typing unittest unittest.mock urllib.parse urllib.request xml.dom.minidom zipfile".split()
 
 
 @dataclass(frozen=True)
@@ -73,13 +73,10 @@ class Model:
 
 
 def library_names() -> list[str]:
-    """Public names of Python's standard library; a module that is missing is left out."""
+    """Public names of Python's standard library."""
     names = {*keyword.kwlist, *sys.stdlib_module_names, *dir(builtins)}
     for name in MODULES:
-        try:
-            module = importlib.import_module(name)
-        except ImportError:
-            continue
+        module = importlib.import_module(name)
         for x in dir(module):
             names.add(x)
             if isinstance(getattr(module, x, None), type):
