@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 #: Sorts below every id, so that rows without an id come first.
 NO_ID = -(2**63)
 
+#: Rows of an Arrow batch where the session sets none: a task and its worker each hold whole texts of more than one batch.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Spark's 10 000 rows of an Arrow batch, which are meant for short rows; a size that the session sets stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; below a local folder only where that is unset and Spark is one process."""
@@ -36,4 +46,6 @@ def id_key(name: str = "doc_id") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, for a query; the session's Arrow batches are bounded from here on."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
