@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import decontaminate, near_dedup, packing, quality, secret_scan
-from mediacat.llm.shared import NO_ID, id_key, materialize, table
+from mediacat.llm.shared import NO_ID, bound_batches, id_key, materialize, table
 
 
 #: Documents are near-duplicates from this similarity of their word shingles on, in hundredths.
@@ -26,10 +26,12 @@ NEAR_HUNDREDTHS = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality.keep_good(docs, quality.train(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     kept = near_dedup.near_duplicates(docs, NEAR_HUNDREDTHS).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept_id"), F.col("text_hash").alias("_kept_text"))
     keyed = docs.withColumns({"_kept_id": id_key(), "_kept_text": near_dedup.text_key()})
     return keyed.join(kept, ["_kept_id", "_kept_text"], "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(docs.columns)
@@ -47,6 +49,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 
