@@ -68,64 +68,85 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     ``manifests`` has ``by, url, text``. Periods count from 0; a period, an adaptation set and a representation each may
     have a base URL, and a segment template or list that the inner ones replace.
     """
-    parsed = manifests.select(by, "url", F.from_xml("text", MPD_SCHEMA).alias("_m"))
-    # The conditions stand inside of outer explodes: as filters they would be moved down and parse the text again.
-    static = F.coalesce(F.col("_m._type") != "dynamic", F.lit(True))
-    seconds = lambda name: F.transform("_m.Period", lambda p: parse_iso_duration(p[name]).cast("double"))
-    first = lambda x: F.get(x, F.lit(0))
-    timed = parsed.select(
-        by,
-        F.col("url").alias("mpd_url"),
-        _resolved(F.col("url"), first("_m.BaseURL")).alias("_base0"),
-        parse_iso_duration("_m._mediaPresentationDuration").cast("double").alias("_total"),
-        seconds("_start").alias("_stated"),
-        seconds("_duration").alias("_lengths"),
-        F.when(static, F.col("_m.Period")).alias("_periods"),
-    ).withColumn("_starts", period_starts(F.col("_stated"), F.col("_lengths")))
-    periods = timed.select("*", F.posexplode_outer("_periods").alias("period", "_p")).where(F.col("period").isNotNull())
-    sets = periods.select(
+    rows = let(F.from_xml("text", MPD_SCHEMA), lambda m: _flat(m, F.col("url")))
+    # Outer, as else a filter on the array would be moved down and parse the text again.
+    found = manifests.select(by, F.col("url").alias("mpd_url"), rows.alias("_rows")).select(by, "mpd_url", F.explode_outer("_rows").alias("_x"))
+    return found.where(F.col("_x.repr").isNotNull()).select(
         by,
         "mpd_url",
-        "period",
-        F.get("_starts", F.col("period")).alias("period_start"),
-        period_seconds(F.col("_starts"), F.col("_lengths"), F.col("_total"), F.col("period")).alias("period_seconds"),
-        "_base0",
-        first("_p.BaseURL").alias("_own1"),
-        F.col("_p.SegmentTemplate").alias("_template1"),
-        F.col("_p.SegmentList").alias("_list1"),
-        F.posexplode_outer("_p.AdaptationSet").alias("adapt", "_a"),
-    ).where(F.col("adapt").isNotNull()).where(F.coalesce(F.size("_a.ContentProtection"), F.lit(0)) <= 0)
-    based = sets.withColumn("_base1", _resolved(F.col("_base0"), F.col("_own1")))
-    based = based.withColumn("_base2", _resolved(F.col("_base1"), first("_a.BaseURL")))
-    rows = based.select("*", F.posexplode("_a.Representation").alias("repr", "_r")).where(
-        F.coalesce(F.size("_r.ContentProtection"), F.lit(0)) <= 0
-    )
-    a, r = F.col("_a"), F.col("_r")
-    template = F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"], F.col("_template1"))
-    listed = F.coalesce(r["SegmentList"], a["SegmentList"], F.col("_list1"))
-    return rows.select(
-        by,
-        "mpd_url",
-        "period",
-        "adapt",
-        "repr",
-        "period_start",
-        "period_seconds",
-        _resolved(F.col("_base2"), first(r["BaseURL"])).alias("base_url"),
-        F.coalesce(r["_mimeType"], a["_mimeType"], F.lit("")).alias("mime"),
-        F.coalesce(r["_codecs"], a["_codecs"]).alias("codecs"),
-        a["_lang"].alias("language"),
-        r["_id"].alias("repr_id"),
-        F.coalesce(r["_bandwidth"], F.lit(0)).alias("bandwidth"),
-        r["_width"].alias("width"),
-        r["_height"].alias("height"),
-        parse_frame_rate(r["_frameRate"]).alias("fps"),
-        parse_sampling_rate(F.coalesce(r["_audioSamplingRate"], a["_audioSamplingRate"])).alias("asr"),
-        template.alias("template"),
-        listed.alias("list"),
+        *[F.col(f"_x.{c}") for c in ("period", "adapt", "repr", "period_start", "period_seconds", "base_url", "mime", "codecs", "language")],
+        *[F.col(f"_x.{c}") for c in ("repr_id", "bandwidth", "width", "height")],
+        parse_frame_rate(F.col("_x.frame_rate")).alias("fps"),
+        parse_sampling_rate(F.col("_x.sampling_rate")).alias("asr"),
+        "_x.template",
+        "_x.list",
     )
 
 
+def _flat(m: Column, url: Column) -> Column:
+    """One struct per representation that is not protected, of all periods of a parsed manifest.
+
+    The tree is walked inside the row, so that it is neither copied nor written level by level.
+    """
+    static = F.coalesce(m["_type"] != "dynamic", F.lit(True))
+    periods = m["Period"]
+    seconds = lambda name: F.transform(periods, lambda p: parse_iso_duration(p[name]).cast("double"))
+    first = lambda x: F.get(x, F.lit(0))
+    all_of = lambda x: F.flatten(F.filter(x, lambda y: y.isNotNull()))
+    clear = lambda x: F.coalesce(F.size(x["ContentProtection"]), F.lit(0)) <= 0
+
+    def of_periods(t: Column) -> Column:
+        def of_period(p: Column, i: Column) -> Column:
+            own = F.struct(
+                F.get(t["starts"], i).alias("start"),
+                period_seconds(t["starts"], t["lengths"], t["total"], i).alias("seconds"),
+                _resolved(t["base"], first(p["BaseURL"])).alias("base"),
+            )
+
+            def of_set(o: Column, a: Column, j: Column) -> Column:
+                def one(base: Column, r: Column, k: Column) -> Column:
+                    return F.struct(
+                        i.alias("period"),
+                        j.alias("adapt"),
+                        k.alias("repr"),
+                        o["start"].alias("period_start"),
+                        o["seconds"].alias("period_seconds"),
+                        _resolved(base, first(r["BaseURL"])).alias("base_url"),
+                        F.coalesce(r["_mimeType"], a["_mimeType"], F.lit("")).alias("mime"),
+                        F.coalesce(r["_codecs"], a["_codecs"]).alias("codecs"),
+                        a["_lang"].alias("language"),
+                        r["_id"].alias("repr_id"),
+                        F.coalesce(r["_bandwidth"], F.lit(0)).alias("bandwidth"),
+                        r["_width"].alias("width"),
+                        r["_height"].alias("height"),
+                        r["_frameRate"].alias("frame_rate"),
+                        F.coalesce(r["_audioSamplingRate"], a["_audioSamplingRate"]).alias("sampling_rate"),
+                        F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"], p["SegmentTemplate"]).alias("template"),
+                        F.coalesce(r["SegmentList"], a["SegmentList"], p["SegmentList"]).alias("list"),
+                    )
+
+                rows = let(
+                    _resolved(o["base"], first(a["BaseURL"])),
+                    lambda base: F.transform(a["Representation"], lambda r, k: F.when(clear(r), one(base, r, k))),
+                )
+                return F.when(clear(a), F.filter(rows, lambda x: x.isNotNull()))
+
+            return let(own, lambda o: all_of(F.transform(p["AdaptationSet"], lambda a, j: of_set(o, a, j))))
+
+        return all_of(F.transform(periods, of_period))
+
+    def timed(s: Column) -> Column:
+        return F.struct(
+            _resolved(url, first(m["BaseURL"])).alias("base"),
+            parse_iso_duration(m["_mediaPresentationDuration"]).cast("double").alias("total"),
+            s["lengths"].alias("lengths"),
+            period_starts(s["stated"], s["lengths"]).alias("starts"),
+        )
+
+    stated = F.struct(seconds("_start").alias("stated"), seconds("_duration").alias("lengths"))
+    return F.when(static, let(stated, lambda s: let(timed(s), of_periods)))
+
+
 def _resolved(base: Column, level: Column) -> Column:
     return F.when(level.isNull(), base).otherwise(let(base, lambda b: F.coalesce(url_join(b, level), b)))
 
@@ -264,7 +285,7 @@ def fill_segment_template(
     numbers = {"Number": zero if number is None else number, "Time": zero if time is None else time}
 
     def fill(p: Column) -> Column:
-        out = F.when(p == "$$", F.lit("$")).when(p == "$RepresentationID$", as_col(representation)).when(
+        out = F.when(~p.startswith("$"), p).when(p == "$$", F.lit("$")).when(p == "$RepresentationID$", as_col(representation)).when(
             p == "$Bandwidth$", as_col(bandwidth).cast("string")
         )
         for name, value in numbers.items():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col, let
+from mediacat.functions.conditions import as_col, let, lowered
 from mediacat.functions.url import host, is_url, scheme
 
 # The IPv4 special-purpose registry (block, reachable from outside), and multicast.
@@ -130,7 +130,7 @@ def _address(numbers: Column) -> Column:
 
 def ipv6_hex(host_name: Column | str) -> Column:
     """The 32 hex digits of an IPv6 address, in brackets or not; else NULL."""
-    h = F.lower(F.regexp_replace(as_col(host_name), r"^\[|\]$", ""))
+    h = lowered(F.regexp_replace(as_col(host_name), r"^\[|\]$", ""))
     return F.when(h.contains(":"), let(let(h, _hex_groups), _expanded))
 
 
@@ -196,7 +196,7 @@ def classify_ipv6(df: DataFrame, address: str = "address") -> DataFrame:
 
 
 def private_host(host_name: Column | str) -> Column:
-    h = F.regexp_replace(F.lower(as_col(host_name)), r"\.+$", "")
+    h = F.regexp_replace(lowered(as_col(host_name)), r"\.+$", "")
     return let(F.regexp_replace(h, r"^\[|\]$", ""), _private)
 
 
@@ -212,7 +212,10 @@ def url_safety(url: Column | str, max_bytes: int | None = None) -> Column:
 
 
 def _unsafe_reason(u: Column, max_bytes: int | None) -> Column:
-    h = host(u)
+    return let(host(u), lambda h: _reason(u, h, max_bytes))
+
+
+def _reason(u: Column, h: Column, max_bytes: int | None) -> Column:
     return (
         F.when(F.lit(False) if max_bytes is None else F.octet_length(u) > max_bytes, "too_long")
         .when(~is_url(u), "invalid")
