@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediacat.functions.conditions import as_col, fixed
+from mediacat.functions.conditions import as_col, fixed, let
 from mediacat.functions.html import decode_html_entities, repair_url_entities
 from mediacat.functions.numbers import width_from_height
 from mediacat.operators.ordered import number_rows
@@ -132,14 +132,18 @@ def size_text(fragments: Column | None = None) -> Column:
     )
     segments = fragments if fragments is not None else F.lit(None).cast("int")
     segments = segments.cast("string")
-    hls = F.coalesce(
-        F.concat(duration, F.lit(" ("), segments, F.lit(" seg)")),
-        F.concat(duration, F.lit(" (~"), size, F.lit(")")),
-        duration,
-        F.concat(segments, F.lit(" segments")),
-        F.concat(F.lit("~"), size),
-        F.lit("HLS stream"),
-    )
+
+    def streamed(s: Column) -> Column:
+        return F.coalesce(
+            F.concat(s["duration"], F.lit(" ("), segments, F.lit(" seg)")),
+            F.concat(s["duration"], F.lit(" (~"), s["size"], F.lit(")")),
+            s["duration"],
+            F.concat(segments, F.lit(" segments")),
+            F.concat(F.lit("~"), s["size"]),
+            F.lit("HLS stream"),
+        )
+
+    hls = let(F.struct(duration.alias("duration"), size.alias("size")), streamed)
     exact = F.concat(
         fixed(F.col("filesize") / mib, 1),
         F.lit(" MB"),
