@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediacat.functions.conditions import let
 from mediacat.operators.catalog import codec, has_audio, has_video
 from mediacat.operators.ordered import places
 from mediacat.operators.predicates import Get, not_drm
@@ -100,6 +101,10 @@ def number_keys(value: Column, field: SortField) -> list[Column]:
 
 def codec_tier(name: Column, tiers: Sequence[str]) -> Column:
     """How many tiers from the end the first matching pattern stands; 0 for an unknown codec."""
+    return let(name, lambda x: _codec_tier(x, tiers))
+
+
+def _codec_tier(name: Column, tiers: Sequence[str]) -> Column:
     score = None
     for i, pattern in enumerate(tiers):
         value, hit = F.lit(len(tiers) - i), name.rlike(f"(?i)(?:{pattern})")
@@ -130,6 +135,11 @@ def string_rank(text: Column) -> Column:
 
     Text of ASCII characters, which most is, is added up character by character; other text goes through hexadecimal.
     """
+    # Named once: the code of all keys of a row would else be too long to be compiled.
+    return let(text, _string_rank)
+
+
+def _string_rank(text: Column) -> Column:
     ascii_sum = F.lit(0).cast("long")
     for i in range(8):
         ascii_sum = ascii_sum + F.ascii(F.substring(text, i + 1, 1)) * F.lit(1 << (8 * (7 - i))).cast("long")

@@ -7,6 +7,7 @@ from mediacat.functions.url import url_join
 from mediacat.operators.catalog import codec, format_listing
 from mediacat.operators.cookies import match_cookies
 from mediacat.operators.dash import representations
+from mediacat.operators.ranking import AUDIO_TIERS, codec_tier, string_rank
 from mediacat.plans.views import SCAN_PARTITIONS, view
 
 
@@ -78,3 +79,10 @@ def test_listing_names_repeated_values_once(spark):
     assert got == [("1.1", "1"), ("0.5", "0"), ("1.5", "2"), ("2.5", "2"), ("-0.2", "-0"), ("1000000.0", "1000000"), (None, None)]
     table = "media_id long, ordinal long, format_note string, fps double, width int, height int, protocol string, url string, ext string, duration double, filesize long, filesize_approx long, vcodec string, acodec string, has_drm boolean, abr double, vbr double, dynamic_range string, language string"
     assert _plan(format_listing(spark.createDataFrame([], table))).count("1048576.0") < 60
+
+
+def test_rank_keys_name_their_text_once(spark):
+    rows = spark.createDataFrame([(x,) for x in ("", "a", "mp4a", "é", None)], "c string")
+    ranked = rows.select(string_rank(F.col("c")).alias("r"), codec_tier(F.col("c"), AUDIO_TIERS).alias("t"))
+    assert _plan(ranked).count("c#") < 12
+    assert [tuple(r) for r in ranked.collect()] == [(0.0, 0), (float(97 << 56), 0), (float(int.from_bytes(b"mp4a\0\0\0\0")), 6), (float(0xC3A9 - (1 << 16) << 48), 0), (None, None)]
