@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.llm.tokens import encoder, tokenizer_path
+from mediacat.llm.tokens import arrays, encoder, tokenizer_path
 
+#: Documents after which a block may end.
 BATCH = 256
 
 
@@ -99,7 +100,6 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _packed(plan: PackingPlan, path: str):
-    end = np.array([plan.end_id], "<u4").tobytes()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def rows(ids: list, texts: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
@@ -116,16 +116,16 @@ def _packed(plan: PackingPlan, path: str):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), first + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, first = encoder(path, plan.pieces).encode, TaskContext.get().partitionId() << 31
+        parts, first = encoder(path, plan.pieces).parts, TaskContext.get().partitionId() << 31
         ids, texts, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids += part.column("doc_id").to_pylist()
-                new = encode([x or "" for x in part.column("text").to_pylist()])
-                texts += [np.frombuffer(x + end, "<u4") for x in new]
-                held += sum(map(len, new))
-                if len(ids) >= plan.block or held >= plan.block * plan.capacity * 4:
+            doc_ids = batch.column("doc_id").to_pylist()
+            new = (x for part in parts(batch.column("text"), plan.end_id) for x in arrays(part))
+            for row, (doc_id, text) in enumerate(zip(doc_ids, new, strict=True), 1):
+                ids.append(doc_id)
+                texts.append(text)
+                held += text.nbytes - 4
+                if (row % BATCH == 0 or row == len(doc_ids)) and (len(ids) >= plan.block or held >= plan.block * plan.capacity * 4):
                     out, first = rows(ids, texts, first)
                     yield out
                     ids, texts, held = [], [], 0

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -293,6 +296,42 @@ def test_marks_after_letters_that_are_lowered_or_taken_apart():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_parts_of_a_batch_hold_all_texts_in_order(name, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 200)
+    plain, rnd = Tokenizer.from_file(public_tokenizers.path(name)), np.random.default_rng(12)
+    parts = ["Stone", " river", "\u00c9clat", "x1", ".", ",", " ", "\n", "\n\n", "\t", "'s", "_", "\0", "\x1c", "\u3000", "\u0301", "\u0130", "\U0001f600", "<|endoftext|>", "<|endoftext|> "]
+    texts = [None, "", "x" * 900, *("".join(rnd.choice(parts, rnd.integers(0, 25))) for _ in range(3000))]
+    found = list(tokens.encoder(public_tokenizers.path(name), kind).parts(pa.array(["cut off", *texts], pa.string())[1:], 7))
+    assert len(found) > 100
+    for text, got in zip(texts, (x for part in found for x in part.to_pylist()), strict=True):
+        assert got == [*plain.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
+
+
+def test_marks_are_odd_after_the_same_codes_in_arrow():
+    codes = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    for marks in (tokens.odd_endings(), re.compile(r"[\W_][.,]")):
+        found = pc.match_substring_regex(pa.array([f"a{c}.a" for c in codes]), tokens._odd(marks)).to_pylist()
+        assert found == [bool(marks.search(f"a{c}.a")) for c in codes]
+
+
+def test_pieces_that_begin_with_white_space_are_encoded_together():
+    encoder, calls = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes"), []
+    whole = encoder.tokenizer
+    rnd = np.random.default_rng(13)
+    words = ["".join(rnd.choice(list("abcdef'1\u00e9-"), rnd.integers(1, 9))) for _ in range(2000)]
+    text = "".join(rnd.choice([" ", "\n"], 1)[0] + w for w in words)
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **options):
+            calls.extend(pieces)
+            return whole.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Counted()
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 5
+
+
 def test_token_files(spark, docs, rows, no_docs, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_files(docs, path)
