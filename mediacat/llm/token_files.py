@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from mediacat.llm.shared import id_key, shared_path
 from mediacat.llm.tokens import encoder, tokenizer_path
 
-#: Texts encoded at a time.
-BATCH = 256
-
 
 @dataclass(frozen=True)
 class TokenFormat:
@@ -55,19 +52,14 @@ SCHEMA = "doc_id long, tokens array<int>, n_tokens long, start_in_file long"
 
 
 def _encoded(form: TokenFormat, path: str):
-    end = np.array([form.end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, encode = 0, encoder(path, form.pieces).encode
+        before, parts = 0, encoder(path, form.pieces).parts
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = [x + end for x in encode([x or "" for x in part.column("text").to_pylist()])]
-                lengths = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(lengths), pa.array(before + ends - lengths)], ["doc_id", "tokens", "n_tokens", "start_in_file"])
-                before += int(ends[-1]) if len(ends) else 0
+            row = 0
+            for lists in parts(batch.column("text"), form.end_id):
+                at = np.asarray(lists.offsets).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(lists)), lists, pa.array(np.diff(at)), pa.array(before + at[:-1])], ["doc_id", "tokens", "n_tokens", "start_in_file"])
+                row, before = row + len(lists), before + int(at[-1])
 
     return run
 

@@ -348,6 +348,20 @@ def test_token_files(spark, docs, rows, no_docs, tmp_path):
     assert token_files.tokenize_to_files(no_docs).count() == 0
 
 
+def test_starts_go_on_over_the_parts_of_batches(monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 100)
+    plain, form = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), token_files.TokenFormat()
+    texts = [None, "", *(f"Stone {i} river, " * (i % 9) for i in range(300)), "<|endoftext|>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    found = list(token_files._encoded(form, tokens.tokenizer_path(form.tokenizer))(iter([batch.slice(0, 120), batch.slice(0, 0), batch.slice(120)])))
+    rows, at = pa.Table.from_batches(found).to_pylist(), 0
+    assert len(found) > 50 and [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for r, text in zip(rows, texts, strict=True):
+        want = [*plain.encode(text or "", add_special_tokens=False).ids, form.end_id]
+        assert (r["tokens"], r["n_tokens"], r["start_in_file"]) == (want, len(want), at)
+        at += len(want)
+
+
 def test_packing(docs, rows, no_docs):
     pieces = packing.pack_documents(docs).collect()
     by_sequence, ids = defaultdict(list), {d: [] for d, _ in rows}
