@@ -21,6 +21,10 @@ from mediacat.llm import decontaminate, near_dedup, packing, quality, secret_sca
 from mediacat.llm.shared import NO_ID, bound_batches, id_key, materialize, table
 
 
+#: Executors come to the last stage with what four stages left in them: its workers keep fewer pieces than ``op8``'s, at
+#: the cost of encoding some again.
+PACKING = packing.PackingPlan(kept_pieces=100_000, part_bytes=1 << 20)
+
 #: Documents are near-duplicates from this similarity of their word shingles on, in hundredths.
 NEAR_HUNDREDTHS = 80
 
@@ -50,7 +54,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, PACKING)
 
 
 STAGES = [

@@ -36,7 +36,8 @@ BATCH = 256
 
 @dataclass(frozen=True)
 class PackingPlan:
-    """``block`` is the number of documents that are packed together; it bounds a task's memory."""
+    """``block`` documents are packed together, a worker keeps two times ``kept_pieces`` encoded pieces and cuts ``part_bytes``
+    of text at a time; these bound a task's memory, and the last two change no result (none: the encoder's own)."""
 
     tokenizer: str = "byte_bpe_50k.json"
     pieces: str = "bytes"
@@ -45,6 +46,8 @@ class PackingPlan:
     linear: float = 1.0
     quadratic: float = 1.0 / 1024
     block: int = 8192
+    kept_pieces: int | None = None
+    part_bytes: int | None = None
 
     def cost(self, n: int) -> float:
         return self.linear * n + self.quadratic * n * n
@@ -116,7 +119,7 @@ def _packed(plan: PackingPlan, path: str):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), first + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, first = encoder(path, plan.pieces).parts, TaskContext.get().partitionId() << 31
+        parts, first = encoder(path, plan.pieces, plan.kept_pieces, plan.part_bytes).parts, TaskContext.get().partitionId() << 31
         ids, texts, held = [], [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
@@ -131,6 +134,7 @@ def _packed(plan: PackingPlan, path: str):
                     ids, texts, held = [], [], 0
         if ids:
             yield rows(ids, texts, first)[0]
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return run
 

@@ -32,10 +32,10 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces in each of a worker's two generations: when the younger is full it becomes the older, whose unused ones go.
+#: Pieces in each of a worker's two generations, by default: when the younger is full it becomes the older, whose unused ones go.
 KEPT_PIECES = 500_000
 
-#: Bytes of text that are cut at a time, and new pieces that are encoded at a time.
+#: Bytes of text that are cut at a time, by default, and new pieces that are encoded at a time.
 PART_BYTES, PART_PIECES = 4 << 20, 20_000
 
 _BEFORE_WHITE = re.compile(r"(?<=\S)(?=\s)")
@@ -104,7 +104,7 @@ JOINED = {"words": (is_word, " ", True, lambda token: token.endswith("</w>")), "
 class Encoder:
     """Encodes texts to lists of their ids."""
 
-    def __init__(self, path: str, pieces: str, added: bool = False):
+    def __init__(self, path: str, pieces: str, added: bool = False, kept_pieces: int | None = None, part_bytes: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
@@ -113,6 +113,7 @@ class Encoder:
         tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized or not t.special for t in tokens.values()):
             raise ValueError(f"added tokens of {path} depend on what stands around them")
+        self.kept_pieces, self.part_bytes = kept_pieces, part_bytes
         self.pieces, self.pieces_of_one, alone = CUTS[pieces]
         names = sorted((t.content for t in tokens.values()), key=len, reverse=True)
         self.at_added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -146,7 +147,7 @@ class Encoder:
         texts = texts.fill_null("")
         sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(sizes, PART_BYTES + (sizes[at - 1] if at else 0), "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, (self.part_bytes or PART_BYTES) + (sizes[at - 1] if at else 0), "right")))
             yield self._lists(texts.slice(at, to - at).cast(pa.string()), end)
             at = to
 
@@ -166,7 +167,7 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > (self.kept_pieces or KEPT_PIECES):
             self.known, self.older = dict(self.ids), self.known
         known, older = self.known, self.older
         ids = list(map(known.get, pieces))
@@ -204,8 +205,8 @@ def arrays(lists: pa.ListArray) -> list[np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pieces: str) -> Encoder:
-    return Encoder(path, pieces, added=True)
+def encoder(path: str, pieces: str, kept_pieces: int | None = None, part_bytes: int | None = None) -> Encoder:
+    return Encoder(path, pieces, added=True, kept_pieces=kept_pieces, part_bytes=part_bytes)
 
 
 def tokenizer_path(name: str) -> str:

@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,6 +68,21 @@ def test_near_duplicate_stage_keeps_unrelated_texts_and_drops_copies_without_id(
     assert sum(rows[i] in kept for i in (3, 4)) == 1 and sum(rows[i] in kept for i in (7, 8)) == 1 and len(kept) == 8
 
 
+def test_packing_workers_keep_few_pieces_and_pack_the_same(spark):
+    from mediacat.llm import packing, tokens
+
+    def kept(batches):  # pieces that a worker holds after the plan's encoder has met this many different ones
+        held = tokens.encoder(packing.tokenizer_path(plan.tokenizer), plan.pieces, plan.kept_pieces, plan.part_bytes)
+        for at in range(0, 450_000, 50_000):
+            list(held.parts(pa.array([" ".join(f"{i:x}q" for i in range(at, at + 50_000))]), plan.end_id))
+        yield pa.RecordBatch.from_pydict({"n": [len(held.known) + len(held.older)]})
+
+    plan = corpus_pipeline.PACKING
+    assert spark.range(1).mapInArrow(kept, "n long").first().n < 330_000
+    docs = spark.createDataFrame([(i, f"{i % 7} some words, ids 0x{i * i:x} and the like " * (i % 90)) for i in range(300)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(str, corpus_pipeline.packed(spark, docs, SF).collect())) == sorted(map(str, packing.pack_documents(docs).collect()))
+
+
 def test_queries_are_registered():
     from __spark_entry__ import queries
 
