@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediacat.functions.conditions import as_col, extract, number
+from mediacat.functions.conditions import as_col, extract, let, number
 from mediacat.functions.html import trim_space
 from mediacat.functions.numbers import colon_seconds
 
 _ISO = r"^P(?:\d+D)?T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?$"
+_ISO_SECONDS = r"^PT\d+(?:\.\d+)?S\z"
 
 
 def parse_iso_duration(c: Column | str) -> Column:
     """Seconds of ``P[nD]T[nH][nM][n.nS]``; days are read and ignored."""
-    c = as_col(c)
-    parts = [F.coalesce(extract(c, _ISO, i).try_cast("double"), F.lit(0.0)) for i in (1, 2, 3)]
-    return F.when(c.rlike(_ISO), parts[0] * 3600.0 + parts[1] * 60.0 + parts[2])
+    return let(as_col(c), _iso_seconds)
+
+
+def _iso_seconds(c: Column) -> Column:
+    # Seconds alone, the usual case, take one pattern. Casts that fail are slow, so that none is tried on an empty group.
+    value = lambda g: F.when(g == "", F.lit(0.0)).otherwise(F.coalesce(g.try_cast("double"), F.lit(0.0)))
+    parts = [let(F.regexp_extract(c, _ISO, i), value) for i in (1, 2, 3)]
+    seconds = F.substring(c, F.lit(3), F.length(c) - 3).try_cast("double")
+    return F.when(c.rlike(_ISO_SECONDS), seconds).when(c.rlike(_ISO), parts[0] * 3600.0 + parts[1] * 60.0 + parts[2])
 
 
 def parse_text_duration(c: Column | str) -> Column:

@@ -94,6 +94,16 @@ def _remove_dots(p: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
+# URLs and references without a character or a part that resolving would change: no dots in front of a name, nothing to encode.
+_PLAIN_BASE = r"^[a-z][a-z0-9+.-]*://[A-Za-z0-9._:@-]*/[A-Za-z0-9._~!$&()*+,;=@%:/-]*\z"
+_PLAIN_NAME = r"^[A-Za-z0-9_~!$&()*+,;=@%-][A-Za-z0-9._~!$&()*+,;=@%/-]*\z"
+
+
+def plain_name(c: Column) -> Column:
+    """A relative path that resolving puts behind the folder of the base URL as it is."""
+    return c.rlike(_PLAIN_NAME) & ~c.contains("/.")
+
+
 def url_join(base: Column | str, reference: Column | str) -> Column:
     """Resolve a reference against a page URL (RFC 3986).
 
@@ -101,7 +111,15 @@ def url_join(base: Column | str, reference: Column | str) -> Column:
     """
     both = F.struct(as_col(base).alias("base"), as_col(reference).alias("ref"))
     trimmed = lambda s: F.struct(s["base"].alias("base"), _trimmed(s["ref"]).alias("ref"))
-    return let(both, lambda s: let(trimmed(s), lambda t: _join(t["base"], t["ref"])))
+    return let(both, lambda s: F.when(_plain(s["base"], s["ref"]), _put_behind(s["base"], s["ref"])).otherwise(let(trimmed(s), lambda t: _join(t["base"], t["ref"]))))
+
+
+def _plain(base: Column, ref: Column) -> Column:
+    return plain_name(ref) & base.rlike(_PLAIN_BASE) & ~base.contains("/.")
+
+
+def _put_behind(base: Column, ref: Column) -> Column:
+    return F.concat(_upto_slash(base), ref)
 
 
 def _trimmed(c: Column) -> Column:
@@ -151,7 +169,11 @@ def _resolve(base: Column, ref: Column, absolute: Column, tail: Column) -> Colum
 
 def _folder(p: Column) -> Column:
     """A path up to its last slash."""
-    return F.when(p == "", F.lit("/")).otherwise(F.substr(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1))))
+    return F.when(p == "", F.lit("/")).otherwise(_upto_slash(p))
+
+
+def _upto_slash(p: Column) -> Column:
+    return F.substr(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)))
 
 
 def _clean_path(p: Column) -> Column:

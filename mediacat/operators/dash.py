@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mediacat.functions.conditions import as_col, let
 from mediacat.functions.numbers import parse_frame_rate, parse_sampling_rate
 from mediacat.functions.time import parse_iso_duration
-from mediacat.functions.url import url_join
+from mediacat.functions.url import plain_name, url_join
 from mediacat.operators.net_safety import url_safety
 from mediacat.operators.ordered import Running, explode_range, running
 
@@ -62,13 +62,14 @@ def period_seconds(starts: Column, durations: Column, total: Column, period: Col
     return F.coalesce(F.get(durations, period), F.greatest(ends - at, F.lit(0.0)), F.lit(0.0))
 
 
-def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
+def representations(manifests: DataFrame, by: str = "mpd_id", kind: str | None = None) -> DataFrame:
     """One row per representation of every period of every static manifest, without protected ones.
 
     ``manifests`` has ``by, url, text``. Periods count from 0; a period, an adaptation set and a representation each may
-    have a base URL, and a segment template or list that the inner ones replace.
+    have a base URL, and a segment template or list that the inner ones replace. With a ``kind`` of addressing, only
+    those whose segments are given so, before URLs are resolved.
     """
-    rows = let(F.from_xml("text", MPD_SCHEMA), lambda m: _flat(m, F.col("url")))
+    rows = let(F.from_xml("text", MPD_SCHEMA), lambda m: _flat(m, F.col("url"), kind))
     # Outer, as else a filter on the array would be moved down and parse the text again.
     found = manifests.select(by, F.col("url").alias("mpd_url"), rows.alias("_rows")).select(by, "mpd_url", F.explode_outer("_rows").alias("_x"))
     return found.where(F.col("_x.repr").isNotNull()).select(
@@ -83,7 +84,7 @@ def representations(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     )
 
 
-def _flat(m: Column, url: Column) -> Column:
+def _flat(m: Column, url: Column, kind: str | None = None) -> Column:
     """One struct per representation that is not protected, of all periods of a parsed manifest.
 
     The tree is walked inside the row, so that it is neither copied nor written level by level.
@@ -94,24 +95,30 @@ def _flat(m: Column, url: Column) -> Column:
     first = lambda x: F.get(x, F.lit(0))
     all_of = lambda x: F.flatten(F.filter(x, lambda y: y.isNotNull()))
     clear = lambda x: F.coalesce(F.size(x["ContentProtection"]), F.lit(0)) <= 0
+    inner = lambda name, r, a, p: F.coalesce(r[name], a[name], p[name])
 
     def of_periods(t: Column) -> Column:
         def of_period(p: Column, i: Column) -> Column:
             own = F.struct(
                 F.get(t["starts"], i).alias("start"),
                 period_seconds(t["starts"], t["lengths"], t["total"], i).alias("seconds"),
-                _resolved(t["base"], first(p["BaseURL"])).alias("base"),
             )
 
             def of_set(o: Column, a: Column, j: Column) -> Column:
-                def one(base: Column, r: Column, k: Column) -> Column:
+                def wanted(r: Column) -> Column:
+                    if kind is None:
+                        return clear(r)
+                    return clear(r) & F.coalesce(_kind(inner("SegmentTemplate", r, a, p), inner("SegmentList", r, a, p)) == kind, F.lit(False))
+
+                def one(r: Column, k: Column) -> Column:
+                    levels = F.array(*[first(x["BaseURL"]) for x in (m, p, a, r)])
                     return F.struct(
                         i.alias("period"),
                         j.alias("adapt"),
                         k.alias("repr"),
                         o["start"].alias("period_start"),
                         o["seconds"].alias("period_seconds"),
-                        _resolved(base, first(r["BaseURL"])).alias("base_url"),
+                        F.aggregate(levels, url, _resolved).alias("base_url"),
                         F.coalesce(r["_mimeType"], a["_mimeType"], F.lit("")).alias("mime"),
                         F.coalesce(r["_codecs"], a["_codecs"]).alias("codecs"),
                         a["_lang"].alias("language"),
@@ -121,14 +128,11 @@ def _flat(m: Column, url: Column) -> Column:
                         r["_height"].alias("height"),
                         r["_frameRate"].alias("frame_rate"),
                         F.coalesce(r["_audioSamplingRate"], a["_audioSamplingRate"]).alias("sampling_rate"),
-                        F.coalesce(r["SegmentTemplate"], a["SegmentTemplate"], p["SegmentTemplate"]).alias("template"),
-                        F.coalesce(r["SegmentList"], a["SegmentList"], p["SegmentList"]).alias("list"),
+                        inner("SegmentTemplate", r, a, p).alias("template"),
+                        inner("SegmentList", r, a, p).alias("list"),
                     )
 
-                rows = let(
-                    _resolved(o["base"], first(a["BaseURL"])),
-                    lambda base: F.transform(a["Representation"], lambda r, k: F.when(clear(r), one(base, r, k))),
-                )
+                rows = F.transform(a["Representation"], lambda r, k: F.when(wanted(r), one(r, k)))
                 return F.when(clear(a), F.filter(rows, lambda x: x.isNotNull()))
 
             return let(own, lambda o: all_of(F.transform(p["AdaptationSet"], lambda a, j: of_set(o, a, j))))
@@ -137,7 +141,6 @@ def _flat(m: Column, url: Column) -> Column:
 
     def timed(s: Column) -> Column:
         return F.struct(
-            _resolved(url, first(m["BaseURL"])).alias("base"),
             parse_iso_duration(m["_mediaPresentationDuration"]).cast("double").alias("total"),
             s["lengths"].alias("lengths"),
             period_starts(s["stated"], s["lengths"]).alias("starts"),
@@ -163,15 +166,19 @@ def _init_of(template: Column) -> Column:
     )
 
 
-def _addressing(df: DataFrame) -> DataFrame:
+def _kind(t: Column, s: Column) -> Column:
     """How the segments of a representation are given: ``template``, ``timeline``, ``list`` or NULL."""
-    t, s = F.col("template"), F.col("list")
     complete = t["_media"].isNotNull() & t["_timescale"].isNotNull()
-    kind = (
+    return (
         F.when(complete & t["_duration"].isNotNull(), "template")
         .when(complete & t["SegmentTimeline"].isNotNull(), "timeline")
         .when(s.isNotNull(), "list")
     )
+
+
+def _addressing(df: DataFrame) -> DataFrame:
+    t, s = F.col("template"), F.col("list")
+    kind = _kind(t, s)
     listed = F.filter(F.transform(s["SegmentURL"], lambda u: u["_media"]), lambda m: m.isNotNull())
     return df.withColumns(
         {
@@ -213,15 +220,17 @@ def _safe_segments() -> Column:
     return (F.size(elsewhere) == 0) | F.forall(absolute, lambda u: url_safety(u).isNull())
 
 
-def _usable(manifests: DataFrame, by: str) -> DataFrame:
-    rows = _addressing(representations(manifests, by)).withColumn("class", mime_class())
-    rows = rows.where(F.col("class").isNotNull() & url_safety("base_url").isNull())
+def _usable(manifests: DataFrame, by: str, among: Column, kind: str | None = None) -> DataFrame:
+    # Patterns on URLs come last, for the rows that are left.
+    rows = _addressing(representations(manifests, by, kind)).withColumn("class", mime_class())
+    rows = rows.where(among).where(url_safety("base_url").isNull())
     synth = F.concat_ws("_", F.concat(F.lit("dash_"), F.substring("class", 1, 1)), "adapt", "repr")
     return rows.withColumn("format_id", F.coalesce("repr_id", synth))
 
 
-def _av(manifests: DataFrame, by: str) -> DataFrame:
-    return _usable(manifests, by).where(F.col("class").isin("video", "audio") & _has_segments() & _safe_segments())
+def _av(manifests: DataFrame, by: str, kind: str | None = None) -> DataFrame:
+    among = F.col("class").isin("video", "audio") & _has_segments() & _safe_segments()
+    return _usable(manifests, by, among if kind is None else (F.col("addressing") == kind) & among, kind)
 
 
 def cap_renditions(formats: DataFrame, by: str | Sequence[str] = "mpd_id", cap: int | None = None) -> DataFrame:
@@ -265,7 +274,7 @@ def dash_formats(manifests: DataFrame, by: str = "mpd_id", cap: int | None = Non
 
 def dash_subtitles(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Text tracks that are one file."""
-    rows = _usable(manifests, by).where((F.col("class") == "text") & ~_has_segments())
+    rows = _usable(manifests, by, (F.col("class") == "text") & ~_has_segments())
     vtt = (F.col("mime") == "text/vtt") | ((F.col("mime") == "application/mp4") & (F.col("codecs") == "wvtt"))
     ext = F.when(vtt, "vtt").otherwise("ttml")
     return rows.select(by, "period", "adapt", "repr", "language", F.col("base_url").alias("url"), ext.alias("ext"))
@@ -280,45 +289,93 @@ def fill_segment_template(
 ) -> Column:
     """A template with its ``$...$`` tokens filled in, from left to right; unknown tokens stay."""
     t = as_col(template)
-    pieces = F.regexp_extract_all(t, F.lit(r"\$[^$]*\$|[^$]+|\$"), F.lit(0))
     zero = F.lit(0).cast("long")
     numbers = {"Number": zero if number is None else number, "Time": zero if time is None else time}
+    fill = lambda p: _fill_piece(p, as_col(representation), as_col(bandwidth), numbers)
+    return F.when(t.contains("$"), F.array_join(F.transform(_pieces(t), fill), "")).otherwise(t)
+
+
+def _pieces(template: Column) -> Column:
+    return F.regexp_extract_all(template, F.lit(r"\$[^$]*\$|[^$]+|\$"), F.lit(0))
+
+
+def _is_number(p: Column, name: str) -> Column:
+    return p.startswith(f"${name}") & p.rlike(rf"^\${name}(%[^$]*)?\$$")
+
+
+def _width(p: Column, name: str) -> Column:
+    # A cast that fails costs more than the pattern, so that none is tried without digits.
+    return F.when(p.contains("%"), let(F.regexp_extract(p, rf"^\${name}%(\d+)d*\$$", 1), lambda w: F.when(w != "", w.try_cast("int"))))
 
-    def fill(p: Column) -> Column:
-        out = F.when(~p.startswith("$"), p).when(p == "$$", F.lit("$")).when(p == "$RepresentationID$", as_col(representation)).when(
-            p == "$Bandwidth$", as_col(bandwidth).cast("string")
-        )
-        for name, value in numbers.items():
-            text = value.cast("string")
-            width = F.regexp_extract(p, rf"^\${name}%(\d+)d*\$$", 1).try_cast("int")
-            padded = F.when(F.length(text) < width, F.lpad(text, width, F.lit("0"))).otherwise(text)
-            out = out.when(p.rlike(rf"^\${name}(%[^$]*)?\$$"), padded)
-        return out.otherwise(p)
 
-    return F.when(t.contains("$"), F.array_join(F.transform(pieces, fill), "")).otherwise(t)
+def _padded(text: Column, width: Column) -> Column:
+    return F.when(F.length(text) < width, F.lpad(text, width, F.lit("0"))).otherwise(text)
+
+
+def _fill_piece(p: Column, representation: Column, bandwidth: Column, numbers: dict[str, Column]) -> Column:
+    out = F.when(~p.startswith("$"), p).when(p == "$$", F.lit("$")).when(p == "$RepresentationID$", representation).when(
+        p == "$Bandwidth$", bandwidth.cast("string")
+    )
+    for name, value in numbers.items():
+        out = out.when(_is_number(p, name), _padded(value.cast("string"), _width(p, name)))
+    return out.otherwise(p)
 
 
 _KEYS = ("period", "adapt", "repr", "format_id")
+#: What ``_filled`` takes of a representation.
+_NAMES = ("base_url", "media", "bandwidth", "init_url", "pattern")
+
+
+def _with_names(rows: DataFrame, token: str) -> DataFrame:
+    """The URLs of a representation's segments, as far as they are the same: that of the init segment, and ``pattern``.
+
+    A pattern is what stands before and behind the one number (``token``) of a template: filled in and resolved once, as
+    far as the number cannot change how the name is resolved. It is NULL for other templates, which are filled in for
+    each segment.
+    """
+    representation, bandwidth = F.col("format_id"), F.col("bandwidth")
+    init_url = F.when(F.col("init").isNotNull(), url_join("base_url", fill_segment_template("init", representation, bandwidth)))
+    others = {name: F.lit(0).cast("long") for name in ("Number", "Time") if name != token}
 
+    def split(pieces: Column) -> Column:
+        places = F.transform(pieces, lambda p, i: F.when(_is_number(p, token), i))
+        return let(F.filter(places, lambda i: i.isNotNull()), lambda found: F.when(F.size(found) == 1, let(F.get(found, F.lit(0)), lambda at: parts(pieces, at))))
 
-def _filled(rows: DataFrame, by: str, index: Column, duration: Column, start: Column, number=None, time=None) -> DataFrame:
-    """Segments by the pattern ``name``; rows where ``is_init`` holds are the init segment, which has no time."""
-    name = fill_segment_template("name", "format_id", "bandwidth", number, time)
+    def parts(pieces: Column, at: Column) -> Column:
+        filled = lambda some: F.array_join(F.transform(some, lambda p: _fill_piece(p, representation, bandwidth, others)), "")
+        return F.struct(
+            filled(F.slice(pieces, F.lit(1), at)).alias("head"),
+            filled(F.slice(pieces, at + 2, F.size(pieces))).alias("tail"),
+            _width(F.get(pieces, at), token).alias("width"),
+        )
+
+    def resolved(s: Column) -> Column:
+        folder = let(url_join("base_url", F.lit("x")), lambda u: F.substr(u, F.lit(1), F.length(u) - 1))
+        return F.when(plain_name(F.concat(s["head"], F.lit("0"), s["tail"])), F.struct(F.concat(folder, s["head"]).alias("head"), s["tail"].alias("tail"), s["width"].alias("width")))
+
+    return rows.withColumns({"init_url": init_url, "pattern": let(let(_pieces(F.col("media")), split), resolved)})
+
+
+def _filled(rows: DataFrame, by: str, token: str, value: Column, index: Column, duration: Column, start: Column) -> DataFrame:
+    """Segments by their ``value`` of the template's ``token``; where ``is_init`` holds it is the init segment, which has no time."""
+    head, tail, width = (F.col("pattern")[c] for c in ("head", "tail", "width"))
+    number, time = (value if token == name else None for name in ("Number", "Time"))
+    each = url_join("base_url", fill_segment_template("media", "format_id", "bandwidth", number, time))
+    whole = F.concat(head, _padded(value.cast("string"), width), tail)
+    url = F.when(F.col("is_init"), F.col("init_url")).when(head.isNotNull() & value.isNotNull(), whole).otherwise(each)
     timed = lambda x: F.when(~F.col("is_init"), x.cast("double"))
-    return rows.select(
-        by, *_KEYS, index.cast("long").alias("pos"), url_join("base_url", name).alias("url"), timed(duration).alias("duration"), timed(start).alias("start")
-    )
+    return rows.select(by, *_KEYS, index.cast("long").alias("pos"), url.alias("url"), timed(duration).alias("duration"), timed(start).alias("start"))
 
 
 def dash_segments_template(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Segments numbered from the start number, with their time in the presentation; an init segment comes first."""
-    rows = _av(manifests, by).where(F.col("addressing") == "template").withColumn("first", F.when(F.col("init").isNotNull(), 1).otherwise(0))
+    rows = _with_names(_av(manifests, by, "template"), "Number").withColumn("first", F.when(F.col("init").isNotNull(), 1).otherwise(0))
+    rows = rows.select(by, *_KEYS, *_NAMES, "first", "segment_ticks", "timescale", "period_seconds", "period_start", "start_number")
     seconds = F.col("segment_ticks") / F.col("timescale")
     numbered = explode_range(rows, F.ceil(F.col("period_seconds") / seconds) + F.col("first"), "_i")
     nth = F.col("_i") - F.col("first")
-    numbered = numbered.withColumn("is_init", nth < 0).withColumn("name", F.when(F.col("is_init"), F.col("init")).otherwise(F.col("media")))
-    number = F.when(F.col("is_init"), F.lit(0).cast("long")).otherwise(F.col("start_number") + nth)
-    return _filled(numbered, by, F.col("_i"), seconds, F.col("period_start") + nth * seconds, number=number)
+    numbered = numbered.withColumn("is_init", nth < 0)
+    return _filled(numbered, by, "Number", F.col("start_number") + nth, F.col("_i"), seconds, F.col("period_start") + nth * seconds)
 
 
 def timeline_starts(
@@ -359,27 +416,25 @@ def timeline_starts(
 
 def dash_segments_timeline(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Segments of explicit timelines, with their time in the presentation; an init segment comes first."""
-    rows = _av(manifests, by).where(F.col("addressing") == "timeline")
+    rows = _with_names(_av(manifests, by, "timeline"), "Time")
     keys = [by, *_KEYS]
     entry = "struct<_t:bigint,_d:bigint,_r:bigint>"
     first = F.struct(F.lit(None).alias("_t"), F.lit(0).alias("_d"), F.lit(0).alias("_r")).cast(entry)  # takes a place and no time
     given = F.coalesce("timeline", F.array().cast(f"array<{entry}>"))
     listed = F.when(F.col("init").isNotNull(), F.concat(F.array(first), given)).otherwise(given)
     entries = rows.select(
-        *keys, "base_url", "media", "init", "bandwidth", "timescale", "time_offset", "period_start", F.posexplode(listed).alias("entry", "_s")
+        *keys, *_NAMES, F.col("init").isNotNull().alias("has_init"), "timescale", "time_offset", "period_start", F.posexplode(listed).alias("entry", "_s")
     ).select("*", F.col("_s._t").alias("t"), F.col("_s._d").alias("d"), F.col("_s._r").alias("r")).drop("_s")
     expanded = explode_range(timeline_starts(entries, keys, block=None), F.col("repeats"), "_k")
-    init = (F.col("entry") == 0) & F.col("init").isNotNull()
-    expanded = expanded.withColumns({"is_init": init, "name": F.when(init, F.col("init")).otherwise(F.col("media"))})
+    expanded = expanded.withColumn("is_init", (F.col("entry") == 0) & F.col("has_init"))
     time = F.col("start") + F.col("_k") * F.col("d")
     shown = F.col("period_start") + (time - F.col("time_offset")) / F.col("timescale")
-    ticks = F.when(F.col("is_init"), F.lit(0).cast("long")).otherwise(time)
-    return _filled(expanded, by, F.col("index") + F.col("_k"), F.col("d") / F.col("timescale"), shown, time=ticks)
+    return _filled(expanded, by, "Time", time, F.col("index") + F.col("_k"), F.col("d") / F.col("timescale"), shown)
 
 
 def dash_segments_list(manifests: DataFrame, by: str = "mpd_id") -> DataFrame:
     """Segments that are listed by name; these are no templates."""
-    rows = _av(manifests, by).where(F.col("addressing") == "list")
+    rows = _av(manifests, by, "list")
     names = F.when(F.col("init").isNotNull(), F.concat(F.array("init"), "urls")).otherwise(F.col("urls"))
     listed = rows.select(by, *_KEYS, "base_url", F.posexplode(names).alias("pos", "_u"))
     none = F.lit(None).cast("double")

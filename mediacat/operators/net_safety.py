@@ -211,8 +211,15 @@ def url_safety(url: Column | str, max_bytes: int | None = None) -> Column:
     return let(as_col(url), lambda u: _unsafe_reason(u, max_bytes))
 
 
+#: A web address whose host is a dotted name that ends in letters, and so neither an address nor a local name.
+_NAMED_HOST = r"^https?://(?!localhost\.)(?:[a-z0-9_-]{1,63}\.){1,9}(?!(?:local|internal)(?:[/?]|\z))[a-z]{2,63}(?:[/?][^#]*)?\z"
+
+
 def _unsafe_reason(u: Column, max_bytes: int | None) -> Column:
-    return let(host(u), lambda h: _reason(u, h, max_bytes))
+    plain = u.rlike(_NAMED_HOST)
+    if max_bytes is not None:
+        plain = plain & (F.octet_length(u) <= max_bytes)
+    return F.when(plain, F.lit(None)).otherwise(let(host(u), lambda h: _reason(u, h, max_bytes)))
 
 
 def _reason(u: Column, h: Column, max_bytes: int | None) -> Column:

@@ -79,3 +79,15 @@ def test_cap_is_for_each_period(spark):
     df = frame(spark, mpd(('duration="PT8S"', two), ('duration="PT8S"', two)))
     assert sorted((r.period, r.format_id) for r in dash.dash_formats(df, cap=1).collect()) == [(0, "b"), (1, "b")]
     assert dash.dash_formats(df).count() == 4
+
+
+def test_names_are_resolved_once_for_a_representation(spark):
+    names = ["n-$Number%03d$-$RepresentationID$.m4s", "$Number$-$Number%2d$", "../$Number$/x", "$Number$:x", "one.mp4", "a $Number$", "$$$Number$", "$Time$-$Number$", ".$Number$"]
+    body = '<SegmentTemplate timescale="1" duration="4" startNumber="-1" initialization="i-$Number%2d$" media="{}"/>'
+    df = frame(spark, *[mpd(('duration="PT9S"', video(body.format(n)))) for n in names])
+    found = dash.dash_segments_template(df)
+    assert "AS pattern" in found._jdf.queryExecution().optimizedPlan().toString()
+    urls = {(r.mpd_id, r.pos): r.url.removeprefix("https://h/") for r in found.collect()}
+    assert [urls[i, 0] for i in range(len(names))] == ["x/i-00"] * len(names)
+    assert [urls[i, 1] for i in range(len(names))] == ["x/n-0-1-v.m4s", "x/-1--1", "-1/x", "x/-1:x", "x/one.mp4", "x/a%20-1", "x/$-1", "x/0--1", "x/.-1"]
+    assert [urls[i, 3] for i in range(len(names))] == ["x/n-001-v.m4s", "x/1-01", "1/x", "x/1:x", "x/one.mp4", "x/a%201", "x/$1", "x/0-1", "x/.1"]
