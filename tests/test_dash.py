@@ -91,3 +91,12 @@ def test_names_are_resolved_once_for_a_representation(spark):
     assert [urls[i, 0] for i in range(len(names))] == ["x/i-00"] * len(names)
     assert [urls[i, 1] for i in range(len(names))] == ["x/n-0-1-v.m4s", "x/-1--1", "-1/x", "x/-1:x", "x/one.mp4", "x/a%20-1", "x/$-1", "x/0--1", "x/.-1"]
     assert [urls[i, 3] for i in range(len(names))] == ["x/n-001-v.m4s", "x/1-01", "1/x", "x/1:x", "x/one.mp4", "x/a%201", "x/$1", "x/0-1", "x/.1"]
+
+
+def test_times_are_put_into_names_resolved_before(spark):
+    line = '<SegmentTemplate timescale="1" media="{}"><SegmentTimeline><S t="5" d="10" r="1"/><S/></SegmentTimeline></SegmentTemplate>'
+    df = frame(spark, *[mpd(('duration="PT9S"', video(line.format(n)))) for n in ("t-$Time%04d$.m4s", "$Number$/$Time$", "$Time$?$Time$")])
+    found = dash.dash_segments_timeline(df)
+    assert "AS pattern" in found._jdf.queryExecution().optimizedPlan().toString()
+    urls = {(r.mpd_id, r.pos): r.url.removeprefix("https://h/x/") for r in found.collect()}
+    assert [[urls[i, k] for k in range(3)] for i in range(3)] == [["t-0005.m4s", "t-0015.m4s", "t-.m4s"], ["0/5", "0/15", "0/"], ["5?5", "15?15", "m.mpd?"]]
